@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, url_filter
+from public_tokenizers import path as tokenizer_file
+
+from . import bpe, language_id, media, packing, url_filter
 
 #: The rules of the url query.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -26,9 +28,29 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store_media(table(spark, sf_dir, "documents"))
+    found = media.describe_media(stored, keep=("n_bytes",))
+    payload, size = F.col("payload"), F.length("payload")
+    return found.select(
+        "doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(F.substring(payload, -16, 16)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", "media_type", "corrected", F.size("embedded").alias("n_embedded"),
+    )
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op2_language_id": op2_language_id, "op7_url_filter": op7_url_filter}
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_texts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op2_language_id": op2_language_id, "op4_packing": op4_packing, "op5_media": op5_media, "op7_url_filter": op7_url_filter, "op9_bpe": op9_bpe}
 ORACLE_SQL: dict[str, str] = {}
