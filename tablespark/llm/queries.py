@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import path as tokenizer_file
 
-from . import bpe, language_id, media, packing, url_filter
+from . import bpe, language_id, media, packing, pii, toxicity, url_filter
 
 #: The rules of the url query.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -47,10 +47,22 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(table(spark, sf_dir, "documents"), key=PII_KEY)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_texts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_language_id": op2_language_id, "op4_packing": op4_packing, "op5_media": op5_media, "op7_url_filter": op7_url_filter, "op9_bpe": op9_bpe}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    return toxicity.score_severity(docs, toxicity.fit_severity(labelled))
+
+
+#: The surrogates' key; production sets its own.
+PII_KEY = "corpus-surrogates"
+QUERIES = {"op2_language_id": op2_language_id, "op4_packing": op4_packing, "op5_media": op5_media, "op7_url_filter": op7_url_filter, "op8_pii": op8_pii, "op9_bpe": op9_bpe, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {}
