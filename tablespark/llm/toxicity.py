@@ -1,7 +1,8 @@
 """Toxicity by cumulative-link ordinal regression.
 
 Severity has ordered grades: 0 for texts labelled clean, and for toxic ones a grade by how many of their words
-mark toxic texts. All thresholds share one weight for each word: P(grade <= k) = logistic(threshold k - w x). A
+mark toxic texts. Features are words, and beginnings of words by their share, since inflected languages hide
+one stem in many words. All thresholds share one weight for each word: P(grade <= k) = logistic(threshold k - w x). A
 text's expected severity is the mean of the grades under the model.
 """
 
@@ -21,17 +22,29 @@ _WORD = re.compile(r"[^\W\d_]+")
 SLICE = 1 << 20
 
 
+#: Lengths of the word beginnings that are features.
+STEMS = (4, 5, 6, 7)
+
+
 def word_counts(text: str, vocabulary: dict[str, int] | None = None) -> Counter:
-    """Counts of lower-cased words; slices end at white space, so no word is cut."""
-    counts: Counter = Counter()
+    """Counts of lower-cased words and, after ^, of their beginnings; the number of all words is under "".
+
+    Slices end at white space, so no word is cut. With a vocabulary, only its features are counted.
+    """
+    words: Counter = Counter()
     at = 0
     while at < len(text):
         end = at + SLICE
         while end < len(text) and text[end].isalpha():
             end += 1
-        words = _WORD.findall(text[at:end].lower())
-        counts.update(words if vocabulary is None else filter(vocabulary.__contains__, words))
+        words.update(_WORD.findall(text[at:end].lower()))
         at = end
+    counts: Counter = Counter()
+    for w, n in words.items():
+        for f in (w, *["^" + w[:k] for k in STEMS if len(w) > k]):
+            if vocabulary is None or f in vocabulary:
+                counts[f] += n
+    counts[""] = words.total()
     return counts
 
 
@@ -52,7 +65,7 @@ class SeverityModel:
         for i, c in enumerate(counts):
             for w, n in c.items():
                 if w in self.vocabulary:
-                    x[i, self.vocabulary[w]] = np.log1p(n)
+                    x[i, self.vocabulary[w]] = np.log1p(1000 * n / (c[""] + 50) if w[0] == "^" else n)
         return x
 
 
@@ -78,7 +91,7 @@ def fit_cumulative_link(x: np.ndarray, y: np.ndarray, grades: int, decay: float
     return w, raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))])
 
 
-def fit_severity(labelled: DataFrame, text_col: str = "text", toxic_col: str = "toxic", per_class: int = 2500, words: int = 600, grades: int = 3) -> SeverityModel:
+def fit_severity(labelled: DataFrame, text_col: str = "text", toxic_col: str = "toxic", per_class: int = 2500, words: int = 800, grades: int = 3) -> SeverityModel:
     """Learns from a bounded sample: about per_class texts of each label, chosen by hash.
 
     Rows without text or label are left out. Fails with ValueError unless both labels occur.
@@ -107,12 +120,12 @@ def fit_severity(labelled: DataFrame, text_col: str = "text", toxic_col: str = "
         a, b = df[0][w] + 0.5, df[1][w] + 0.5
         if df[0][w] + df[1][w] >= 3:
             score[w] = np.log(b / (n[1] + 1 - b + 0.5)) - np.log(a / (n[0] + 1 - a + 0.5)), np.sqrt(1 / a + 1 / b)
-    z = {w: d / sd for w, (d, sd) in score.items()}
+    z = {w: d / sd for w, (d, sd) in score.items() if w}
     chosen = sorted(z, key=lambda w: (-abs(z[w]), w))[:words]
     model = SeverityModel({w: i for i, w in enumerate(chosen)}, np.zeros(len(chosen)), np.zeros(grades))
     x = model.features([Counter(r["words"]) for r in got])
     marks = np.array([z[w] > 3 for w in chosen])
-    load = np.expm1(x[:, marks]).sum(axis=1)
+    load = x[:, marks].sum(axis=1)
     cuts = np.quantile(load[y == 1], np.linspace(0, 1, grades + 1)[1:-1]) if grades > 1 else []
     target = np.where(y == 1, 1 + np.searchsorted(cuts, load, side="left"), 0)
     model.weights, model.thresholds = fit_cumulative_link(x, target, grades)
