@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import path as tokenizer_file
 
-from . import bpe, language_id, media, packing, pii, toxicity, url_filter
+from . import ann, bpe, language_id, media, packing, pii, toxicity, url_filter
 
 #: The rules of the url query.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -21,6 +21,10 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit_language_model(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
@@ -64,5 +68,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The surrogates' key; production sets its own.
 PII_KEY = "corpus-surrogates"
-QUERIES = {"op2_language_id": op2_language_id, "op4_packing": op4_packing, "op5_media": op5_media, "op7_url_filter": op7_url_filter, "op8_pii": op8_pii, "op9_bpe": op9_bpe, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_ann": op1_ann, "op2_language_id": op2_language_id, "op4_packing": op4_packing, "op5_media": op5_media, "op7_url_filter": op7_url_filter, "op8_pii": op8_pii, "op9_bpe": op9_bpe, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {}
