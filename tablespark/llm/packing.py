@@ -11,19 +11,54 @@ lengths are powers of two, which need no padding.
 from __future__ import annotations
 
 import math
+import unicodedata
+from array import array
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .bpe import byte_letters
+
 WINDOW = 4096
 GROUP = 1500
 CACHE = 600_000
 
 
+#: Fixed value: the word pattern of the word-level vocabulary.
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\p{Z}\p{L}\p{N}]+")
+
+
+class WordIds(dict):
+    """Ids of white-space-separated words, as bytes; a word met for the first time is encoded by the model.
+
+    The tokenizer's own normalisation (NFC, lower case letter by letter) and word pattern are applied here, word
+    by word, which its whole pipeline would do far more slowly.
+    """
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__({"": b""})
+        self.model, letters = tokenizer.model, byte_letters()
+        self.letters = [letters[b] for b in range(256)]
+
+    def __missing__(self, word: str) -> bytes:
+        plain = word.isascii()
+        low = word.lower() if plain else "".join([c.lower() for c in unicodedata.normalize("NFC", word)])
+        ids = array("I")
+        for w in WORDS.findall(low):
+            if not plain:
+                w = "".join([self.letters[b] for b in w.encode()])
+            ids.extend([t.id for t in self.model.tokenize(w)])
+        if len(word) > 64:
+            return ids.tobytes()
+        found = self[word] = ids.tobytes()
+        return found
+
+
 class WordTokenizer:
     """A tokenizer whose words never reach over white space, with the ids of single words kept in a bounded cache."""
 
@@ -32,24 +67,16 @@ class WordTokenizer:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        plain = [not any(s in t for s in self.special) for t in texts]
-        words = [t.replace("\n", " ").split(" ") if ok else [] for t, ok in zip(texts, plain)]
-        if len(self.cache) > CACHE:
-            self.cache = {"": b""}
-        cache = self.cache
-        new = list({w for ws in words for w in ws if w not in cache})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(cache.__getitem__, ws)) if ok else self._whole(t) for ws, ok, t in zip(words, plain, texts)]
+        self.words = WordIds(self.tokenizer)
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        if any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(self.words) > CACHE:
+            self.words.clear()
+            self.words[""] = b""
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _loaded: dict[str, WordTokenizer] = {}
@@ -145,7 +172,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, window: int = WI
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
                 pick, starts, ids, sizes = [], [], [], []
-                for i, found in enumerate(tok.encode(batch.column("text").to_pylist())):
+                for i, found in enumerate(map(tok.encode, batch.column("text").to_pylist())):
                     found += end
                     for b in range(0, len(found), 4 * window):
                         pick.append(i)
