@@ -46,8 +46,8 @@ class WordIds(dict):
         self.letters = [letters[b] for b in range(256)]
 
     def __missing__(self, word: str) -> bytes:
-        plain = word.isascii()
-        low = word.lower() if plain else "".join([c.lower() for c in unicodedata.normalize("NFC", word)])
+        plain = word.isascii() and word.isprintable()
+        low = word.lower() if word.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", word)])
         ids = array("I")
         for w in WORDS.findall(low):
             if not plain:
