@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import path as tokenizer_file
 
-from . import ann, bpe, language_id, media, packing, pii, toxicity, url_filter
+from . import ann, bpe, language_id, media, near_dups, packing, pii, toxicity, url_filter
 
 #: The rules of the url query.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -47,6 +47,10 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -68,5 +72,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The surrogates' key; production sets its own.
 PII_KEY = "corpus-surrogates"
-QUERIES = {"op1_ann": op1_ann, "op2_language_id": op2_language_id, "op4_packing": op4_packing, "op5_media": op5_media, "op7_url_filter": op7_url_filter, "op8_pii": op8_pii, "op9_bpe": op9_bpe, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_ann": op1_ann, "op2_language_id": op2_language_id, "op4_packing": op4_packing, "op5_media": op5_media, "op6_near_dups": op6_near_dups, "op7_url_filter": op7_url_filter, "op8_pii": op8_pii, "op9_bpe": op9_bpe, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {}
