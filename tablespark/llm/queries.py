@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import path as tokenizer_file
 
-from . import ann, bpe, language_id, media, near_dups, packing, pii, toxicity, url_filter
+from . import ann, bpe, language_id, media, near_dups, packing, pii, suffix_dedup, toxicity, url_filter
 
 #: The rules of the url query.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -32,6 +32,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -72,5 +77,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The surrogates' key; production sets its own.
 PII_KEY = "corpus-surrogates"
-QUERIES = {"op1_ann": op1_ann, "op2_language_id": op2_language_id, "op4_packing": op4_packing, "op5_media": op5_media, "op6_near_dups": op6_near_dups, "op7_url_filter": op7_url_filter, "op8_pii": op8_pii, "op9_bpe": op9_bpe, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_ann": op1_ann, "op2_language_id": op2_language_id, "op3_suffix_dedup": op3_suffix_dedup, "op4_packing": op4_packing, "op5_media": op5_media, "op6_near_dups": op6_near_dups, "op7_url_filter": op7_url_filter, "op8_pii": op8_pii, "op9_bpe": op9_bpe, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {}
