@@ -146,19 +146,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 16,
     ordered = ordered.withColumn("part", F.spark_partition_id()).select("part", "curve", "cid", "q")
     ranked = written(ordered.mapInArrow(number, "part int, curve int, cid long, q boolean, local long"), "curve-ranks")
     # One count for each curve and range partition; their running sums turn local places into ranks.
-    ends = ranked.where("not q").groupBy("curve", "part").count()
-    before = F.coalesce(F.sum("count").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = {(r["curve"], r["part"]): r["base"] for r in ends.withColumn("base", before).collect()}
-    last: dict[int, int] = {}
-    total = classes.count()
-    for c in range(curves):
-        known = sorted(p for cc, p in bases if cc == c)
-        for p in range(parts):  # parts that hold queries alone start where the next part with candidates does
-            if (c, p) not in bases:
-                nxt = next((bases[c, x] for x in known if x > p), total)
-                last[c, p] = nxt
-    base = F.create_map(*[x for (c, p), b in (bases | last).items() for x in (F.lit(c * parts + p), F.lit(int(b)))])
-    ranked = ranked.select("curve", "cid", "q", (base[F.col("curve") * parts + F.col("part")] + F.col("local")).alias("rank"))
+    ends = ranked.groupBy("curve", "part").agg(F.sum(F.when(F.col("q"), 0).otherwise(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = F.broadcast(ends.select("curve", "part", before.alias("base")))  # at most curves + partitions rows
+    ranked = ranked.join(bases, ["curve", "part"]).select("curve", "cid", "q", (F.col("base") + F.col("local")).alias("rank"))
 
     window = _window(classes, ranked, k, recall, sample, size)
     width = max(block, window)
