@@ -91,10 +91,11 @@ def fit_cumulative_link(x: np.ndarray, y: np.ndarray, grades: int, decay: float
     return w, raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))])
 
 
-def fit_severity(labelled: DataFrame, text_col: str = "text", toxic_col: str = "toxic", per_class: int = 2500, words: int = 800, grades: int = 3) -> SeverityModel:
+def fit_severity(labelled: DataFrame, text_col: str = "text", toxic_col: str = "toxic", per_class: int = 2000, words: int = 800, grades: int = 3) -> SeverityModel:
     """Learns from a bounded sample: about per_class texts of each label, chosen by hash.
 
-    Rows without text or label are left out. Fails with ValueError unless both labels occur.
+    Words are chosen by the log-odds of their document frequencies in the sample, divided by its deviation. Rows
+    without text or label are left out. Fails with ValueError unless both labels occur.
     """
     rows = labelled.select(F.col(text_col).alias("text"), (F.col(toxic_col) > 0).cast("int").alias("y")).where("text is not null and y is not null")
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
@@ -104,24 +105,36 @@ def fit_severity(labelled: DataFrame, text_col: str = "text", toxic_col: str = "
     limit = F.when(F.col("y") == 1, int(grain * min(1, per_class / sizes[1]))).otherwise(int(grain * min(1, per_class / sizes[0])))
     sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(grain)) < limit)
 
+    def frequencies(batches):
+        df: Counter = Counter()
+        for batch in batches:
+            for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
+                df.update((y, w) for w in word_counts(text) if w)
+        keys = list(df)
+        for at in range(0, len(keys), 20_000):
+            part = keys[at : at + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array([w for _, w in part]), pa.array([y for y, _ in part], pa.int32()), pa.array([df[k] for k in part], pa.int64())], names=["word", "y", "n"])
+
+    sample = sample.select("y", "text")
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("y") == k, F.col("n"))), F.lit(0))
+    df = sample.mapInArrow(frequencies, "word string, y int, n bigint").groupBy("word").agg(of(0).alias("clean"), of(1).alias("toxic"), F.sum("n").alias("all"))
+    drawn = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    if set(drawn) != {0, 1}:
+        raise ValueError("both toxic and clean labels are needed")
+    odds = lambda c, k: F.log((F.col(c) + 0.5) / (drawn[k] + 1 - F.col(c)))
+    z = (odds("toxic", 1) - odds("clean", 0)) / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    best = df.where("all >= 3").select("word", z.alias("z")).orderBy(F.desc(F.abs("z")), "word").limit(words).collect()
+    z, chosen = {r["word"]: r["z"] for r in best}, [r["word"] for r in best]
+    known = dict.fromkeys(chosen, 0)
+
     def count(batches):
         for batch in batches:
-            found = [word_counts(t) for t in batch.column("text").to_pylist()]
+            found = [word_counts(t, known) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([[(w, n) for w, n in c.items()] for c in found], pa.map_(pa.string(), pa.int32()))], names=["y", "words"])
 
     got = sample.mapInArrow(count, "y int, words map<string,int>").collect()
-    if len({r["y"] for r in got}) < 2:
-        raise ValueError("both toxic and clean labels are needed")
+    got.sort(key=lambda r: (r["y"], sorted(r["words"].items())))
     y = np.array([r["y"] for r in got])
-    df = [Counter(w for r in got if r["y"] == k for w in r["words"]) for k in (0, 1)]
-    n = [int((y == k).sum()) for k in (0, 1)]
-    score = {}
-    for w in df[0].keys() | df[1].keys():
-        a, b = df[0][w] + 0.5, df[1][w] + 0.5
-        if df[0][w] + df[1][w] >= 3:
-            score[w] = np.log(b / (n[1] + 1 - b + 0.5)) - np.log(a / (n[0] + 1 - a + 0.5)), np.sqrt(1 / a + 1 / b)
-    z = {w: d / sd for w, (d, sd) in score.items() if w}
-    chosen = sorted(z, key=lambda w: (-abs(z[w]), w))[:words]
     model = SeverityModel({w: i for i, w in enumerate(chosen)}, np.zeros(len(chosen)), np.zeros(grades))
     x = model.features([Counter(r["words"]) for r in got])
     marks = np.array([z[w] > 3 for w in chosen])
