@@ -91,18 +91,21 @@ def _at(text: Column, i: Column) -> Column:
     return text.substr(i, F.lit(1))
 
 
-def _shaped(value: Column, stream: Column) -> Column:
+def _shaped(value: Column, e: Column) -> Column:
     """Another text of the same shape: digit for digit, letter for letter of its case and script."""
-    digits = _digits(stream)
-    plain, low = value.rlike(r"^[0-9a-f]*$"), {s: F.translate(stream, HEX, a) for s, a in LETTERS.items()}
 
     def one(c: Column, i: Column) -> Column:
-        letter = F.when(c.rlike(r"\p{IsCyrillic}"), _at(low["cyrillic"], i + 1)).when(c.rlike(r"\p{IsGreek}"), _at(low["greek"], i + 1)).otherwise(_at(low["latin"], i + 1))
-        return F.when(plain, _at(stream, i + 1)).when(c.rlike(r"^\d$"), _at(digits, i + 1)).when(c.rlike(r"^\p{Lu}$"), F.upper(letter)).when(c.rlike(r"^\p{L}$"), letter).otherwise(c)
+        letter = _at(F.when(c.rlike(r"\p{IsCyrillic}"), e["cyrillic"]).when(c.rlike(r"\p{IsGreek}"), e["greek"]).otherwise(e["latin"]), i + 1)
+        return F.when(c.rlike(r"^\d$"), _at(e["digits"], i + 1)).when(c.rlike(r"^\p{Lu}$"), F.upper(letter)).when(c.rlike(r"^\p{L}$"), letter).otherwise(c)
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
+def _hidden(value: Column, e: Column) -> Column:
+    """As _shaped; hexadecimal text stays hexadecimal."""
+    return F.when(value.rlike("^[0-9a-f]*$"), e["s"].substr(F.lit(1), F.length(value))).otherwise(_shaped(value, e))
+
+
 def _refilled(value: Column, digits: Column) -> Column:
     """value with its digits, one by one, taken from digits."""
     nth = lambda i: F.length(F.regexp_replace(value.substr(F.lit(1), i + 1), r"\D", ""))
@@ -123,24 +126,41 @@ def _picked(names: list[str], stream: Column, at: int) -> Column:
     return F.element_at(F.array(*map(F.lit, names)), F.instr(F.lit(HEX), stream.substr(at, 1)).cast("int"))
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    """The replacement of one entity. From the third further attempt on it may be longer, so one is always found."""
-    canon = canonical(kind, value)
-    s = _stream(key, kind, canon, attempt)
-    more = F.when(attempt >= 3, F.translate(s.substr(200, 8), HEX, LETTERS["latin"])).otherwise("")
-    digits, old = _digits(s), F.regexp_replace(value, r"\D", "")
-    domain = F.substring_index(value, "@", -1)
-    of_domain = F.translate(_stream(key, F.lit("domain"), F.lower(domain), F.lit(0)).substr(1, 7), HEX, LETTERS["latin"])
-    email = F.concat(_shaped(F.substring_index(value, "@", 1), s), more, F.lit("@"), of_domain, F.lit(".example."), F.substring_index(domain, ".", -1))
-    hidden = F.regexp_extract(value, _SECRET_HEAD, 2)
-    secret = F.concat(F.regexp_extract(value, _SECRET_HEAD, 1), _shaped(hidden, s))
+def described(values: Column) -> Column:
+    """array<struct<value, kind, canon>> for an array of entities. Each step binds what the next uses many times."""
+    kinds = F.transform(values, lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
+    return F.transform(kinds, lambda e: F.struct(e["value"].alias("value"), e["kind"].alias("kind"), canonical(e["kind"], e["value"]).alias("canon")))
+
+
+def surrogates(found: Column, key: str) -> Column:
+    """The replacements of an array<struct<value, kind, canon, attempt>>.
+
+    From the third further attempt on they may be longer, so one is always found.
+    """
+    bound = F.transform(found, lambda e: F.struct(
+        e["value"].alias("value"), e["kind"].alias("kind"), e["attempt"].alias("attempt"), _stream(key, e["kind"], e["canon"], e["attempt"]).alias("s"),
+        F.when(e["kind"] == "email", _stream(key, F.lit("domain"), F.lower(F.substring_index(e["value"], "@", -1)), F.lit(0)).substr(1, 7)).alias("domain"),
+    ))
+    bound = F.transform(bound, lambda e: F.struct(
+        *[e[c].alias(c) for c in ("value", "kind", "attempt", "s", "domain")], _digits(e["s"]).alias("digits"), F.regexp_replace(e["value"], r"\D", "").alias("old"),
+        *[F.translate(e["s"], HEX, a).alias(script) for script, a in LETTERS.items()],
+        F.regexp_extract(e["value"], _TITLE, 1).alias("title"), F.regexp_extract(e["value"], _TITLE, 2).alias("rest"),
+    ))
+    return F.transform(bound, _replacement)
+
+
+def _replacement(e: Column) -> Column:
+    kind, value, s, digits, old, title, rest, attempt = (e[c] for c in ("kind", "value", "s", "digits", "old", "title", "rest", "attempt"))
+    more = F.when(attempt >= 3, e["latin"].substr(200, 8)).otherwise("")
+    domain = F.concat(F.translate(e["domain"], HEX, LETTERS["latin"]), F.lit(".example."), F.substring_index(value, ".", -1))
+    email = F.concat(_shaped(F.substring_index(value, "@", 1), e), more, F.lit("@"), domain)
+    secret = F.concat(F.regexp_extract(value, _SECRET_HEAD, 1), _hidden(F.regexp_extract(value, _SECRET_HEAD, 2), e))
     octet = lambda i: (F.conv(s.substr(i, 2), 16, 10).cast("int") % 254 + 1).cast("string")
     ip = F.concat_ws(".", F.lit("10"), octet(1), octet(3), octet(5))
     body = F.concat(old.substr(1, 1), digits.substr(F.lit(2), F.length(old) - 2))
     valid = _check_digit(old.substr(F.lit(1), F.length(old) - 1)) == F.right(old, F.lit(1))
     card = _refilled(value, F.concat(body, F.when(valid, _check_digit(body)).otherwise(digits.substr(60, 1))))
     phone = _refilled(value, F.concat(old.substr(F.lit(1), F.length(old) - 10), digits.substr(1, 10)))
-    title, rest = F.regexp_extract(value, _TITLE, 1), F.regexp_extract(value, _TITLE, 2)
     bare = F.regexp_replace(title, r"[. ]", "")
     female = bare.isin(FEMALE) | (bare.isin(NEUTRAL) & (s.substr(1, 1) > "7"))
     parts = {}
@@ -150,8 +170,8 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
         parts[script] = F.when(rest.contains(" "), F.concat_ws(" ", first, last)).otherwise(last)
     name = F.concat(title, F.when(rest.rlike(r"\p{IsCyrillic}"), parts["cyrillic"]).otherwise(parts["latin"]))
     return (
-        F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "iban", F.concat(value.substr(1, 2), _shaped(value.substr(F.lit(3), F.length(value)), s)))
-        .when(kind == "ip", ip).when(kind == "ssn", _refilled(value, digits.substr(1, 9))).when(kind == "phone", phone).when(kind == "card", card).when(kind == "key", _shaped(value, s)).otherwise(name)
+        F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "iban", F.concat(value.substr(1, 2), _shaped(value.substr(F.lit(3), F.length(value)), e)))
+        .when(kind == "ip", ip).when(kind == "ssn", _refilled(value, digits.substr(1, 9))).when(kind == "phone", phone).when(kind == "card", card).when(kind == "key", _hidden(value, e)).otherwise(name)
     )
 
 
@@ -165,7 +185,8 @@ def further_attempts(found: DataFrame, key: str) -> DataFrame:
     open_, settled, attempt = found.withColumn("attempt", F.lit(0)), None, 0
     fixes = []
     while True:
-        tried = open_.withColumn("sur", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)))
+        new = surrogates(F.array(F.struct("value", "kind", "canon", "attempt")), key)
+        tried = open_.withColumn("sur", F.transform(new, lambda v: canonical(F.col("kind"), v))[0])
         least = tried.groupBy("kind", "sur").agg(F.min("canon").alias("least"))
         taken = real if settled is None else real.unionByName(settled)
         least = least.join(taken.distinct(), ["kind", "sur"], "left_anti")
@@ -193,20 +214,17 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("text"))
     held = rows.select(row_key("doc_id", "text").alias("row"), entities(F.col("text")).alias("found")).where(F.size("found") > 0)
-    held = held.select("row", F.transform(F.array_distinct("found"), lambda v: F.struct(kind_of(v).alias("kind"), v.alias("value"))).alias("found"))
+    held = held.select("row", described(F.array_distinct("found")).alias("found"))
     held = written(held.distinct(), "entities")
-    each = held.select("row", F.explode("found").alias("e")).select("row", "e.kind", "e.value", canonical(F.col("e.kind"), F.col("e.value")).alias("canon"))
+    each = held.select("row", F.explode("found").alias("e")).select("row", "e.kind", "e.value", "e.canon")
     fixes = written(further_attempts(written(each.groupBy("kind", "canon").agg(F.min("value").alias("value")), "distinct-entities"), key), "attempts")
     of_row = each.select("row", "kind", "canon").join(fixes, ["kind", "canon"]).groupBy("row")
     of_row = written(of_row.agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\u0001", "kind", "canon"), "attempt"))).alias("fix")), "row-attempts")
     out = rows.withColumn("row", row_key("doc_id", "text")).join(of_row, "row", "left").withColumn("found", entities(F.col("text")))
 
-    def replaced(value: Column) -> Column:
-        kind = kind_of(value)
-        attempt = F.coalesce(F.try_element_at("fix", F.concat_ws("\u0001", kind, canonical(kind, value))), F.lit(0))
-        return surrogate(kind, value, attempt, key)
-
+    attempt = lambda e: F.coalesce(F.try_element_at("fix", F.concat_ws("\u0001", e["kind"], e["canon"])), F.lit(0))
+    tried = F.transform(described(F.col("found")), lambda e: F.struct(*[e[c].alias(c) for c in ("value", "kind", "canon")], attempt(e).alias("attempt")))
     gaps = F.split("text", ENTITY, -1)
-    filled = F.zip_with("found", F.slice(gaps, F.lit(2), F.size("found")), lambda v, gap: F.concat(replaced(v), gap))
+    filled = F.zip_with(surrogates(tried, key), F.slice(gaps, F.lit(2), F.size("found")), lambda v, gap: F.concat(v, gap))
     text = F.when(F.size("found") > 0, F.concat(gaps[0], F.array_join(filled, ""))).otherwise(F.col("text"))
     return out.select("doc_id", *keep, text.alias("text"), F.size("found").alias("n_entities"), F.array_sort(F.array_distinct(F.transform("found", kind_of))).alias("kinds"))
