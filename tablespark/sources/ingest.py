@@ -12,6 +12,7 @@ from ..operators.profile import header_scores
 from ..operators.table import Table, unique_headers, unique_name
 from .parsers import PARSERS, unclosed_quote
 from .sniff import sniff
+from .text import settled
 
 HEADER = 0.65
 KEY = ["doc_id", "tab"]
@@ -31,7 +32,8 @@ def parse_texts(docs: DataFrame, fmt: str | None = None, header_mode: str = "aut
         known = docs.withColumn("format", F.lit(fmt))
         names = [fmt]
     else:
-        known = docs.join(sniff(docs).select("doc_id", "format"), "doc_id")
+        # Settled, or the filters below would repeat the whole of the scoring in each parser's branch.
+        known = docs.join(settled(sniff(docs).select("doc_id", "format")), "doc_id")
         found = {r["format"] for r in known.select("format").distinct().collect()}
         names = [n for n in PARSERS if n in found] or ["plain-text"]
     raw = reduce(DataFrame.unionByName, [PARSERS[n](known.where(F.col("format") == n)).withColumn("format", F.lit(n)) for n in names])

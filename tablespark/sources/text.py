@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,3 +33,11 @@ def too_large(text: Column, limit: int = LARGEST) -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, line (from 0), text: the lines of every text."""
     return docs.select("doc_id", F.posexplode(F.split(normal_text(F.col("text")), "\n", -1)).alias("line", "text"))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once, in the session's shared checkpoint folder; a temporary one only where none is named."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+    return df.checkpoint()
