@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 _WORD = re.compile(r"[^\W\d_]+")
 #: Characters lower-cased and split at once; bounds memory for very long texts.
 SLICE = 1 << 20
@@ -91,8 +93,27 @@ def fit_cumulative_link(x: np.ndarray, y: np.ndarray, grades: int, decay: float
     return w, raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))])
 
 
+def sample_labels(labels: DataFrame, id_col: str = "doc_id", toxic_col: str = "toxic", per_class: int = 2000) -> DataFrame:
+    """(doc_id, toxic) of about per_class ids of each label, chosen by hash; so few that they can be broadcast.
+
+    An id labelled more than once counts once, as toxic if any label says so; null ids and labels are left out.
+    """
+    rows = labels.select(F.col(id_col).alias("doc_id"), (F.col(toxic_col) > 0).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    limit = F.when(F.col("toxic") == 1, _share(per_class, sizes.get(1, 0))).otherwise(_share(per_class, sizes.get(0, 0)))
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(GRAIN)) < limit)
+
+
+GRAIN = 1 << 20
+
+
+def _share(wanted: int, there: int) -> int:
+    return int(GRAIN * min(1.0, wanted / max(there, 1)))
+
+
 def fit_severity(labelled: DataFrame, text_col: str = "text", toxic_col: str = "toxic", per_class: int = 2000, words: int = 800, grades: int = 3) -> SeverityModel:
-    """Learns from a bounded sample: about per_class texts of each label, chosen by hash.
+    """Learns from a bounded sample: about per_class texts of each label, chosen by hash; equal ones count once.
 
     Words are chosen by the log-odds of their document frequencies in the sample, divided by its deviation. Rows
     without text or label are left out. Fails with ValueError unless both labels occur.
@@ -101,9 +122,9 @@ def fit_severity(labelled: DataFrame, text_col: str = "text", toxic_col: str = "
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if set(sizes) != {0, 1}:
         raise ValueError("both toxic and clean labels are needed")
-    grain = 1 << 20
-    limit = F.when(F.col("y") == 1, int(grain * min(1, per_class / sizes[1]))).otherwise(int(grain * min(1, per_class / sizes[0])))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(grain)) < limit)
+    limit = F.when(F.col("y") == 1, _share(per_class, sizes[1])).otherwise(_share(per_class, sizes[0]))
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(GRAIN)) < limit).select("y", "text").dropDuplicates()
+    sample = written(sample, "severity-sample")
 
     def frequencies(batches):
         df: Counter = Counter()
@@ -115,7 +136,6 @@ def fit_severity(labelled: DataFrame, text_col: str = "text", toxic_col: str = "
             part = keys[at : at + 20_000]
             yield pa.RecordBatch.from_arrays([pa.array([w for _, w in part]), pa.array([y for y, _ in part], pa.int32()), pa.array([df[k] for k in part], pa.int64())], names=["word", "y", "n"])
 
-    sample = sample.select("y", "text")
     of = lambda k: F.coalesce(F.sum(F.when(F.col("y") == k, F.col("n"))), F.lit(0))
     df = sample.mapInArrow(frequencies, "word string, y int, n bigint").groupBy("word").agg(of(0).alias("clean"), of(1).alias("toxic"), F.sum("n").alias("all"))
     drawn = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
