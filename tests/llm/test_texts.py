@@ -56,7 +56,7 @@ def test_packing_holds_every_id_once(spark, awkward):
     path = tokenizer_file("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
     tok.no_truncation(), tok.no_padding()
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(awkward.select("doc_id", "text").dropDuplicates())
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(awkward.selectExpr("-doc_id AS doc_id", "text").dropDuplicates())
     pieces = packing.pack_documents(docs, path, group=60).collect()
     of_doc, of_seq = defaultdict(list), defaultdict(list)
     for p in pieces:
