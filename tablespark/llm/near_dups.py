@@ -6,10 +6,10 @@ sketch value: texts of small edit distance agree in many, texts that share the w
 Texts that agree in a value are candidates; two are linked if a banded alignment of their words finds an edit
 similarity of 0.8 or more. Classes are the connected components of the links and of exact copies.
 
-Copies are put together first. A bucket of many texts is not paired off: its members are paired with its
-smallest member, and the texts that this leaves unconnected go on to finer buckets, in which two sketch values
-agree, then three, and so on up to whole sketches; a text has at most as many buckets at every level as sketch
-values. Buckets of equal sketches are worked off pivot by pivot, until no bucket has members left to compare.
+Copies are put together first. Small buckets are paired off; members of a large one first meet its smallest
+member. What is then still in two pieces meets in blocks of one large bucket: every member its nearest of another
+piece, then all that are still apart. Only pairs are passed over that are linked by others, or whose lengths or
+sets of words alone already need more edits than the similarity allows.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ SIMILARITY = 0.8
 SKETCHES = 32
 #: Buckets of at most so many texts are paired off.
 SMALL = 12
-#: Sketch values that agree in a bucket, level by level.
-AGREE = (2, 3, 4, 6, 8, 16, 32)
+#: Large buckets are cut by length, then into blocks of about so many texts.
+BLOCK = 2048
+#: 64-bit words of a signature: one bit for each class of words that a text holds.
+SIGNATURE = 16
 _SEEDS = np.random.default_rng(99).integers(1, 1 << 63, size=256, dtype=np.uint64)
 
 
@@ -156,8 +158,45 @@ def edit_similarity(a: list[int], b: list[int], least: float = SIMILARITY) -> fl
     return 1 - distance / longer if distance <= band else 0.0
 
 
+def signatures(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One row of SIGNATURE integers for each text: the classes of words that it holds, as bits."""
+    flags = np.zeros((len(ends) - 1, SIGNATURE * 64), dtype=bool)
+    flags[np.repeat(np.arange(len(ends) - 1), np.diff(ends)), (hashes % np.uint64(SIGNATURE * 64)).astype(np.int64)] = True
+    return np.packbits(flags, axis=1).view(np.int64)
+
+
+def least_edits(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """No more than the edit distance of texts with n and m words and signatures x and y, row by row."""
+    x, y = x.view(np.uint64), y.view(np.uint64)
+    only_x, only_y = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
+    return np.maximum(np.maximum(only_x, only_y), np.abs(n - m))
+
+
+def _band(n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    return ((1 - least) * np.maximum(n, m) + 1e-9).astype(np.int64)
+
+
+def _signature_rows(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, SIGNATURE)
+
+
+def _possible(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b, n) whose lengths and signatures don't rule the similarity out."""
+    of = lambda c, s: texts.select(F.col("node").alias(c), F.col("n").alias(f"{s}_n"), F.col("signature").alias(s))
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "n", "x_n", "x", "y_n", "y")
+    both = both.where(F.abs(F.col("x_n") - F.col("y_n")) <= F.lit(1 - least) * F.greatest("x_n", "y_n") + 1e-9)
+
+    def run(batches):
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("x_n", "y_n"))
+            keep = pa.array(least_edits(n, _signature_rows(batch.column("x")), m, _signature_rows(batch.column("y"))) <= _band(n, m, least))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b", "n")], names=["a", "b", "n"])
+
+    return both.mapInArrow(run, "a binary, b binary, n bigint")
+
+
 def _sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, sketch): node is the text's digest; sketch is null where a text has no words."""
+    """(doc_id, node, sketch, n, signature): node is the text's digest, n its number of words; sketch is null without words."""
     rows = docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), F.lower("text").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -171,9 +210,10 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 values = order_minhash(kmers, starts).view(np.int64) if live.any() else np.empty((0, SKETCHES), np.int64)
                 offsets = np.concatenate([[0], np.cumsum(np.where(live, SKETCHES, 0))]).astype(np.int32)
                 sketch = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()), mask=pa.array(~live))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), sketch], names=["doc_id", "node", "sketch"])
+                n, signature = pa.array(np.diff(ends).astype(np.int32)), pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * SIGNATURE, pa.array(signatures(hashes, ends).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), sketch, n, signature], names=["doc_id", "node", "sketch", "n", "signature"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, node binary, sketch array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, node binary, sketch array<bigint>, n int, signature array<bigint>")
 
 
 def _word_lists(texts: DataFrame) -> DataFrame:
@@ -215,10 +255,71 @@ def _candidates(shared: DataFrame) -> DataFrame:
     return star.unionByName(small).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def _buckets_of(sketch: str, agree: int, count: int = SKETCHES) -> F.Column:
-    """One key for each place of the sketch: the value there and agree - 1 others, a fixed odd step apart."""
-    places = [sorted((t + j * (2 * agree + 1)) % count for j in range(agree)) for t in range(count if agree < count else 1)]
-    return F.array(*[F.xxhash64(F.lit(agree), *[x for p in at for x in (F.lit(p), F.get(sketch, F.lit(p)))]) for at in places])
+def _blocks(large: DataFrame, texts: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(block, members): texts of one large bucket that are to be compared, of two cuts of it or of one.
+
+    Texts of a needed similarity are in the same class of lengths or in adjoining ones.
+    """
+    rows = large.join(texts.select("node", "n", "signature"), "node").join(pieces, "node", "left")
+    rows = rows.select("key", "node", "n", "signature", F.coalesce("component", "node").alias("piece"), F.floor(F.log(F.col("n")) / F.log(F.lit(1.26))).cast("int").alias("c"))
+    cuts = rows.groupBy("key", "c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts"), F.min("piece").alias("low"), F.max("piece").alias("high"))
+    cuts = cuts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("c", "cuts"))).alias("cuts"), F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("key", "cuts")
+    rows = rows.join(cuts, "key")
+    of = lambda c: F.coalesce(F.try_element_at("cuts", c), F.lit(0))
+    c = F.col("c")
+    rows = rows.withColumn("cut", F.pmod(F.xxhash64("node"), of(c)).cast("int"))
+    cut = F.col("cut")
+    among = lambda k: F.when(of(k) > 0, F.sequence(F.lit(0), of(k) - 1)).otherwise(F.array().cast("array<int>"))
+    block = lambda k, i, l, j: F.struct(k.alias("k"), i.alias("i"), l.alias("l"), j.alias("j"))
+    own = F.transform(among(c), lambda i: block(c, F.least(i, cut), c, F.greatest(i, cut)))
+    upper = F.transform(among(c + 1), lambda j: block(c, cut, c + 1, j))
+    lower = F.transform(among(c - 1), lambda i: block(c - 1, i, c, cut))
+    rows = rows.select("key", "node", "n", "signature", "piece", "c", "cut", F.explode(F.concat(own, upper, lower)).alias("block"))
+    first = (c == F.col("block.k")) & (cut == F.col("block.i"))
+    members = F.struct("node", "n", "signature", "piece", first.alias("first"))
+    return rows.groupBy("key", "block").agg(F.collect_list(members).alias("members")).select((F.struct("block.k", "block.i") == F.struct("block.l", "block.j")).alias("alone"), "members")
+
+
+def _apart(blocks: DataFrame, least: float, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of different pieces in one block that can be similar: all, or for every text the nearest."""
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                members = batch.column("members").slice(row, 1).flatten()
+                n = members.field("n").to_numpy().astype(np.int64)
+                piece = np.unique(np.array(members.field("piece").to_pylist(), dtype=object), return_inverse=True)[1]
+                if piece.min() == piece.max():
+                    continue
+                node, signature, first = members.field("node"), _signature_rows(members.field("signature")), members.field("first").to_numpy(zero_copy_only=False).astype(bool)
+                whole = batch.column("alone")[row].as_py()
+                left, right = (np.arange(len(n)),) * 2 if whole else (np.flatnonzero(first), np.flatnonzero(~first))
+                closest, partner = np.full(len(n), 1 << 40), np.full(len(n), -1)
+                for at in range(0, len(left), 128):
+                    some = left[at : at + 128]
+                    fits = (piece[some][:, None] != piece[right]) & (np.abs(n[some][:, None] - n[right]) <= _band(n[some][:, None], n[right], least))
+                    if whole:
+                        fits &= some[:, None] < right
+                    i, j = np.nonzero(fits)
+                    i, j = some[i], right[j]
+                    edits = np.concatenate([np.empty(0, np.int64), *[least_edits(n[i[k : k + 16384]], signature[i[k : k + 16384]], n[j[k : k + 16384]], signature[j[k : k + 16384]]) for k in range(0, len(i), 16384)]])
+                    keep = edits <= _band(n[i], n[j], least)
+                    i, j, edits = i[keep], j[keep], edits[keep]
+                    if nearest:
+                        for x, y in ((i, j), (j, i)):
+                            order = np.lexsort((edits, x))
+                            x, y, e = x[order], y[order], edits[order]
+                            head = np.flatnonzero(np.diff(x, prepend=-1))
+                            head = head[e[head] < closest[x[head]]]
+                            closest[x[head]], partner[x[head]] = e[head], y[head]
+                    elif len(i):
+                        yield pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], names=["a", "b"])
+                i = np.flatnonzero(partner >= 0)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(partner[i]))], names=["a", "b"])
+
+    found = blocks.mapInArrow(run, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,42 +331,30 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sketched = written(_sketched(rows.where("text is not null")), "sketches")
-    texts = written(sketched.where("sketch is not null").groupBy("node").agg(F.first("sketch").alias("sketch")), "distinct-sketches")
+    texts = written(sketched.where("sketch is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("sketch", "n", "signature")]), "distinct-sketches")
     level = texts.select("node", F.posexplode("sketch").alias("t", "value")).select("node", F.xxhash64("t", "value").alias("key"))
-    links, words, finer = None, None, iter(AGREE)
-    while True:
-        buckets = level.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("least")).where("members > 1")
-        shared = written(level.join(buckets, "key"), "buckets")
-        pairs = written(_candidates(shared), "candidates")
-        if words is None:
-            ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-            held = rows.where("text is not null").select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
-            words = written(_word_lists(held.join(ends, "node").dropDuplicates(["node"])), "words")
-        # First every text with its likeliest partner, then whatever that leaves in two pieces.
-        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-        first = written(_verified(best, words, least), "links")
-        links = first if links is None else links.unionByName(first)
-        pieces = written(connected_components(links), "pieces")
-        of = lambda c: pieces.select(F.col("node").alias(c), F.col("component").alias(f"{c}_piece"))
-        rest = pairs.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        rest = rest.where(F.coalesce("a_piece", "a") != F.coalesce("b_piece", "b")).select("a", "b")
-        more = written(_verified(rest, words, least), "more-links")
-        links = links.unionByName(more)
-        large = shared.where(f"members > {SMALL} and node <> least")
-        if large.isEmpty():
-            break
-        pieces = written(connected_components(links), "pieces")
-        of = lambda c: pieces.select(F.col("node").alias(c), F.col("component").alias(f"{c}_piece"))
-        apart = large.join(of("node"), "node", "left").join(of("least"), "least", "left")
-        apart = written(apart.where(F.coalesce("node_piece", "node") != F.coalesce("least_piece", "least")).select("node", "key"), "apart")
-        if apart.isEmpty():
-            break
-        agree = next(finer, None)
-        if agree is None:  # equal sketches, so nearly always equal texts: the rest gets the next pivot
-            level = apart
-        else:
-            left = apart.select("node").distinct().join(texts, "node")
-            level = left.select("node", F.explode(F.array_distinct(_buckets_of("sketch", agree))).alias("key"))
+    buckets = level.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("least")).where("members > 1")
+    shared = written(level.join(buckets, "key"), "buckets")
+    pairs = written(_possible(_candidates(shared), texts, least), "candidates")
+    large = shared.where(f"members > {SMALL}").select("key", "node")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
+    held = rows.where("text is not null").select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
+    words = written(_word_lists(held.join(ends, "node").dropDuplicates(["node"])), "words")
+    # First every text with its likeliest partner, then whatever that leaves in two pieces.
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+    links = written(_verified(best, words, least), "links")
+    pieces = written(connected_components(links), "pieces")
+    of = lambda c: pieces.select(F.col("node").alias(c), F.col("component").alias(f"{c}_piece"))
+    rest = pairs.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = rest.where(F.coalesce("a_piece", "a") != F.coalesce("b_piece", "b")).select("a", "b")
+    links = links.unionByName(written(_verified(rest, words, least), "more-links"))
+    if not large.isEmpty():
+        tried = pairs.select("a", "b")
+        for nearest in (True, False):
+            pieces = written(connected_components(links), "pieces")
+            found = written(_apart(_blocks(large, texts, pieces), least, nearest).join(tried, ["a", "b"], "left_anti"), "apart")
+            links = links.unionByName(written(_verified(found, words, least), "links-apart"))
+            tried = tried.unionByName(found)
     pieces = connected_components(links).select("node", F.col("component").alias("piece"))
     out = sketched.select("doc_id", "node").join(pieces, "node", "left").select("doc_id", "node", F.coalesce("piece", "node").alias("piece"))
     sizes = out.groupBy("piece").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))

@@ -145,6 +145,52 @@ def test_near_copies(spark):
     assert near_dups.near_duplicates(df.where("false")).count() == 0
 
 
+def classes_by_brute_force(texts, least=near_dups.SIMILARITY):
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    codes = [[hash(w) for w in t.split()] for t in texts]
+    for i in range(len(codes)):
+        for j in range(i):
+            if root(i) != root(j) and near_dups.edit_similarity(codes[i], codes[j], least):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(codes))]
+
+
+def test_large_buckets_keep_stars_and_chains(spark, monkeypatch):
+    """All texts share a passage, so all buckets are large; copies are close to their base or version, not to a pivot."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), size=6))
+    passage, texts = [word() for _ in range(50)], []
+
+    def changed(words, n):
+        words = list(words)
+        for at in rng.choice(len(words) // 5, size=n // 5, replace=False):
+            words[at * 5 : at * 5 + 5] = [word() for _ in range(5)]
+        return words
+
+    star = [word() for _ in range(100)]
+    texts += [passage + star] + [passage + changed(star, 20) for _ in range(150)]
+    version = [word() for _ in range(100)]
+    for _ in range(80):
+        texts.append(passage + version)
+        version = changed(version, 20)
+    texts += [passage + [word() for _ in range(100)] for _ in range(60)]
+    texts = [" ".join(texts[i]) for i in rng.permutation(len(texts))]
+    want = classes_by_brute_force(texts)
+    assert len(set(want)) == 62
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    monkeypatch.setattr(near_dups, "BLOCK", 100)
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_near_copies_of_the_table(spark):
     """No link that brute force over all pairs finds is lost, and none is made up."""
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r["text"]]
