@@ -1,8 +1,9 @@
-"""Near-duplicate classes by Order MinHash and banded alignment.
+"""Near-duplicate classes by MinHash over word k-mers and banded alignment.
 
-A text's words (lower case, letters and digits) give k-mers of five words, each labelled with how often it came
-before. For every hash function the two smallest labelled k-mers are kept in text order, and their hash is one
-sketch value: texts of small edit distance agree in many, texts that share the words in another order do not.
+A text's words (lower case, letters and digits) give k-mers, each labelled with how often it came before: of two
+words in the shortest texts, then three, then four. For every hash function the smallest labelled k-mer is one
+sketch value. Texts near a change of k have the sketches of both, so that every pair of the needed similarity
+shares a k. (Two smallest k-mers in text order would agree with the square of the chance, far too seldom at 0.8.)
 Texts that agree in a value are candidates; two are linked if a banded alignment of their words finds an edit
 similarity of 0.8 or more. Classes are the connected components of the links and of exact copies.
 
@@ -25,7 +26,8 @@ from .common import written
 from .components import connected_components
 from .word_hash import column_bytes, mixed, word_hashes
 
-WORDS = 5
+#: (words of a k-mer, fewest and most words of the texts it serves); ranges overlap by more than 1 / SIMILARITY.
+FAMILIES = ((2, 1, 9), (3, 8, 50), (4, 40, 1 << 31))
 SIMILARITY = 0.8
 SKETCHES = 32
 #: Buckets of at most so many texts are paired off.
@@ -37,7 +39,7 @@ SIGNATURE = 16
 _SEEDS = np.random.default_rng(99).integers(1, 1 << 63, size=256, dtype=np.uint64)
 
 
-def labelled_kmers(hashes: np.ndarray, ends: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def labelled_kmers(hashes: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(k-mers labelled by occurrence, number before each text). A text of fewer words is one k-mer."""
     n = np.diff(ends)
     count = np.where(n >= words, n - words + 1, np.minimum(n, 1))
@@ -60,31 +62,37 @@ def labelled_kmers(hashes: np.ndarray, ends: np.ndarray, words: int = WORDS) ->
         return mixed(kmer + nth * np.uint64(0x9E3779B97F4A7C15)), starts
 
 
-def order_minhash(kmers: np.ndarray, starts: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
-    """One row of sketch values for each text that has k-mers: the two smallest, hashed in text order."""
-    live = np.flatnonzero(np.diff(starts) > 0)
-    begin, sizes = starts[live], np.diff(starts)[live]
-    owner = np.repeat(np.arange(len(live)), sizes)
-    out = np.empty((len(live), sketches), dtype=np.uint64)
-    top = np.uint64((1 << 64) - 1)
+def minhash(kmers: np.ndarray, starts: np.ndarray, words: int, sketches: int = SKETCHES) -> np.ndarray:
+    """One row of sketch values for each text that has k-mers: the smallest under every hash function."""
+    begin = starts[:-1][np.diff(starts) > 0]
+    out = np.empty((len(begin), sketches), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for t in range(sketches):
             v = (kmers ^ _SEEDS[t]) * np.uint64(0x9FB21C651E98DF25)
             v ^= v >> np.uint64(29)
-            least = np.minimum.reduceat(v, begin)
-            at = np.flatnonzero(v == least[owner])
-            first = np.empty(len(live), dtype=np.int64)
-            first[owner[at][::-1]] = at[::-1]
-            v[first] = top
-            second_value = np.minimum.reduceat(v, begin)
-            at = np.flatnonzero(v == second_value[owner])
-            second = np.empty(len(live), dtype=np.int64)
-            second[owner[at][::-1]] = at[::-1]
-            early, late = np.where(first <= second, least, second_value), np.where(first <= second, second_value, least)
-            out[:, t] = mixed(early * np.uint64(0x2545F4914F6CDD1D) + late + _SEEDS[t])
+            out[:, t] = mixed(np.minimum.reduceat(v, begin) + _SEEDS[t] * np.uint64(2 * words + 1))
     return out
 
 
+def sketches_of(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sketch values of all texts in order, offsets): SKETCHES values for each family that a text's length is in."""
+    n = np.diff(ends)
+    row, values = [], []
+    for words, low, high in FAMILIES:
+        some = np.flatnonzero((n >= low) & (n <= high))
+        if len(some):
+            at = np.repeat((n[some] >= 0).cumsum() - 1, n[some])
+            inner = np.concatenate([[0], np.cumsum(n[some])])
+            kmers, starts = labelled_kmers(hashes[ends[some][at] + np.arange(inner[-1]) - inner[at]], inner, words)
+            row.append(some)
+            values.append(minhash(kmers, starts, words))
+    if not row:
+        return np.empty(0, np.uint64), np.zeros(len(n) + 1, np.int64)
+    row, values = np.concatenate(row), np.concatenate(values)
+    order = np.argsort(row, kind="stable")
+    return values[order].ravel(), np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(n)) * SKETCHES)])
+
+
 def _bits(places: list[int]) -> int:
     if places[-1] < 4096:
         return sum(1 << p for p in places)
@@ -205,11 +213,8 @@ def _sketched(docs: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 hashes, ends = word_hashes(*column_bytes(batch.column("text")))
-                kmers, starts = labelled_kmers(hashes, ends)
-                live = np.diff(starts) > 0
-                values = order_minhash(kmers, starts).view(np.int64) if live.any() else np.empty((0, SKETCHES), np.int64)
-                offsets = np.concatenate([[0], np.cumsum(np.where(live, SKETCHES, 0))]).astype(np.int32)
-                sketch = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()), mask=pa.array(~live))
+                values, offsets = sketches_of(hashes, ends)
+                sketch = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)), mask=pa.array(np.diff(offsets) == 0))
                 n, signature = pa.array(np.diff(ends).astype(np.int32)), pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * SIGNATURE, pa.array(signatures(hashes, ends).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), sketch, n, signature], names=["doc_id", "node", "sketch", "n", "signature"])
 
@@ -332,7 +337,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sketched = written(_sketched(rows.where("text is not null")), "sketches")
     texts = written(sketched.where("sketch is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("sketch", "n", "signature")]), "distinct-sketches")
-    level = texts.select("node", F.posexplode("sketch").alias("t", "value")).select("node", F.xxhash64("t", "value").alias("key"))
+    level = texts.select("node", F.explode(F.array_distinct("sketch")).alias("key"))
     buckets = level.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("least")).where("members > 1")
     shared = written(level.join(buckets, "key"), "buckets")
     pairs = written(_possible(_candidates(shared), texts, least), "candidates")

@@ -191,6 +191,22 @@ def test_large_buckets_keep_stars_and_chains(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("length", [5, 9, 10, 12, 20, 40, 45, 50, 60, 200, 600])
+def test_sketches_find_pairs_at_the_similarity(length):
+    """Scattered edits up to 0.8: at least 0.98 of the pairs agree in a sketch value."""
+    rng = np.random.default_rng(length)
+    found = 0
+    for _ in range(200):
+        a = rng.integers(1, 1 << 63, size=length, dtype=np.uint64)
+        b, edits = a.copy(), length // 5
+        b[rng.choice(length, size=edits, replace=False)] = rng.integers(1, 1 << 63, size=edits, dtype=np.uint64)
+        if rng.random() < 0.5:  # words that are gone rather than changed, so the lengths differ
+            b = a[np.isin(a, b)]
+        values, at = near_dups.sketches_of(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        found += bool(set(values[: at[1]].tolist()) & set(values[at[1] :].tolist()))
+    assert found >= 196
+
+
 def test_near_copies_of_the_table(spark):
     """No link that brute force over all pairs finds is lost, and none is made up."""
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r["text"]]
