@@ -33,17 +33,20 @@ LETTERS = {"latin": "abcdefghijklmnop", "cyrillic": "абвгдежзиклмн
 HEX = "0123456789abcdef"
 
 _LOCAL = r"[\p{L}0-9._%+\-]"
+_NAME = r"\p{Lu}\p{Ll}++(?:-\p{L}++)*+(?!\p{L})"
 #: Kinds in order of precedence. Each pattern begins where no longer run of its own letters does.
 KINDS: list[tuple[str, str]] = [
     ("email", rf"(?<!{_LOCAL}){_LOCAL}++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*(?<=\.[A-Za-z]{{2,20}})"),
-    ("secret", r"(?<![\p{L}0-9_])(?i:token|secret|password|passwd|api[_\-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_\-+/.]{8,512}"),
+    ("secret", r"(?<![\p{L}0-9_])(?i:token|secret|password|passwd|api[_\-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_\-+/.]{8,}+"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|\d?\d)(?!\.?\d)"),
     ("ssn", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
-    ("phone", r"(?<![\p{L}\d])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)"),
+    # With a country code any grouping, North American groups, or groups after a leading zero that are no date.
+    ("phone", r"(?<![\p{L}\d])(?:\+[1-9](?:[ .\-/]?(?:\(\d{1,5}\)|\d)){6,14}|(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}"
+     r"|(?!\d{2}[.\-/]\d{2}[.\-/]\d{4}(?!\d))(?=\(?(?:\d[ .\-/)]{0,2}){9,13}(?!\d))(?:\(0\d{1,4}\)|0\d{1,4})(?:[ .\-/]\d{2,8}){1,4})(?!\d)"),
     ("card", r"(?<![\p{L}\d])\d(?:[ \-]?\d){12,18}(?!\d)"),
-    ("key", r"(?<![A-Za-z0-9])(?=[0-9a-f]{0,63}[0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])"),
-    ("name", rf"(?<![\p{{L}}])(?:(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? )(?:\p{{Lu}}\p{{Ll}}+)(?: \p{{Lu}}\p{{Ll}}+)?(?![\p{{L}}])"),
+    ("key", r"(?<![A-Za-z0-9])(?=[a-fA-F]*+[0-9])[0-9a-fA-F]{32,}+(?![A-Za-z0-9])"),
+    ("name", rf"(?<![\p{{L}}])(?:(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? ){_NAME}(?: {_NAME})*+"),
 ]
 ENTITY = "|".join(f"(?:{p})" for _, p in KINDS)
 #: What every entity holds somewhere; texts without it are passed by.
@@ -73,14 +76,16 @@ def canonical(kind: Column, value: Column) -> Column:
         .when(kind == "iban", F.replace(value, F.lit(" "), F.lit("")))
         .when(kind.isin("card", "ssn"), digits)
         .when(kind == "phone", F.right(digits, F.lit(10)))
+        .when(kind == "key", F.lower(value))
         .when(kind == "name", F.lower(F.regexp_extract(value, _TITLE, 2)))
         .otherwise(value)
     )
 
 
-def _stream(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
+def _stream(key: str, kind: Column, canon: Column, attempt: Column, value: Column) -> Column:
+    """Hexadecimal digits, more than value is long."""
     seed = F.concat_ws("\u0001", F.lit(key), kind, canon, attempt.cast("string"))
-    return F.repeat(F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("\u0002")), 256)), 5)
+    return F.repeat(F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("\u0002")), 256)), F.greatest(F.lit(5), F.ceil(F.length(value) / 128) + 1).cast("int"))
 
 
 def _digits(stream: Column) -> Column:
@@ -103,7 +108,9 @@ def _shaped(value: Column, e: Column) -> Column:
 
 def _hidden(value: Column, e: Column) -> Column:
     """As _shaped; hexadecimal text stays hexadecimal."""
-    return F.when(value.rlike("^[0-9a-f]*$"), e["s"].substr(F.lit(1), F.length(value))).otherwise(_shaped(value, e))
+    some = e["s"].substr(F.lit(1), F.length(value))
+    mixed = F.array_join(F.zip_with(F.split(value, ""), F.split(some, ""), lambda c, x: F.when(c.rlike("^[A-F]$"), F.upper(x)).otherwise(x)), "")
+    return F.when(value.rlike("^[0-9a-f]*$"), some).when(value.rlike("^[0-9A-F]*$"), F.upper(some)).when((e["kind"] == "key") & value.rlike("^[0-9a-fA-F]*$"), mixed).otherwise(_shaped(value, e))
 
 
 def _refilled(value: Column, digits: Column) -> Column:
@@ -138,8 +145,8 @@ def surrogates(found: Column, key: str) -> Column:
     From the third further attempt on they may be longer, so one is always found.
     """
     bound = F.transform(found, lambda e: F.struct(
-        e["value"].alias("value"), e["kind"].alias("kind"), e["attempt"].alias("attempt"), _stream(key, e["kind"], e["canon"], e["attempt"]).alias("s"),
-        F.when(e["kind"] == "email", _stream(key, F.lit("domain"), F.lower(F.substring_index(e["value"], "@", -1)), F.lit(0)).substr(1, 7)).alias("domain"),
+        e["value"].alias("value"), e["kind"].alias("kind"), e["attempt"].alias("attempt"), _stream(key, e["kind"], e["canon"], e["attempt"], e["value"]).alias("s"),
+        F.when(e["kind"] == "email", _stream(key, F.lit("domain"), F.lower(F.substring_index(e["value"], "@", -1)), F.lit(0), F.lit("")).substr(1, 7)).alias("domain"),
     ))
     bound = F.transform(bound, lambda e: F.struct(
         *[e[c].alias(c) for c in ("value", "kind", "attempt", "s", "domain")], _digits(e["s"]).alias("digits"), F.regexp_replace(e["value"], r"\D", "").alias("old"),

@@ -192,6 +192,25 @@ def test_pii_keeps_entities_distinct(spark):
         assert len({r["text"].split()[nth] for r in got}) == 3000
 
 
+def test_pii_of_any_length_and_form(spark):
+    rng = np.random.default_rng(5)
+    some = lambda letters, n: "".join(rng.choice(list(letters), size=n))
+    token, hexes = some("abcXYZ019_-.", 1500), [some("0123456789abcdef", 90), some("0123456789ABCDEF", 40), some("0123456789abcdefABCDEF", 900)]
+    phones = ["+49 30 1234567", "+44 20 7946 0958", "+4930123456789", "030 1234567", "01 23 45 67 89", "(0221) 4710 815"]
+    names = ["Frau Anna Maria Muster", "Herr Karl Meier-Schmidt", "Dr. Otto Emil Graf-Lehn Sorge"]
+    texts = [f"token={token} end", *[f"hash {h} end" for h in hexes], *[f"call {p} now" for p in phones], *[f"with {n} today" for n in names], "on 01.02.2024 and 01-02-2024"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = {r["doc_id"]: r for r in pii.replace_entities(df, "k").collect()}
+    parts = [token, *hexes, *phones]
+    for i, part in enumerate(parts):
+        got = by[i]["text"]
+        assert by[i]["n_entities"] == 1 and len(got) == len(texts[i]) and got[-4:] == texts[i][-4:]
+        assert not any(part[at : at + 9] in got for at in range(len(part) - 8)), got
+    for i, n in enumerate(names, len(parts)):
+        assert by[i]["n_entities"] == 1 and by[i]["text"].endswith(" today") and not set(n.replace("-", " ").split()[1:]) & set(by[i]["text"].replace("-", " ").split())
+    assert by[len(texts) - 1]["text"] == texts[-1]
+
+
 def test_query_digests(spark):
     text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in queries.op5_media(spark, SF).collect():
