@@ -35,7 +35,33 @@ def normal_form(url: Column) -> Column:
     query = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1), F.lit(""))
     query = F.regexp_replace(query, r"(?i)(^|&)(utm_\w+|ref|fbclid|gclid)=[^&]*", "")
     path = F.regexp_replace(path_of(url), r"(/index\.html?|/)$", "")
-    return F.concat(host_of(url), path, F.lit("?"), F.regexp_replace(query, r"^&", ""))
+    return F.when(url.contains("://"), F.concat(host_of(url), path, F.lit("?"), F.regexp_replace(query, r"^&", "")))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with /, its . and .. segments worked off."""
+    parts = F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/")))
+    none = F.array().cast("array<string>")
+    step = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    done = F.aggregate(parts, none, step)
+    ends = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none)
+    return F.concat(F.lit("/"), F.array_join(F.concat(done, ends), "/"))
+
+
+def resolved(url: Column, link: Column) -> Column:
+    """The link as a whole url, seen from a page's url; null for other schemes, bare fragments and pages without ://."""
+    root = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    scheme = F.regexp_extract(url, r"(?s)^(.*?:)//", 1)
+    folder = F.regexp_replace(F.concat(F.when(path_of(url) == "", "/").otherwise(path_of(url))), r"[^/]*$", "")
+    path, rest = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    return (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), link)
+        .when(link.rlike(r"^(?:$|#|[A-Za-z][A-Za-z0-9+.\-]*:)") | F.coalesce(root == "", F.lit(True)), F.lit(None).cast("string"))
+        .when(link.startswith("//"), F.concat(scheme, link))
+        .when(link.startswith("?"), F.concat(root, path_of(url), link))
+        .when(link.startswith("/"), F.concat(root, _without_dots(path), rest))
+        .otherwise(F.concat(root, _without_dots(F.concat(folder, path)), rest))
+    )
 
 
 def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -53,7 +79,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
 
     rules: (allow or block, host, path prefix), a short list held by the driver. A page without a fitting rule
     is allowed if its class holds an explicit allow, else blocked if its class holds a block, else allowed.
-    Null urls have no class and are allowed; null html has no links; repeated rows are judged alike; empty
+    Links count relative to the page's url. Null urls and urls without :// have no class and are allowed; null html has no links; repeated rows are judged alike; empty
     tables give no rows; further columns, whatever their names, are left out.
     """
     url, html = F.col("url"), F.coalesce(F.col("html"), F.lit(""))
@@ -63,8 +89,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
         F.transform(F.regexp_extract_all(html, F.lit(REFRESH), 0), lambda t: F.regexp_extract(t, REFRESH_URL, 1)),
     )
     links = F.when(F.lower(html).contains("canonical") | F.lower(html).contains("refresh"), links).otherwise(F.array().cast("array<string>"))
-    root = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    absolute = F.filter(F.transform(links, lambda t: F.when(t.contains("://"), t).when(t.startswith("/"), F.concat(root, t))), lambda t: t.isNotNull())
+    absolute = F.filter(F.transform(links, lambda t: resolved(url, t)), lambda t: t.isNotNull())
     p = p.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), absolute.alias("links"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     p = p.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("own"), F.md5(normal_form(url).cast("binary")).alias("node"), "links")

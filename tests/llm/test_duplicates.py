@@ -281,6 +281,18 @@ def test_url_classes(spark):
     assert url_filter.filter_urls(df.where("false"), []).count() == 0
 
 
+def test_relative_links_and_urls_without_a_scheme(spark):
+    link = '<link rel="canonical" href="{}">'
+    rows = [
+        (1, "http://x.test/a/b/c.html", link.format("../bad/p.html")), (2, "http://x.test/a/q", link.format("bad/p.html")), (3, "http://y.test/z", link.format("//x.test/a/bad/p.html")),
+        (4, "http://x.test/a/bad/p.html?p=1", link.format("?p=2")), (5, "http://w.test/", link.format("./v")), (6, "http://w.test/v", link.format("http://x.test/a/bad/p.html")),
+        (7, None, link.format("http://x.test/a/bad/p.html")), (8, "no scheme", link.format("http://x.test/a/bad/p.html")), (9, "also none", ""), (10, "http://u.test/", link.format("mailto:x@x.test")),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    by = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(df, [("block", "x.test", "/a/bad/")]).collect()}
+    assert by == {i: "allow" if i >= 7 else "block" for i in range(1, 11)}
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     at = {}
