@@ -142,7 +142,8 @@ def described(values: Column) -> Column:
 def surrogates(found: Column, key: str) -> Column:
     """The replacements of an array<struct<value, kind, canon, attempt>>.
 
-    From the third further attempt on they may be longer, so one is always found.
+    Names grow by a syllable with every attempt, emails are longer from the third further one on; addresses leave
+    10/8 for 240/4, then for all of IPv4.
     """
     bound = F.transform(found, lambda e: F.struct(
         e["value"].alias("value"), e["kind"].alias("kind"), e["attempt"].alias("attempt"), _stream(key, e["kind"], e["canon"], e["attempt"], e["value"]).alias("s"),
@@ -163,7 +164,8 @@ def _replacement(e: Column) -> Column:
     email = F.concat(_shaped(F.substring_index(value, "@", 1), e), more, F.lit("@"), domain)
     secret = F.concat(F.regexp_extract(value, _SECRET_HEAD, 1), _hidden(F.regexp_extract(value, _SECRET_HEAD, 2), e))
     octet = lambda i: (F.conv(s.substr(i, 2), 16, 10).cast("int") % 254 + 1).cast("string")
-    ip = F.concat_ws(".", F.lit("10"), octet(1), octet(3), octet(5))
+    net = F.when(attempt == 0, F.lit("10")).when(attempt < 3, (F.lit(240) + octet(7).cast("int") % 15).cast("string")).otherwise(octet(7))
+    ip = F.concat_ws(".", net, octet(1), octet(3), octet(5))
     body = F.concat(old.substr(1, 1), digits.substr(F.lit(2), F.length(old) - 2))
     valid = _check_digit(old.substr(F.lit(1), F.length(old) - 1)) == F.right(old, F.lit(1))
     card = _refilled(value, F.concat(body, F.when(valid, _check_digit(body)).otherwise(digits.substr(60, 1))))
@@ -173,7 +175,8 @@ def _replacement(e: Column) -> Column:
     parts = {}
     for script in ("latin", "cyrillic"):
         first = F.when(female, _picked(FIRST_NAMES["f", script], s, 2)).otherwise(_picked(FIRST_NAMES["m", script], s, 2))
-        last = F.initcap(F.concat(*[_picked(SYLLABLES[script], s, i) for i in (3, 4, 5)], F.when(attempt >= 3, _picked(SYLLABLES[script], s, 6)).otherwise("")))
+        syllables = F.array(*map(F.lit, SYLLABLES[script]))
+        last = F.initcap(F.array_join(F.transform(F.sequence(F.lit(3), attempt + 5), lambda i: F.element_at(syllables, F.instr(F.lit(HEX), _at(s, i)).cast("int"))), ""))  # noqa: B023
         parts[script] = F.when(rest.contains(" "), F.concat_ws(" ", first, last)).otherwise(last)
     name = F.concat(title, F.when(rest.rlike(r"\p{IsCyrillic}"), parts["cyrillic"]).otherwise(parts["latin"]))
     return (

@@ -211,6 +211,14 @@ def test_pii_of_any_length_and_form(spark):
     assert by[len(texts) - 1]["text"] == texts[-1]
 
 
+def test_pii_name_surrogates_never_run_out(spark, monkeypatch):
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ["ba", "ce"] * 8)  # 8 names of three syllables, 16 of four
+    names = [a + b for a in ("Xu", "Yo", "Zi", "Wy", "Qa", "Ru") for b in ("rra", "lle", "mmi", "nno", "ttu", "sse", "ppi")]
+    df = spark.createDataFrame([(i, f"Herr {n} 10.0.0.{i + 1}") for i, n in enumerate(names)], "doc_id long, text string")
+    got = [r["text"].split() for r in pii.replace_entities(df, "k").collect()]
+    assert len({g[1] for g in got}) == len({g[2] for g in got}) == len(names) and not {g[1] for g in got} & set(names)
+
+
 def test_query_digests(spark):
     text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in queries.op5_media(spark, SF).collect():
