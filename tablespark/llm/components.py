@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import deleted, written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Null ends and loops are ignored, repeated edges count once, no edges give no rows. Each round joins edges
     with one minimum per node, so a node with very many edges is split by AQE's skew join; the number of
-    rounds grows with the logarithm of the longest chain. Every round is written to the shared folder.
+    rounds grows with the logarithm of the longest chain. Every round is written to the shared folder; the
+    tables of rounds that are no longer read are deleted.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     e = written(e.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct(), "edges")
@@ -22,10 +23,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.where("u != v").distinct(), "large-star")
+        before, large = e, written(large.where("u != v").distinct(), "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         e = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        deleted(before, large)
         now = _digest(e)
         if now == seen:
             break

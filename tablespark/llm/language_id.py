@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 DIMS = 8192
 #: Bytes looked at together; bounds a task's memory whatever the length of a text.
-SLICE = 4 << 20
-ROWS = 256
+SLICE = 1 << 20
+ROWS = 64
 _FOLD = np.array([b if b >= 128 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256)], dtype=np.uint32)
 
 
@@ -85,18 +87,20 @@ def _spherical_kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarr
     return c
 
 
-def fit_language_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, max_langs: int = 200, centroids: int = 4, rounds: int = 10, seed: int = 7) -> LanguageModel:
-    """Learns from a bounded sample: about per_lang texts, chosen by hash, of each of at most max_langs languages.
+def fit_language_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, total: int = 80_000, centroids: int = 4, rounds: int = 10, seed: int = 7) -> LanguageModel:
+    """Learns from a bounded sample: about per_lang different texts, chosen by hash, of each language.
 
-    Rows without text, letters or language are left out. Fails with ValueError if nothing is left.
+    With so many languages that this would pass `total` texts, each gives fewer; none is left out. Rows without
+    text, letters or language are left out. If nothing is left, the model knows no language.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    bounded_batches(rows.sparkSession)
+    sizes = rows.groupBy("lang").count().collect()
     if not sizes:
-        raise ValueError("no labelled text")
-    grain = 1 << 20
-    rate = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(math.ceil(grain * min(1.0, per_lang / r["count"]))))])
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(grain)) < F.coalesce(rate[F.col("lang")], F.lit(0)))
+        return LanguageModel([], np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(32, np.float32))
+    grain, wanted = 1 << 20, min(per_lang, max(1, total // len(sizes)))
+    rate = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(math.ceil(grain * min(1.0, wanted / r["count"]))))])
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(grain)) < F.coalesce(rate[F.col("lang")], F.lit(0))).dropDuplicates(["lang", "text"])
 
     def sparse(batches):
         for batch in batches:
@@ -111,7 +115,7 @@ def fit_language_model(labelled: DataFrame, text_col: str = "text", lang_col: st
 
     got = [r for r in sample.mapInArrow(sparse, "lang string, ids array<int>, counts array<float>").collect() if r["ids"]]
     if not got:
-        raise ValueError("no labelled text has letters")
+        return LanguageModel([], np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(32, np.float32))
     got.sort(key=lambda r: (r["lang"], len(r["ids"]), r["ids"], r["counts"]))
     counts = np.zeros((len(got), DIMS), dtype=np.float32)
     for i, r in enumerate(got):
@@ -143,23 +147,31 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     """doc_id, the columns named in keep, lang_pred, score (cosine, 0 to 1) and rejected, for each row of docs.
 
     Whole texts are used, in slices. Null texts and texts without a letter get und and 0 and are rejected;
-    rejected is also true below the model's cosine floor for the text's length. Equal texts get equal values;
-    ties go to the first language in order. Empty tables give no rows.
+    rejected is also true below the model's cosine floor for the text's length. A model without languages gives
+    und and 0, and rejects only texts without a letter. Equal texts get equal values; ties go to the first
+    language in order; repeated rows are judged each; empty tables give no rows; columns not named in keep,
+    whatever their names, are left out.
     """
     names = ["doc_id", *keep]
-    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("_text"), has_letter(F.col(text_col)).alias("_letter"))
+    bounded_batches(docs.sparkSession)
+    # A text that is kept goes through Python once.
+    source = text_col if text_col in keep else "_text"
+    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, *([] if text_col in keep else [F.col(text_col).alias("_text")]), has_letter(F.col(text_col)).alias("_letter"))
     out_type = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema) + ", lang_pred string, score double, rejected boolean"
 
     def predict(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                counts = trigram_counts([(t or "").encode() for t in batch.column("_text").to_pylist()])
+                counts = trigram_counts([(t or "").encode() for t in batch.column(source).to_pylist()])
                 letter = np.array(batch.column("_letter").to_pylist(), dtype=bool)
-                cos = np.clip(model.vectors(counts) @ model.centroids.T, 0.0, 1.0)
-                best = cos.argmax(axis=1)
-                score = np.where(letter, cos[np.arange(len(best)), best], 0.0).astype(np.float64)
-                lang = [model.langs[b] if ok else "und" for b, ok in zip(best, letter)]
+                if model.langs:
+                    cos = np.clip(model.vectors(counts) @ model.centroids.T, 0.0, 1.0)
+                    best = cos.argmax(axis=1)
+                    score = np.where(letter, cos[np.arange(len(best)), best], 0.0).astype(np.float64)
+                    lang = [model.langs[b] if ok else "und" for b, ok in zip(best, letter)]
+                else:
+                    score, lang = np.zeros(len(letter)), ["und"] * len(letter)
                 bad = ~letter | (score < model.floors[_size_class(counts)])
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score), pa.array(bad)], names=[*names, "lang_pred", "score", "rejected"])
 

@@ -1,11 +1,13 @@
-"""Near-duplicate classes by MinHash over word k-mers and banded alignment.
+"""Near-duplicate classes by order MinHash over word k-mers and banded alignment.
 
-A text's words (lower case, letters and digits) give k-mers, each labelled with how often it came before: of two
-words in the shortest texts, then three, then four. For every hash function the smallest labelled k-mer is one
-sketch value. Texts near a change of k have the sketches of both, so that every pair of the needed similarity
-shares a k. (Two smallest k-mers in text order would agree with the square of the chance, far too seldom at 0.8.)
-Texts that agree in a value are candidates; two are linked if a banded alignment of their words finds an edit
-similarity of 0.8 or more. Classes are the connected components of the links and of exact copies.
+A text's words (lower case, letters and digits) give k-mers of four words, each labelled with how often it came
+before; of fewer words in texts of less than 80. (Five words would lose up to one in seven pairs that are only just
+similar enough: the README has figures.) One sketch value is a pair: the two smallest labelled k-mers under
+a hash function, in the order in which the text has them. Texts near a change of k have the sketches of both, so
+that every pair of the needed similarity shares a k. In long texts one hash function deals the k-mers into as many
+bins as there are sketch values, and every bin gives its two smallest. Texts that agree in a value are candidates;
+two are linked if a banded alignment of their words finds an edit similarity of 0.8 or more. Classes are the
+connected components of the links and of exact copies.
 
 Copies are put together first. Small buckets are paired off; members of a large one first meet its smallest
 member. What is then still in two pieces meets in blocks of one large bucket: every member its nearest of another
@@ -22,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 from .components import connected_components
 from .word_hash import column_bytes, mixed, word_hashes
 
-#: (words of a k-mer, fewest and most words of the texts it serves); ranges overlap by more than 1 / SIMILARITY.
-FAMILIES = ((2, 1, 9), (3, 8, 50), (4, 40, 1 << 31))
+#: (words of a k-mer, fewest and most words of the texts it serves, whether bins stand for hash functions); of two
+#: texts of the needed similarity, one family serves both.
+FAMILIES = ((1, 1, 6, False), (2, 5, 14, False), (3, 11, 100, False), (4, 80, 640, False), (4, 512, 1 << 31, True))
 SIMILARITY = 0.8
-SKETCHES = 32
+SKETCHES = 72
 #: Buckets of at most so many texts are paired off.
 SMALL = 12
 #: Large buckets are cut by length, then into blocks of about so many texts.
@@ -62,35 +65,71 @@ def labelled_kmers(hashes: np.ndarray, ends: np.ndarray, words: int) -> tuple[np
         return mixed(kmer + nth * np.uint64(0x9E3779B97F4A7C15)), starts
 
 
-def minhash(kmers: np.ndarray, starts: np.ndarray, words: int, sketches: int = SKETCHES) -> np.ndarray:
-    """One row of sketch values for each text that has k-mers: the smallest under every hash function."""
-    begin = starts[:-1][np.diff(starts) > 0]
+_PLACE = np.uint64((1 << 28) - 1)
+_NONE = np.uint64((1 << 64) - 1)
+
+
+def _pair_key(kmers: np.ndarray, one: np.ndarray, two: np.ndarray, single: np.ndarray, salt: np.uint64) -> np.ndarray:
+    """One value for two k-mers in text order; places are given, of which the second counts if not single."""
+    first, second = kmers[np.minimum(one, two)], np.where(single, np.uint64(0), kmers[np.maximum(one, two)])
+    return mixed(mixed(first + salt) + second)
+
+
+def order_minhash(kmers: np.ndarray, starts: np.ndarray, words: int, sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
+    """(text, value): for each text that has k-mers, the two smallest under every hash function, in text order."""
+    some = np.flatnonzero(np.diff(starts))
+    begin = starts[some]
+    place = (np.arange(len(kmers)) - np.repeat(begin, np.diff(starts)[some])).astype(np.uint64)
     out = np.empty((len(begin), sketches), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for t in range(sketches):
             v = (kmers ^ _SEEDS[t]) * np.uint64(0x9FB21C651E98DF25)
             v ^= v >> np.uint64(29)
-            out[:, t] = mixed(np.minimum.reduceat(v, begin) + _SEEDS[t] * np.uint64(2 * words + 1))
-    return out
+            v &= ~_PLACE
+            v |= place
+            one = begin + (np.minimum.reduceat(v, begin) & _PLACE).astype(np.int64)
+            v[one] = _NONE
+            least = np.minimum.reduceat(v, begin)
+            single = least == _NONE
+            two = np.where(single, one, begin + (least & _PLACE).astype(np.int64))
+            out[:, t] = _pair_key(kmers, one, two, single, _SEEDS[t] * np.uint64(2 * words + 1))
+    return np.repeat(some, sketches), out.ravel()
+
+
+def binned_minhash(kmers: np.ndarray, starts: np.ndarray, words: int, sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
+    """(text, value): for each text and each bin of k-mers, the two smallest of the bin, in text order."""
+    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    with np.errstate(over="ignore"):
+        v = (kmers ^ _SEEDS[0]) * np.uint64(0x9FB21C651E98DF25)
+        v ^= v >> np.uint64(29)
+        group = row * sketches + (v % np.uint64(sketches)).astype(np.int64)
+        order = np.argsort(v // np.uint64(sketches))
+        order = order[np.argsort(group[order], kind="stable")]
+        group = group[order]
+        head = np.flatnonzero(np.diff(group, prepend=-1))
+        single = np.append(head[1:], len(group)) - head == 1
+        one, two = order[head], order[np.minimum(head + 1, len(group) - 1)]
+        two = np.where(single, one, two)
+        salt = _SEEDS[group[head] % sketches] * np.uint64(2 * words)
+        return group[head] // sketches, _pair_key(kmers, one, two, single, salt)
 
 
 def sketches_of(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sketch values of all texts in order, offsets): SKETCHES values for each family that a text's length is in."""
+    """(sketch values of all texts in order, offsets): those of each family that a text's length is in."""
     n = np.diff(ends)
-    row, values = [], []
-    for words, low, high in FAMILIES:
+    rows, values = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for words, low, high, binned in FAMILIES:
         some = np.flatnonzero((n >= low) & (n <= high))
         if len(some):
-            at = np.repeat((n[some] >= 0).cumsum() - 1, n[some])
             inner = np.concatenate([[0], np.cumsum(n[some])])
+            at = np.repeat(np.arange(len(some)), n[some])
             kmers, starts = labelled_kmers(hashes[ends[some][at] + np.arange(inner[-1]) - inner[at]], inner, words)
-            row.append(some)
-            values.append(minhash(kmers, starts, words))
-    if not row:
-        return np.empty(0, np.uint64), np.zeros(len(n) + 1, np.int64)
-    row, values = np.concatenate(row), np.concatenate(values)
+            row, value = (binned_minhash if binned else order_minhash)(kmers, starts, words)
+            rows.append(some[row])
+            values.append(value)
+    row, value = np.concatenate(rows), np.concatenate(values)
     order = np.argsort(row, kind="stable")
-    return values[order].ravel(), np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(n)) * SKETCHES)])
+    return value[order], np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(n)))])
 
 
 def _bits(places: list[int]) -> int:
@@ -236,9 +275,10 @@ def _word_lists(texts: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts a banded alignment finds similar, with the similarity."""
-    both = pairs.select("a", "b").join(words.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
-    both = both.join(words.select(F.col("node").alias("b"), F.col("words").alias("y")), "b").select("a", "b", "x", "y")
+    """The pairs (a, b, p, q) whose texts a and b a banded alignment finds similar."""
+    names = ["a", "b", "p", "q"]
+    both = pairs.select(*names).join(words.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
+    both = both.join(words.select(F.col("node").alias("b"), F.col("words").alias("y")), "b").select(*names, "x", "y")
 
     def run(batches):
         for whole in batches:
@@ -246,9 +286,9 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
                 batch = whole.slice(at, 64)
                 found = [edit_similarity(x, y, least) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
                 keep = pa.array([f > 0 for f in found])
-                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (batch.column("a"), batch.column("b"), pa.array(found, pa.float64()))], names=["a", "b", "similarity"])
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in names], names=names)
 
-    return both.mapInArrow(run, "a binary, b binary, similarity double")
+    return both.mapInArrow(run, "a binary, b binary, p binary, q binary")
 
 
 def _candidates(shared: DataFrame) -> DataFrame:
@@ -260,33 +300,41 @@ def _candidates(shared: DataFrame) -> DataFrame:
     return star.unionByName(small).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def _blocks(large: DataFrame, texts: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(block, members): texts of one large bucket that are to be compared, of two cuts of it or of one.
+def _split_buckets(large: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(key, node, piece, minor) of the large buckets that hold several pieces; minor: not of the bucket's largest."""
+    rows = large.join(pieces, "node", "left").select("key", "node", F.coalesce("piece", "node").alias("piece"))
+    of_key = rows.groupBy("key", "piece").agg(F.count("*").alias("n")).groupBy("key")
+    of_key = of_key.agg(F.max_by("piece", F.struct("n", "piece")).alias("main"), F.count("*").alias("pieces")).where("pieces > 1")
+    return rows.join(of_key.select("key", "main"), "key").select("key", "node", "piece", (F.col("piece") != F.col("main")).alias("minor"))
+
 
-    Texts of a needed similarity are in the same class of lengths or in adjoining ones.
+def _blocks(split: DataFrame, texts: DataFrame) -> DataFrame:
+    """(members): a cut of one bucket (first) with a cut of its minor members (not first), to be compared.
+
+    Members of the largest piece need no comparison with one another. Texts of a needed similarity are in the
+    same class of lengths or in adjoining ones.
     """
-    rows = large.join(texts.select("node", "n", "signature"), "node").join(pieces, "node", "left")
-    rows = rows.select("key", "node", "n", "signature", F.coalesce("component", "node").alias("piece"), F.floor(F.log(F.col("n")) / F.log(F.lit(1.26))).cast("int").alias("c"))
-    cuts = rows.groupBy("key", "c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts"), F.min("piece").alias("low"), F.max("piece").alias("high"))
-    cuts = cuts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("c", "cuts"))).alias("cuts"), F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("key", "cuts")
+    rows = split.join(texts.select("node", "n", "signature"), "node")
+    rows = rows.withColumn("c", F.floor(F.log(F.col("n")) / F.log(F.lit(1.26))).cast("int"))
+    parts = lambda x: F.ceil(x / BLOCK).cast("int")
+    cuts = rows.groupBy("key", "c").agg(parts(F.count("*")).alias("all"), parts(F.count_if("minor")).alias("few"))
+    cuts = cuts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("c", F.struct("all", "few")))).alias("cuts"))
     rows = rows.join(cuts, "key")
-    of = lambda c: F.coalesce(F.try_element_at("cuts", c), F.lit(0))
+    of = lambda c, kind: F.coalesce(F.try_element_at("cuts", c)[kind], F.lit(0))
+    dealt = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
     c = F.col("c")
-    rows = rows.withColumn("cut", F.pmod(F.xxhash64("node"), of(c)).cast("int"))
-    cut = F.col("cut")
-    among = lambda k: F.when(of(k) > 0, F.sequence(F.lit(0), of(k) - 1)).otherwise(F.array().cast("array<int>"))
-    block = lambda k, i, l, j: F.struct(k.alias("k"), i.alias("i"), l.alias("l"), j.alias("j"))
-    own = F.transform(among(c), lambda i: block(c, F.least(i, cut), c, F.greatest(i, cut)))
-    upper = F.transform(among(c + 1), lambda j: block(c, cut, c + 1, j))
-    lower = F.transform(among(c - 1), lambda i: block(c - 1, i, c, cut))
-    rows = rows.select("key", "node", "n", "signature", "piece", "c", "cut", F.explode(F.concat(own, upper, lower)).alias("block"))
-    first = (c == F.col("block.k")) & (cut == F.col("block.i"))
-    members = F.struct("node", "n", "signature", "piece", first.alias("first"))
-    return rows.groupBy("key", "block").agg(F.collect_list(members).alias("members")).select((F.struct("block.k", "block.i") == F.struct("block.l", "block.j")).alias("alone"), "members")
+    among = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    block = lambda first, k, i, l, j: F.struct(F.lit(first).alias("first"), k.alias("k"), i.alias("i"), l.alias("l"), j.alias("j"))
+    own = [F.transform(among(of(c + d, "few")), lambda j: block(True, c, dealt(of(c, "all")), c + d, j)) for d in (-1, 0, 1)]  # noqa: B023
+    others = [F.transform(among(of(c + d, "all")), lambda i: block(False, c + d, i, c, dealt(of(c, "few")))) for d in (-1, 0, 1)]  # noqa: B023
+    found = F.when(F.col("minor"), F.concat(*own, *others)).otherwise(F.concat(*own))
+    rows = rows.select("key", "node", "n", "signature", "piece", F.explode(found).alias("block"))
+    members = F.struct("node", "n", "signature", "piece", "block.first")
+    return rows.groupBy("key", "block.k", "block.i", "block.l", "block.j").agg(F.collect_list(members).alias("members")).select("members")
 
 
 def _apart(blocks: DataFrame, least: float, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of different pieces in one block that can be similar: all, or for every text the nearest."""
+    """Pairs (a, b, p, q) of pieces p and q that can be similar: all in one block, or for every text the nearest."""
 
     def run(batches):
         for batch in batches:
@@ -294,17 +342,13 @@ def _apart(blocks: DataFrame, least: float, nearest: bool) -> DataFrame:
                 members = batch.column("members").slice(row, 1).flatten()
                 n = members.field("n").to_numpy().astype(np.int64)
                 piece = np.unique(np.array(members.field("piece").to_pylist(), dtype=object), return_inverse=True)[1]
-                if piece.min() == piece.max():
-                    continue
-                node, signature, first = members.field("node"), _signature_rows(members.field("signature")), members.field("first").to_numpy(zero_copy_only=False).astype(bool)
-                whole = batch.column("alone")[row].as_py()
-                left, right = (np.arange(len(n)),) * 2 if whole else (np.flatnonzero(first), np.flatnonzero(~first))
+                first = members.field("first").to_numpy(zero_copy_only=False).astype(bool)
+                node, own, signature = members.field("node"), members.field("piece"), _signature_rows(members.field("signature"))
+                left, right = np.flatnonzero(first), np.flatnonzero(~first)
                 closest, partner = np.full(len(n), 1 << 40), np.full(len(n), -1)
                 for at in range(0, len(left), 128):
                     some = left[at : at + 128]
                     fits = (piece[some][:, None] != piece[right]) & (np.abs(n[some][:, None] - n[right]) <= _band(n[some][:, None], n[right], least))
-                    if whole:
-                        fits &= some[:, None] < right
                     i, j = np.nonzero(fits)
                     i, j = some[i], right[j]
                     edits = np.concatenate([np.empty(0, np.int64), *[least_edits(n[i[k : k + 16384]], signature[i[k : k + 16384]], n[j[k : k + 16384]], signature[j[k : k + 16384]]) for k in range(0, len(i), 16384)]])
@@ -318,50 +362,82 @@ def _apart(blocks: DataFrame, least: float, nearest: bool) -> DataFrame:
                             head = head[e[head] < closest[x[head]]]
                             closest[x[head]], partner[x[head]] = e[head], y[head]
                     elif len(i):
-                        yield pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], names=["a", "b"])
+                        yield _pairs(node, own, i, j)
                 i = np.flatnonzero(partner >= 0)
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(partner[i]))], names=["a", "b"])
+                    yield _pairs(node, own, i, partner[i])
 
-    found = blocks.mapInArrow(run, "a binary, b binary")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = blocks.mapInArrow(run, "a binary, b binary, p binary, q binary")
+    turned = F.col("a") > F.col("b")
+    sides = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in ("ab", "ba", "pq", "qp")]
+    return found.select(*sides).distinct()
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node (the text's digest), class_id, class_size for each row of docs.
+def _pairs(node: pa.Array, piece: pa.Array, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([x.take(pa.array(k)) for x in (node, piece) for k in (i, j)], names=["a", "b", "p", "q"])
 
-    class_id is the smallest doc_id of the class. Equal texts are in one class; a null text is a class of its
-    own; texts without words are linked to equal ones alone; repeated rows are counted each; empty tables give
-    no rows; further columns, whatever their names, are left out.
-    """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = written(_sketched(rows.where("text is not null")), "sketches")
+
+def _roots(links: DataFrame) -> DataFrame:
+    """(node, root) for links from every b to one smaller a: the end of each chain, by doubling jumps."""
+    up = written(links.select(F.col("b").alias("node"), F.col("a").alias("root"), F.lit(True).alias("moved")), "roots")
+    while not up.where("moved").isEmpty():
+        over = up.select(F.col("node").alias("root"), F.col("root").alias("over"))
+        jump = up.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root"), F.col("over").isNotNull().alias("moved"))
+        up = written(jump, "roots")
+    return up.select("node", "root")
+
+
+def _merged(pieces: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, piece) after links (p, q) between pieces; a node that is in neither is a piece of its own."""
+    joined = connected_components(links, "p", "q").withColumnRenamed("node", "piece")
+    moved = pieces.join(joined, "piece", "left").select("node", F.coalesce("component", "piece").alias("piece"))
+    # Pieces that were called by their own node, which had no row yet.
+    fresh = joined.join(pieces.select(F.col("node").alias("piece")), "piece", "left_anti")
+    return written(moved.unionByName(fresh.select(F.col("piece").alias("node"), F.col("component").alias("piece"))), "pieces")
+
+
+def _classes(rows: DataFrame, least: float) -> DataFrame:
+    """(doc_id, node, piece) for each row of (doc_id, text) that has a text."""
+    bounded_batches(rows.sparkSession)
+    rows = rows.where("text is not null")
+    sketched = written(_sketched(rows), "sketches")
     texts = written(sketched.where("sketch is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("sketch", "n", "signature")]), "distinct-sketches")
     level = texts.select("node", F.explode(F.array_distinct("sketch")).alias("key"))
     buckets = level.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("least")).where("members > 1")
     shared = written(level.join(buckets, "key"), "buckets")
     pairs = written(_possible(_candidates(shared), texts, least), "candidates")
     large = shared.where(f"members > {SMALL}").select("key", "node")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
-    held = rows.where("text is not null").select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct()
+    held = rows.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
     words = written(_word_lists(held.join(ends, "node").dropDuplicates(["node"])), "words")
     # First every text with its likeliest partner, then whatever that leaves in two pieces.
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-    links = written(_verified(best, words, least), "links")
-    pieces = written(connected_components(links), "pieces")
-    of = lambda c: pieces.select(F.col("node").alias(c), F.col("component").alias(f"{c}_piece"))
-    rest = pairs.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.where(F.coalesce("a_piece", "a") != F.coalesce("b_piece", "b")).select("a", "b")
-    links = links.unionByName(written(_verified(rest, words, least), "more-links"))
-    if not large.isEmpty():
-        tried = pairs.select("a", "b")
-        for nearest in (True, False):
-            pieces = written(connected_components(links), "pieces")
-            found = written(_apart(_blocks(large, texts, pieces), least, nearest).join(tried, ["a", "b"], "left_anti"), "apart")
-            links = links.unionByName(written(_verified(found, words, least), "links-apart"))
-            tried = tried.unionByName(found)
-    pieces = connected_components(links).select("node", F.col("component").alias("piece"))
-    out = sketched.select("doc_id", "node").join(pieces, "node", "left").select("doc_id", "node", F.coalesce("piece", "node").alias("piece"))
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
+    links = written(_verified(best.select("a", "b", F.col("a").alias("p"), F.col("b").alias("q")), words, least), "links")
+    roots = _roots(links)
+    of = lambda c, root: roots.select(F.col("node").alias(c), F.col("root").alias(root))
+    rest = pairs.join(best.select("b", F.col("a").alias("tried")), "b").where("a != tried").join(of("b", "q"), "b", "left").join(of("a", "p"), "a", "left")
+    rest = rest.select("a", "b", F.coalesce("p", "a").alias("p"), F.coalesce("q", "b").alias("q")).where("p != q")
+    pieces = _merged(roots.withColumnRenamed("root", "piece"), written(_verified(rest, words, least), "more-links"))
+    tried = pairs.select("a", "b")
+    for nearest in (True, False):
+        split = written(_split_buckets(large, pieces), "split-buckets")
+        if split.isEmpty():
+            break
+        found = written(_apart(_blocks(split, texts), least, nearest).join(tried, ["a", "b"], "left_anti"), "apart")
+        pieces = _merged(pieces, written(_verified(found, words, least), "links-apart"))
+        tried = tried.unionByName(found.select("a", "b"))
+    return sketched.select("doc_id", "node").join(pieces, "node", "left").select("doc_id", "node", F.coalesce("piece", "node").alias("piece"))
+
+
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, node (the text's digest), class_id, class_size for each row of docs.
+
+    class_id is the smallest doc_id of the class. Equal texts are in one class; a null text is a class of its
+    own; texts without words are linked to equal ones alone; repeated rows are counted each; empty tables give
+    no rows; further columns, whatever their names, are left out.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    out = _classes(rows, least)
     sizes = out.groupBy("piece").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     out = out.join(sizes, "piece").select("doc_id", "node", "class_id", "class_size")
     alone = rows.where("text is null").select("doc_id", F.lit(None).cast("binary").alias("node"), F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"))
@@ -371,11 +447,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
 def keep_one(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, less every text but one of each near-duplicate class.
 
-    The row with the smallest doc_id stays, of rows that share it one; null texts stay.
+    The row with the smallest doc_id stays, of rows that share it the one with the smallest digest; of repeated
+    rows one stays; rows whose text or doc_id is null stay.
     """
-    found = near_duplicates(docs, least, id_col, text_col).where("node is not null")
-    kept = found.where("doc_id = class_id or class_size = 1").groupBy("class_id").agg(F.min("node").alias("_node"))
-    kept = kept.select(F.col("class_id").alias("_kept"), "_node").distinct()
+    found = _classes(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null"), least)
+    kept = found.groupBy("piece").agg(F.min(F.struct("doc_id", "node")).alias("kept")).select(F.col("kept.doc_id").alias("_kept"), F.col("kept.node").alias("_kept_node"))
     keyed = docs.withColumn("_node", F.unhex(F.md5(F.col(text_col).cast("binary"))))
-    stays = keyed.join(kept, (keyed[id_col] == kept["_kept"]) & (keyed["_node"] == kept["_node"]), "left_semi").drop("_node")
-    return stays.dropDuplicates([id_col, text_col]).unionByName(docs.where(F.col(text_col).isNull() | F.col(id_col).isNull()))
+    stays = keyed.join(kept, (keyed[id_col] == kept["_kept"]) & (keyed["_node"] == kept["_kept_node"]), "left_semi")
+    return stays.dropDuplicates([id_col, "_node"]).drop("_node").unionByName(docs.where(F.col(text_col).isNull() | F.col(id_col).isNull()))
