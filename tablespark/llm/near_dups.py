@@ -292,12 +292,17 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
 
 
 def _candidates(shared: DataFrame) -> DataFrame:
-    """Pairs (a, b, n): everyone with the bucket's smallest, and all within small buckets; n counts agreements."""
-    star = shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    lists = shared.where(f"members between 3 and {SMALL} and node <> least").groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("m"))
-    inner = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    small = lists.select(F.explode(inner).alias("p")).select("p.a", "p.b")
-    return star.unionByName(small).groupBy("a", "b").agg(F.count("*").alias("n"))
+    """Pairs (a, b, n): all within small buckets, and every member of large ones with its likeliest smallest member.
+
+    n counts agreements. What else large buckets hold is compared later, as far as it is still in two pieces.
+    """
+    pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+    lists = shared.where(f"members <= {SMALL} and node <> least").groupBy("key", "least").agg(F.array_sort(F.collect_list("node")).alias("m"))
+    among = lists.select("least", "m", F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: pair(x, y))).alias("inner"))
+    small = among.select(F.explode(F.concat(F.transform("m", lambda y: pair(F.col("least"), y)), F.flatten("inner"))).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    star = shared.where(f"members > {SMALL} and node <> least").groupBy(F.col("least").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
+    best = star.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select("best.a", "b", "best.n")
+    return small.unionByName(best).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _split_buckets(large: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -328,9 +333,11 @@ def _blocks(split: DataFrame, texts: DataFrame) -> DataFrame:
     own = [F.transform(among(of(c + d, "few")), lambda j: block(True, c, dealt(of(c, "all")), c + d, j)) for d in (-1, 0, 1)]  # noqa: B023
     others = [F.transform(among(of(c + d, "all")), lambda i: block(False, c + d, i, c, dealt(of(c, "few")))) for d in (-1, 0, 1)]  # noqa: B023
     found = F.when(F.col("minor"), F.concat(*own, *others)).otherwise(F.concat(*own))
-    rows = rows.select("key", "node", "n", "signature", "piece", F.explode(found).alias("block"))
-    members = F.struct("node", "n", "signature", "piece", "block.first")
-    return rows.groupBy("key", "block.k", "block.i", "block.l", "block.j").agg(F.collect_list(members).alias("members")).select("members")
+    rows = rows.select("key", "node", "n", "signature", "piece", F.explode(found).alias("block")).select("key", "node", "n", "signature", "piece", "block.*")
+    members = F.struct("node", "n", "signature", "piece", "first")
+    # Dealt out anew, else all blocks of a bucket would stay in the task of its key.
+    block = ["key", "k", "i", "l", "j"]
+    return rows.repartition(*block).groupBy(*block).agg(F.collect_list(members).alias("members")).select("members")
 
 
 def _apart(blocks: DataFrame, least: float, nearest: bool) -> DataFrame:
