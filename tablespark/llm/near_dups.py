@@ -10,9 +10,10 @@ two are linked if a banded alignment of their words finds an edit similarity of
 connected components of the links and of exact copies.
 
 Copies are put together first. Small buckets are paired off; members of a large one first meet its smallest
-member. What is then still in two pieces meets in blocks of one large bucket: every member its nearest of another
-piece, then all that are still apart. Only pairs are passed over that are linked by others, or whose lengths or
-sets of words alone already need more edits than the similarity allows.
+member. What is then still in two pieces of a large bucket meets in blocks of it, the likeliest pairs first. Only
+pairs are passed over whose pieces are linked by others, or whose lengths or counts of words alone already need
+more edits than the similarity allows. That last step compares members of minor pieces with all of their bucket: its
+work grows with the product of the two, though by integers alone for nearly all pairs.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ SKETCHES = 72
 #: Buckets of at most so many texts are paired off.
 SMALL = 12
 #: Large buckets are cut by length, then into blocks of about so many texts.
-BLOCK = 2048
+BLOCK = 512
 #: 64-bit words of a signature: one bit for each class of words that a text holds.
 SIGNATURE = 16
 _SEEDS = np.random.default_rng(99).integers(1, 1 << 63, size=256, dtype=np.uint64)
@@ -306,25 +307,28 @@ def _candidates(shared: DataFrame) -> DataFrame:
 
 
 def _split_buckets(large: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(key, node, piece, minor) of the large buckets that hold several pieces; minor: not of the bucket's largest."""
+    """(main, node, piece, minor) of the large buckets that hold several pieces; minor: not of the largest, main.
+
+    Buckets with the same largest piece are one, so a group that shares many buckets is compared once.
+    """
     rows = large.join(pieces, "node", "left").select("key", "node", F.coalesce("piece", "node").alias("piece"))
     of_key = rows.groupBy("key", "piece").agg(F.count("*").alias("n")).groupBy("key")
     of_key = of_key.agg(F.max_by("piece", F.struct("n", "piece")).alias("main"), F.count("*").alias("pieces")).where("pieces > 1")
-    return rows.join(of_key.select("key", "main"), "key").select("key", "node", "piece", (F.col("piece") != F.col("main")).alias("minor"))
+    return rows.join(of_key.select("key", "main"), "key").select("main", "node", "piece", (F.col("piece") != F.col("main")).alias("minor")).distinct()
 
 
-def _blocks(split: DataFrame, texts: DataFrame) -> DataFrame:
+def _blocks(split: DataFrame, words: DataFrame) -> DataFrame:
     """(members): a cut of one bucket (first) with a cut of its minor members (not first), to be compared.
 
     Members of the largest piece need no comparison with one another. Texts of a needed similarity are in the
-    same class of lengths or in adjoining ones.
+    same class of lengths or in adjoining ones. A cut has about BLOCK texts at most, and BLOCK * 1024 words.
     """
-    rows = split.join(texts.select("node", "n", "signature"), "node")
+    rows = split.join(words.select("node", "words", F.size("words").alias("n")), "node")
     rows = rows.withColumn("c", F.floor(F.log(F.col("n")) / F.log(F.lit(1.26))).cast("int"))
-    parts = lambda x: F.ceil(x / BLOCK).cast("int")
-    cuts = rows.groupBy("key", "c").agg(parts(F.count("*")).alias("all"), parts(F.count_if("minor")).alias("few"))
-    cuts = cuts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("c", F.struct("all", "few")))).alias("cuts"))
-    rows = rows.join(cuts, "key")
+    parts = lambda which: F.ceil(F.greatest(F.count_if(which) / BLOCK, F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)) / (BLOCK * 1024))).cast("int")
+    cuts = rows.groupBy("main", "c").agg(parts(F.lit(True)).alias("all"), parts(F.col("minor")).alias("few"))
+    cuts = cuts.groupBy("main").agg(F.map_from_entries(F.collect_list(F.struct("c", F.struct("all", "few")))).alias("cuts"))
+    rows = rows.join(cuts, "main")
     of = lambda c, kind: F.coalesce(F.try_element_at("cuts", c)[kind], F.lit(0))
     dealt = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
     c = F.col("c")
@@ -333,55 +337,69 @@ def _blocks(split: DataFrame, texts: DataFrame) -> DataFrame:
     own = [F.transform(among(of(c + d, "few")), lambda j: block(True, c, dealt(of(c, "all")), c + d, j)) for d in (-1, 0, 1)]  # noqa: B023
     others = [F.transform(among(of(c + d, "all")), lambda i: block(False, c + d, i, c, dealt(of(c, "few")))) for d in (-1, 0, 1)]  # noqa: B023
     found = F.when(F.col("minor"), F.concat(*own, *others)).otherwise(F.concat(*own))
-    rows = rows.select("key", "node", "n", "signature", "piece", F.explode(found).alias("block")).select("key", "node", "n", "signature", "piece", "block.*")
-    members = F.struct("node", "n", "signature", "piece", "first")
+    rows = rows.select("main", "node", "words", "piece", F.explode(found).alias("block")).select("main", "node", "words", "piece", "block.*")
+    members = F.struct("node", "words", "piece", "first")
     # Dealt out anew, else all blocks of a bucket would stay in the task of its key.
-    block = ["key", "k", "i", "l", "j"]
+    block = ["main", "k", "i", "l", "j"]
     return rows.repartition(*block).groupBy(*block).agg(F.collect_list(members).alias("members")).select("members")
 
 
-def _apart(blocks: DataFrame, least: float, nearest: bool) -> DataFrame:
-    """Pairs (a, b, p, q) of pieces p and q that can be similar: all in one block, or for every text the nearest."""
+#: Classes of words that are counted to bound the edit distance of two texts of a block.
+COUNTED = 2048
+
+
+def _links_in(members: pa.StructArray, least: float) -> list[tuple[int, int]]:
+    """Pairs of members of different pieces that are similar; no more once two pieces are linked."""
+    words, piece = members.field("words"), np.unique(np.array(members.field("piece").to_pylist(), dtype=object), return_inverse=True)[1]
+    first = members.field("first").to_numpy(zero_copy_only=False).astype(bool)
+    n = words.value_lengths().to_numpy().astype(np.int64)
+    flat, ends = words.flatten().to_numpy().view(np.uint32), np.concatenate([[0], np.cumsum(n)])
+    text = [flat[x:y] for x, y in zip(ends[:-1], ends[1:])]
+    signature = signatures(flat.astype(np.uint64), ends)
+    counts = np.bincount(np.repeat(np.arange(len(n)) * COUNTED, n) + (flat >> 12) % COUNTED, minlength=len(n) * COUNTED)
+    counts = counts.reshape(len(n), COUNTED).astype(np.uint16 if n.max() < 1 << 16 else np.int32)
+    parent = list(range(piece.max() + 1))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    left, right, out = np.flatnonzero(first), np.flatnonzero(~first), []
+    for at in range(0, len(left), 128):
+        some = left[at : at + 128]
+        fits = (piece[some][:, None] != piece[right]) & (np.abs(n[some][:, None] - n[right]) <= _band(n[some][:, None], n[right], least))
+        i, j = np.nonzero(fits)
+        i, j = some[i], right[j]
+        edits = np.concatenate([np.empty(0, np.int64), *[least_edits(n[i[k : k + 16384]], signature[i[k : k + 16384]], n[j[k : k + 16384]], signature[j[k : k + 16384]]) for k in range(0, len(i), 16384)]])
+        keep = np.flatnonzero(edits <= _band(n[i], n[j], least))
+        keep = keep[np.argsort(edits[keep], kind="stable")]  # the likeliest first
+        i, j = i[keep], j[keep]
+        for k in range(0, len(i), 1024):
+            x, y = i[k : k + 1024], j[k : k + 1024]
+            apart = np.array([root(p) != root(q) for p, q in zip(piece[x].tolist(), piece[y].tolist())], dtype=bool)
+            x, y = x[apart], y[apart]
+            near = np.maximum(n[x], n[y]) - np.minimum(counts[x], counts[y]).sum(axis=1, dtype=np.int64) <= _band(n[x], n[y], least)
+            for u, v in zip(x[near].tolist(), y[near].tolist()):
+                p, q = root(piece[u]), root(piece[v])
+                if p != q and edit_similarity(text[u].tolist(), text[v].tolist(), least):
+                    parent[max(p, q)] = min(p, q)
+                    out.append((u, v))
+    return out
+
+
+def _apart(blocks: DataFrame, least: float) -> DataFrame:
+    """Links (p, q) between pieces whose members meet in a block and are similar."""
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 members = batch.column("members").slice(row, 1).flatten()
-                n = members.field("n").to_numpy().astype(np.int64)
-                piece = np.unique(np.array(members.field("piece").to_pylist(), dtype=object), return_inverse=True)[1]
-                first = members.field("first").to_numpy(zero_copy_only=False).astype(bool)
-                node, own, signature = members.field("node"), members.field("piece"), _signature_rows(members.field("signature"))
-                left, right = np.flatnonzero(first), np.flatnonzero(~first)
-                closest, partner = np.full(len(n), 1 << 40), np.full(len(n), -1)
-                for at in range(0, len(left), 128):
-                    some = left[at : at + 128]
-                    fits = (piece[some][:, None] != piece[right]) & (np.abs(n[some][:, None] - n[right]) <= _band(n[some][:, None], n[right], least))
-                    i, j = np.nonzero(fits)
-                    i, j = some[i], right[j]
-                    edits = np.concatenate([np.empty(0, np.int64), *[least_edits(n[i[k : k + 16384]], signature[i[k : k + 16384]], n[j[k : k + 16384]], signature[j[k : k + 16384]]) for k in range(0, len(i), 16384)]])
-                    keep = edits <= _band(n[i], n[j], least)
-                    i, j, edits = i[keep], j[keep], edits[keep]
-                    if nearest:
-                        for x, y in ((i, j), (j, i)):
-                            order = np.lexsort((edits, x))
-                            x, y, e = x[order], y[order], edits[order]
-                            head = np.flatnonzero(np.diff(x, prepend=-1))
-                            head = head[e[head] < closest[x[head]]]
-                            closest[x[head]], partner[x[head]] = e[head], y[head]
-                    elif len(i):
-                        yield _pairs(node, own, i, j)
-                i = np.flatnonzero(partner >= 0)
-                if len(i):
-                    yield _pairs(node, own, i, partner[i])
-
-    found = blocks.mapInArrow(run, "a binary, b binary, p binary, q binary")
-    turned = F.col("a") > F.col("b")
-    sides = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in ("ab", "ba", "pq", "qp")]
-    return found.select(*sides).distinct()
-
-
-def _pairs(node: pa.Array, piece: pa.Array, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([x.take(pa.array(k)) for x in (node, piece) for k in (i, j)], names=["a", "b", "p", "q"])
+                found = _links_in(members, least)
+                if found:
+                    yield pa.RecordBatch.from_arrays([members.field("piece").take(pa.array(list(k))) for k in zip(*found)], names=["p", "q"])
+
+    return blocks.mapInArrow(run, "p binary, q binary")
 
 
 def _roots(links: DataFrame) -> DataFrame:
@@ -425,14 +443,9 @@ def _classes(rows: DataFrame, least: float) -> DataFrame:
     rest = pairs.join(best.select("b", F.col("a").alias("tried")), "b").where("a != tried").join(of("b", "q"), "b", "left").join(of("a", "p"), "a", "left")
     rest = rest.select("a", "b", F.coalesce("p", "a").alias("p"), F.coalesce("q", "b").alias("q")).where("p != q")
     pieces = _merged(roots.withColumnRenamed("root", "piece"), written(_verified(rest, words, least), "more-links"))
-    tried = pairs.select("a", "b")
-    for nearest in (True, False):
-        split = written(_split_buckets(large, pieces), "split-buckets")
-        if split.isEmpty():
-            break
-        found = written(_apart(_blocks(split, texts), least, nearest).join(tried, ["a", "b"], "left_anti"), "apart")
-        pieces = _merged(pieces, written(_verified(found, words, least), "links-apart"))
-        tried = tried.unionByName(found.select("a", "b"))
+    split = written(_split_buckets(large, pieces), "split-buckets")
+    if not split.isEmpty():
+        pieces = _merged(pieces, written(_apart(_blocks(split, words), least), "links-apart"))
     return sketched.select("doc_id", "node").join(pieces, "node", "left").select("doc_id", "node", F.coalesce("piece", "node").alias("piece"))
 
 
