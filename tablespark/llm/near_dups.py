@@ -428,7 +428,8 @@ def _classes(rows: DataFrame, least: float) -> DataFrame:
     sketched = written(_sketched(rows), "sketches")
     texts = written(sketched.where("sketch is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("sketch", "n", "signature")]), "distinct-sketches")
     level = texts.select("node", F.explode(F.array_distinct("sketch")).alias("key"))
-    buckets = level.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("least")).where("members > 1")
+    # Written, so that the join with them can split a key that very many texts share.
+    buckets = written(level.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("least")).where("members > 1"), "shared-keys")
     shared = written(level.join(buckets, "key"), "buckets")
     pairs = written(_possible(_candidates(shared), texts, least), "candidates")
     large = shared.where(f"members > {SMALL}").select("key", "node")

@@ -7,6 +7,9 @@ text. Where one seed has several different stretches, one text of each goes into
 than their successor are sorted directly, the others are placed by scanning the buckets of first bytes, and
 neighbours with a common prefix of `length` bytes are repeats. A seed with too many different stretches is split
 by the place of the seed in the window, again and again down to single windows, so no group grows with the corpus.
+
+Equal stretches are told by 128 bits, those of the seed's and the stretch's hash, and by place and length; their
+bytes are not compared. Suffixes are sorted where the stretches of one seed differ.
 """
 
 from __future__ import annotations
@@ -17,11 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 from .word_hash import column_bytes, mixed
 
 LENGTH = 400
-SEED = 128
 SLICE = 2 << 20
 #: Different stretches of one seed that are sorted together; more are split.
 TOGETHER = 300
@@ -44,7 +46,12 @@ def _power_tables() -> list[np.ndarray]:
     return _powers
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: int = SEED):
+def seed_bytes(length: int) -> int:
+    """Bytes of a seed: a power of two, two fifths of a window at most."""
+    return 1 << ((2 * length // 5).bit_length() - 1)
+
+
+def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: int = seed_bytes(LENGTH)):
     """(text, first window, windows, seed place, seed hash, digest): all windows of all texts, cut where the minimiser changes.
 
     data holds at most SLICE bytes and a window more; the seed place counts from the first window.
@@ -252,11 +259,13 @@ def _halved(held: DataFrame, size: int, length: int) -> DataFrame:
 _SAME = ["seed", "digest", "place", "windows"]
 
 
-def repeat_spans(keyed: DataFrame, length: int = LENGTH, seed: int = SEED, together: int = TOGETHER) -> DataFrame:
+def repeat_spans(keyed: DataFrame, length: int = LENGTH, seed: int | None = None, together: int = TOGETHER) -> DataFrame:
     """(kh, kg, first, windows): runs of windows that also start elsewhere, for texts (kh, kg, content)."""
+    seed = seed or seed_bytes(length)
     cut = written(_scan(keyed.select("kh", "kg", "content"), length, seed), "stretches")
     shape = F.struct("digest", "place", "windows")
-    seeds = cut.groupBy("seed").agg(F.count("*").alias("n"), F.min(shape).alias("lo"), F.max(shape).alias("hi")).where("n > 1")
+    # Written, so that the join with it can split a seed that very many texts share.
+    seeds = written(cut.groupBy("seed").agg(F.count("*").alias("n"), F.min(shape).alias("lo"), F.max(shape).alias("hi")).where("n > 1"), "seeds")
     many = written(cut.join(seeds.select("seed", (F.col("lo") == F.col("hi")).alias("same")), "seed"), "shared-seeds")
     spans = [many.where("same").select("kh", "kg", "first", "windows")]
     mixed_ = many.where("not same")
@@ -287,20 +296,70 @@ def repeat_spans(keyed: DataFrame, length: int = LENGTH, seed: int = SEED, toget
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, kept columns, n_bytes, n_removed, spans (array of start and length), kept (the remaining bytes).
+_REGION = "kh long, kg int, base long, content binary, longest long"
+
+
+def _regions(rows: DataFrame, spans: DataFrame, length: int, longer: int) -> DataFrame:
+    """For each text with spans one row without content that tells its longest run, and each run of `longer` bytes."""
+    lists = spans.groupBy("kh", "kg").agg(F.collect_set(F.struct("first", "windows")).alias("runs"))
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                out: list[tuple] = []
+                for kh, kg, text, runs in zip(*(batch.column(c).to_pylist() for c in ("kh", "kg", "content", "runs"))):
+                    merged = [(r["first"], r["first"] + r["windows"] - 1 + length) for r in _touching(runs)]
+                    out.append((kh, kg, None, None, max(b - a for a, b in merged)))
+                    out += [(kh, kg, a, text[a:b], None) for a, b in merged if b - a >= longer]
+                cols = [pa.array(list(c), k) for c, k in zip(zip(*out), [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()])]
+                yield pa.RecordBatch.from_arrays(cols, names=["kh", "kg", "base", "content", "longest"])
+
+    return rows.join(lists, ["kh", "kg"]).select("kh", "kg", "content", "runs").mapInArrow(run, _REGION)
+
+
+def _touching(runs: list[dict]) -> list[dict]:
+    """Runs of windows, those that follow one another without a gap put together."""
+    out: list[dict] = []
+    for r in sorted(runs, key=lambda r: (r["first"], r["windows"])):
+        if out and r["first"] <= out[-1]["first"] + out[-1]["windows"]:
+            out[-1]["windows"] = max(out[-1]["windows"], r["first"] + r["windows"] - out[-1]["first"])
+        else:
+            out.append(dict(r))
+    return out
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), report: int | None = None) -> DataFrame:
+    """doc_id, kept columns, n_bytes, n_removed, spans (array of start and length), kept (the remaining bytes), longest_run.
 
     One row for each row of docs. Texts are UTF-8 bytes, null ones empty; windows never cross texts, and are
     judged on the input; of a repeated row both copies are removed; empty tables give no rows; further columns,
     whatever their names, are left out.
+
+    longest_run: bytes of the longest run in which every string of `report` bytes (at most, and by default,
+    `length`) also starts elsewhere; 0 if there is none. A smaller `report` finds these runs first, and the
+    windows of `length` bytes are then looked for in them alone, since all of them lie there.
     """
+    bounded_batches(docs.sparkSession)
+    report = min(report or length, length)
     rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("content"))
     rows = rows.withColumns({"kh": F.xxhash64("doc_id", "content"), "kg": F.hash("content", "doc_id")})
-    spans = repeat_spans(rows.where(F.length("content") >= length), length)
-    spans = spans.groupBy("kh", "kg").agg(F.collect_set(F.struct("first", "windows")).alias("runs"))
+    spans = repeat_spans(rows.where(F.length("content") >= report), report)
+    none = F.lit(None).cast("bigint")
+    if report < length:
+        found = written(_regions(rows, spans, report, length), "regions")
+        inner = found.where("base is not null").withColumns({"h": F.xxhash64("kh", "kg", "base"), "g": F.hash("base", "kg", "kh")})
+        spans = repeat_spans(inner.select(F.col("h").alias("kh"), F.col("g").alias("kg"), "content"), length)
+        back = inner.select("h", "g", F.col("kh").alias("of_kh"), F.col("kg").alias("of_kg"), "base").distinct()
+        spans = spans.join(back, (spans["kh"] == back["h"]) & (spans["kg"] == back["g"])).select(F.col("of_kh").alias("kh"), F.col("of_kg").alias("kg"), (F.col("first") + F.col("base")).alias("first"), "windows")
+        spans = spans.withColumn("longest", none).unionByName(found.where("base is null").select("kh", "kg", none.alias("first"), none.alias("windows"), "longest"))
+    else:
+        spans = spans.withColumn("longest", none)
+    runs = F.collect_set(F.when(F.col("first").isNotNull(), F.struct("first", "windows")))
+    spans = spans.groupBy("kh", "kg").agg(runs.alias("runs"), F.max("longest").alias("longest"))
     names = ["doc_id", *keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
-    schema += ", n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,length:bigint>>, kept binary"
+    schema += ", n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,length:bigint>>, kept binary, longest_run bigint"
     span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
     def run(batches):
@@ -308,7 +367,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
                 out: list[tuple] = []
-                for text, runs in zip(batch.column("content").to_pylist(), batch.column("runs").to_pylist()):
+                for text, runs, longest in zip(*(batch.column(c).to_pylist() for c in ("content", "runs", "longest"))):
                     merged: list[list[int]] = []
                     for first, windows in sorted((r["first"], r["windows"]) for r in runs or ()):
                         end = first + windows - 1 + length
@@ -316,10 +375,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                             merged[-1][1] = max(merged[-1][1], end)
                         else:
                             merged.append([first, end])
+                    if longest is None:
+                        longest = max((r["windows"] - 1 + length for r in _touching(runs or [])), default=0)
                     edges = [0, *(x for m in merged for x in m), len(text)]
                     kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                    out.append((len(text), len(text) - len(kept), [{"start": a, "length": b - a} for a, b in merged], kept))
-                cols = [pa.array(list(c), k) for c, k in zip(zip(*out), [pa.int64(), pa.int64(), span, pa.binary()])]
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *cols], names=[*names, "n_bytes", "n_removed", "spans", "kept"])
+                    out.append((len(text), len(text) - len(kept), [{"start": a, "length": b - a} for a, b in merged], kept, longest))
+                cols = [pa.array(list(c), k) for c, k in zip(zip(*out), [pa.int64(), pa.int64(), span, pa.binary(), pa.int64()])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *cols], names=[*names, "n_bytes", "n_removed", "spans", "kept", "longest_run"])
 
-    return rows.join(spans, ["kh", "kg"], "left").select(*names, "content", "runs").mapInArrow(run, schema)
+    return rows.join(spans, ["kh", "kg"], "left").select(*names, "content", "runs", "longest").mapInArrow(run, schema)

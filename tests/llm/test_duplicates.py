@@ -306,3 +306,20 @@ def test_pipeline(spark):
     assert len(want) and all(len(at["passages"][i]) <= len(t) for i, t in at["near_copies"].items())
     rows = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in rows} == set(at["personal_data"])
+
+
+def test_longest_run_and_windows_inside_reported_runs(spark):
+    """Windows looked for in runs of shorter repeats alone are the same as those of the whole texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    plain = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs, 400).drop("kept").collect()}
+    found = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs, 400, report=240).drop("kept").collect()}
+    assert {i: (r["n_removed"], r["spans"]) for i, r in plain.items()} == {i: (r["n_removed"], r["spans"]) for i, r in found.items()}
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    seen = Counter(t[a : a + 240] for t in texts.values() for a in range(len(t) - 239))
+    for i, t in texts.items():
+        best = run = 0
+        for a in range(len(t) - 239):
+            run = run + 1 if seen[t[a : a + 240]] > 1 else 0
+            best = max(best, run and run + 239)
+        assert found[i]["longest_run"] == best
+    assert suffix_dedup.remove_repeats(docs.where("false"), report=240).count() == 0
