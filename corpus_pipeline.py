@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tablespark.llm import language_id, near_dups, packing, pii, suffix_dedup
 from tablespark.llm.common import written
-from tablespark.llm.queries import PII_KEY, table
+from tablespark.llm.queries import PII_KEY, REPORTED, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,8 +30,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated passages out of the texts; a character cut in two goes with them. Every document stays."""
-    found = suffix_dedup.remove_repeats(docs, keep=("lang", "source"))
+    """Cuts repeated passages of 240 bytes or more, which passages of 50 words have, out of the texts.
+
+    A character cut in two goes with them. Every document stays.
+    """
+    found = suffix_dedup.remove_repeats(docs, REPORTED, keep=("lang", "source"))
     text = F.make_valid_utf8(F.col("kept").cast("string"))
     text = F.when(F.col("n_removed") > 0, F.replace(text, F.lit("�"), F.lit(""))).otherwise(text)
     return found.withColumn("text", text).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
