@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 BLOCK = 192
 RATE = 8000
 FORM = "array<struct<kind:string,offset:bigint,length:bigint>>"
@@ -191,6 +193,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     One row for each row; null texts count as empty; the payload has a positive multiple of `block` bytes;
     equal texts give equal media; empty tables give no rows; further columns are left out.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -229,7 +232,8 @@ def describe_media(rows: DataFrame, id_col: str = "doc_id", media_col: str = "me
                     first = next((f for f in forms if f[1] == 0), None)
                     inner = [f for f in forms if f[1] > 0]
                     kind = first[0] if first else declared
-                    payload = (wave_payload(value) if kind == "audio/wav" and first else None) or value
+                    samples = wave_payload(value) if kind == "audio/wav" and first else None
+                    payload = value if samples is None else samples
                     feature = f"type={kind};embedded={len(inner)};{sample_feature(payload)}"
                     listed = [{"kind": k, "offset": o, "length": n} for k, o, n in inner]
                     out.append((value, kind, kind != declared, payload, listed, [value[o : o + n] for _, o, n in inner] if carve else [], feature))

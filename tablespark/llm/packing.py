@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import byte_letters
+from .common import bounded_batches
 
 WINDOW = 4096
 GROUP = 1500
@@ -33,20 +34,27 @@ CACHE = 600_000
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\p{Z}\p{L}\p{N}]+")
 
 
+#: Marks whose combining class the tokenizers library has otherwise than Python.
+ODD_MARKS = "\u1df6\U0001e4ec\U0001e4ed"
+
+
 class WordIds(dict):
     """Ids of white-space-separated words, as bytes; a word met for the first time is encoded by the model.
 
     The tokenizer's own normalisation (NFC, lower case letter by letter) and word pattern are applied here, word
-    by word, which its whole pipeline would do far more slowly.
+    by word, which its whole pipeline would do far more slowly. Words with characters that Python's tables don't
+    know, or order otherwise, go through the whole pipeline.
     """
 
     def __init__(self, tokenizer: Tokenizer):
         super().__init__({"": b""})
-        self.model, letters = tokenizer.model, byte_letters()
+        self.whole, self.model, letters = tokenizer, tokenizer.model, byte_letters()
         self.letters = [letters[b] for b in range(256)]
 
     def __missing__(self, word: str) -> bytes:
         plain = word.isascii() and word.isprintable()
+        if not word.isascii() and any(c in ODD_MARKS or unicodedata.category(c) == "Cn" for c in word):
+            return np.array(self.whole.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
         low = word.lower() if word.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", word)])
         ids = array("I")
         for w in WORDS.findall(low):
@@ -163,6 +171,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, window: int = WI
         raise ValueError("window must be a power of two")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
     groups = max(1, math.ceil(docs.count() / group))
     end = np.array([end_id], dtype="<u4").tobytes()
 

@@ -185,16 +185,24 @@ def _replacement(e: Column) -> Column:
     )
 
 
+#: Further attempts before a kind's space counts as used up.
+ATTEMPTS = 64
+
+
 def further_attempts(found: DataFrame, key: str) -> DataFrame:
     """(kind, canon, attempt) of the entities whose first surrogates are taken.
 
     found holds kind, canon and one value of each distinct entity. A surrogate is taken if it is another
-    entity, or if an entity settled before, or a smaller one of the same attempt, has it.
+    entity, or if an entity settled before, or a smaller one of the same attempt, has it. Names, emails and
+    secrets have room without end or nearly so; ssn, ip and phone numbers have as much as their digits allow, and a
+    corpus that holds most of them ends here with a RuntimeError that names the kind.
     """
     real = found.select("kind", F.col("canon").alias("sur")).distinct()
     open_, settled, attempt = found.withColumn("attempt", F.lit(0)), None, 0
     fixes = []
     while True:
+        if attempt > ATTEMPTS:
+            raise RuntimeError(f"no free surrogates are left for {sorted(r['kind'] for r in open_.select('kind').distinct().collect())}")
         new = surrogates(F.array(F.struct("value", "kind", "canon", "attempt")), key)
         tried = open_.withColumn("sur", F.transform(new, lambda v: canonical(F.col("kind"), v))[0])
         least = tried.groupBy("kind", "sur").agg(F.min("canon").alias("least"))

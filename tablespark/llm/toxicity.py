@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Characters lower-cased and split at once; bounds memory for very long texts.
@@ -58,7 +58,7 @@ class SeverityModel:
 
     def grades(self, x: np.ndarray) -> np.ndarray:
         """Probability of each grade; one row for each row of x."""
-        below = 1 / (1 + np.exp(-np.clip(self.thresholds[None, :] - (x @ self.weights)[:, None], -60, 60)))
+        below = np.where(self.thresholds[None, :] < np.inf, 1 / (1 + np.exp(-np.clip(self.thresholds[None, :] - (x @ self.weights)[:, None], -60, 60))), 1.0)
         edge = np.ones((len(x), 1))
         return np.diff(np.concatenate([0 * edge, below, edge], axis=1), axis=1)
 
@@ -71,6 +71,11 @@ class SeverityModel:
         return x
 
 
+def knows_nothing(grades: int) -> SeverityModel:
+    """All texts have grade 0 for certain."""
+    return SeverityModel({}, np.zeros(0), np.full(grades, np.inf))
+
+
 def fit_cumulative_link(x: np.ndarray, y: np.ndarray, grades: int, decay: float = 1e-3, rounds: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by Adam on the mean log-likelihood; gaps between thresholds stay positive."""
     w, raw = np.zeros(x.shape[1]), np.concatenate([[1.0], np.zeros(grades - 1)])
@@ -116,12 +121,16 @@ def fit_severity(labelled: DataFrame, text_col: str = "text", toxic_col: str = "
     """Learns from a bounded sample: about per_class texts of each label, chosen by hash; equal ones count once.
 
     Words are chosen by the log-odds of their document frequencies in the sample, divided by its deviation. Rows
-    without text or label are left out. Fails with ValueError unless both labels occur.
+    without text or label are left out. Unless both labels occur, the model knows nothing and scores every text 0.
+
+    Grades are made here, as the tables have two labels: 0 is clean, 1 to `grades` are the quantiles among toxic
+    texts of how many of their words mark toxic texts. They order toxic texts by density; they are no human grades.
     """
+    bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("text"), (F.col(toxic_col) > 0).cast("int").alias("y")).where("text is not null and y is not null")
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if set(sizes) != {0, 1}:
-        raise ValueError("both toxic and clean labels are needed")
+        return knows_nothing(grades)
     limit = F.when(F.col("y") == 1, _share(per_class, sizes[1])).otherwise(_share(per_class, sizes[0]))
     sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(GRAIN)) < limit).select("y", "text").dropDuplicates()
     sample = written(sample, "severity-sample")
@@ -140,7 +149,7 @@ def fit_severity(labelled: DataFrame, text_col: str = "text", toxic_col: str = "
     df = sample.mapInArrow(frequencies, "word string, y int, n bigint").groupBy("word").agg(of(0).alias("clean"), of(1).alias("toxic"), F.sum("n").alias("all"))
     drawn = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if set(drawn) != {0, 1}:
-        raise ValueError("both toxic and clean labels are needed")
+        return knows_nothing(grades)
     odds = lambda c, k: F.log((F.col(c) + 0.5) / (drawn[k] + 1 - F.col(c)))
     z = (odds("toxic", 1) - odds("clean", 0)) / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     best = df.where("all >= 3").select("word", z.alias("z")).orderBy(F.desc(F.abs("z")), "word").limit(words).collect()
