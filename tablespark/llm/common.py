@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,19 @@ def bounded_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def slices(batch: pa.RecordBatch, column: str, rows: int = 512, size: int = 1 << 20):
+    """The batch in parts of at most so many rows and bytes of the column; a longer value is a part of its own."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    at = held = 0
+    for end, n in enumerate(lengths):
+        if end > at and (held + n > size or end - at == rows):
+            yield batch.slice(at, end - at)
+            at, held = end, 0
+        held += n
+    if at < len(lengths):
+        yield batch.slice(at)
+
+
 def row_key(*cols: str):
     """96 bits that name a row by its content; rows that agree in every column share it, nulls included."""
     return F.struct(F.xxhash64(*cols).alias("h"), F.hash(*reversed(cols)).alias("g"))

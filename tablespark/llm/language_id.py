@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, slices
 
 DIMS = 8192
 #: Bytes looked at together; bounds a task's memory whatever the length of a text.
@@ -161,8 +161,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
 
     def predict(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
+            for batch in slices(whole, source, ROWS):
                 counts = trigram_counts([(t or "").encode() for t in batch.column(source).to_pylist()])
                 letter = np.array(batch.column("_letter").to_pylist(), dtype=bool)
                 if model.langs:

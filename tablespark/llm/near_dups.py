@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, slices, written
 from .components import connected_components
 from .word_hash import column_bytes, mixed, word_hashes
 
@@ -250,8 +250,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in slices(whole, "text"):
                 hashes, ends = word_hashes(*column_bytes(batch.column("text")))
                 values, offsets = sketches_of(hashes, ends)
                 sketch = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)), mask=pa.array(np.diff(offsets) == 0))
@@ -266,8 +265,7 @@ def _word_lists(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in slices(whole, "text"):
                 hashes, ends = word_hashes(*column_bytes(batch.column("text")))
                 words = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("node"), words], names=["node", "words"])
@@ -282,11 +280,10 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     both = both.join(words.select(F.col("node").alias("b"), F.col("words").alias("y")), "b").select(*names, "x", "y")
 
     def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
-                found = [edit_similarity(x, y, least) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
-                keep = pa.array([f > 0 for f in found])
+        for batch in batches:
+            # One pair at a time as Python's lists, which take ten times the room.
+            keep = pa.array([edit_similarity(x.as_py(), y.as_py(), least) > 0 for x, y in zip(batch.column("x"), batch.column("y"))], pa.bool_())
+            if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in names], names=names)
 
     return both.mapInArrow(run, "a binary, b binary, p binary, q binary")

@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import byte_letters
-from .common import bounded_batches
+from .common import bounded_batches, slices
 
 WINDOW = 4096
 GROUP = 1500
-CACHE = 600_000
+CACHE = 250_000
 
 
 #: Fixed value: the word pattern of the word-level vocabulary.
@@ -178,8 +178,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, window: int = WI
     def cut(batches):
         tok = tokenizer(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
+            for batch in slices(whole, "text", 64):
                 pick, starts, ids, sizes = [], [], [], []
                 for i, found in enumerate(map(tok.encode, batch.column("text").to_pylist())):
                     found += end

@@ -24,7 +24,7 @@ from .common import bounded_batches, written
 from .word_hash import column_bytes, mixed
 
 LENGTH = 400
-SLICE = 2 << 20
+SLICE = 1 << 19
 #: Different stretches of one seed that are sorted together; more are split.
 TOGETHER = 300
 #: Bytes sorted together.

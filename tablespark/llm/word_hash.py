@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SLICE = 2 << 20
+SLICE = 1 << 19
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, size=256, dtype=np.uint64)
 _POWER = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(256)], dtype=np.uint64)
