@@ -47,7 +47,7 @@ def cell_type(c: Column) -> Column:
 
 def looks_identifier(c: Column) -> Column:
     s = trim_all(c)
-    return s.rlike(r"^[\p{L}_一-鿿]") & (cell_type(s) != "number")
+    return s.rlike(r"^[A-Za-z_一-龥][A-Za-z0-9_\s.()\-/一-龥]*$") & (cell_type(s) != "number")
 
 
 def inferred_type(c: Column) -> Column:
