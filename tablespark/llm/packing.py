@@ -27,15 +27,17 @@ from .common import bounded_batches, slices
 
 WINDOW = 4096
 GROUP = 1500
-CACHE = 250_000
+CACHE = 500_000
 
 
 #: Fixed value: the word pattern of the word-level vocabulary.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\p{Z}\p{L}\p{N}]+")
 
 
-#: Marks whose combining class the tokenizers library has otherwise than Python.
-ODD_MARKS = "\u1df6\U0001e4ec\U0001e4ed"
+def odd(c: str) -> bool:
+    """Whether Python's tables may order or class a character otherwise than the tokenizers library's."""
+    kind = unicodedata.category(c)
+    return kind == "Cn" or kind[0] == "M" and not "\u0300" <= c <= "\u036f"
 
 
 class WordIds(dict):
@@ -43,28 +45,54 @@ class WordIds(dict):
 
     The tokenizer's own normalisation (NFC, lower case letter by letter) and word pattern are applied here, word
     by word, which its whole pipeline would do far more slowly. Words with characters that Python's tables don't
-    know, or order otherwise, go through the whole pipeline.
+    know, or may order otherwise (marks beyond the common ones), go through the whole pipeline.
     """
 
     def __init__(self, tokenizer: Tokenizer):
-        super().__init__({"": b""})
-        self.whole, self.model, letters = tokenizer, tokenizer.model, byte_letters()
-        self.letters = [letters[b] for b in range(256)]
+        super().__init__()
+        letters = byte_letters()
+        self.whole, self.model = tokenizer, tokenizer.model
+        self.letters = {b: letters[b] for b in range(256)}
+        self.old: dict[str, bytes] = {}
+        self.known: set[str] = set(map(chr, range(128)))
 
     def __missing__(self, word: str) -> bytes:
-        plain = word.isascii() and word.isprintable()
-        if not word.isascii() and any(c in ODD_MARKS or unicodedata.category(c) == "Cn" for c in word):
-            return np.array(self.whole.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        low = word.lower() if word.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", word)])
+        found = self.old.get(word)
+        if found is None:
+            found = self.encoded(word)
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+    def age(self) -> None:
+        """Keeps the words met since the last time, as the older half; words used again come back from there."""
+        self.old = dict(self)
+        self.clear()
+
+    def encoded(self, word: str) -> bytes:
+        # A last comma and capitals leave the word's other ids as they are: most such words are known without them.
+        if word[-1:] in (",", ".", ";", ":", "!", "?") and word[:-1].isalpha():
+            return self[word[:-1]] + self[word[-1]]
+        if word.isalpha() and "\u03a3" not in word and not word.islower() and unicodedata.is_normalized("NFC", word):
+            low = word.lower()
+            if low != word and low.isalpha() and self.known.issuperset(word):
+                return self[low]
+        if word.isascii():
+            low, plain = word.lower(), word.isprintable()
+        else:
+            if not self.known.issuperset(word):
+                if any(map(odd, word)):
+                    return np.array(self.whole.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                self.known.update(word)
+            low, plain = unicodedata.normalize("NFC", word), False
+            # Capital sigma is the one letter whose lower case depends on its neighbours.
+            low = "".join([c.lower() for c in low]) if "\u03a3" in low else low.lower()
         ids = array("I")
-        for w in WORDS.findall(low):
+        for w in (low,) if low.isalpha() else WORDS.findall(low):
             if not plain:
-                w = "".join([self.letters[b] for b in w.encode()])
+                w = w.encode().decode("latin-1").translate(self.letters)
             ids.extend([t.id for t in self.model.tokenize(w)])
-        if len(word) > 64:
-            return ids.tobytes()
-        found = self[word] = ids.tobytes()
-        return found
+        return ids.tobytes()
 
 
 class WordTokenizer:
@@ -81,9 +109,8 @@ class WordTokenizer:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self.words) > CACHE:
-            self.words.clear()
-            self.words[""] = b""
+        if len(self.words) > CACHE // 2:
+            self.words.age()
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
