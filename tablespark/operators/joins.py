@@ -158,6 +158,36 @@ def auto_match(left: list[str], right: list[str]) -> list[tuple[str, str]]:
     return []
 
 
+def saved_pairs(on: str) -> list[tuple[str, str]]:
+    """Field pairs of a saved view, to be edited again; a part without = has no right field."""
+    parts = [p.partition("=") for p in (on or "").split(",") if p.strip()]
+    return [(left.strip(), right.strip()) for left, _, right in parts]
+
+
+def select_text(outputs: list[Output]) -> str:
+    return ", ".join(f"{'right' if o.right else 'left'}.{o.column}" + (f" as {o.alias}" if o.alias else "") for o in outputs)
+
+
+def without_stale(pairs: list[tuple[str, str]], outputs: list[Output], left: list[str], right: list[str]) -> tuple[list[tuple[str, str]], list[Output]]:
+    """After a source has changed: fields that are gone become blank in pairs and leave the outputs."""
+    kept = [(a if a in left else "", b if b in right else "") for a, b in pairs]
+    return kept, [o for o in outputs if o.column in (right if o.right else left)]
+
+
+def in_source_order(outputs: list[Output], left: list[str], right: list[str]) -> list[Output]:
+    """Left columns, then right ones, each as in their table; names given stay with their columns."""
+    return sorted(outputs, key=lambda o: (o.right, (right if o.right else left).index(o.column)))
+
+
+def toggled(outputs: list[Output], side: str, columns: list[str], on: bool) -> list[Output]:
+    """Columns of one side added behind the others, or taken out."""
+    is_right = side in ("right", "r")
+    if not on:
+        return [o for o in outputs if o.right != is_right or o.column not in columns]
+    have = {o.column for o in outputs if o.right == is_right}
+    return outputs + [Output(side, c, "") for c in columns if c not in have]
+
+
 def view_problems(view: View, tables: dict[str, Table], views: dict[str, View]) -> tuple[list[str], list[str]]:
     """(errors, warnings) of a view before it is saved."""
     errors, warnings = [], []

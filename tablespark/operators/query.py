@@ -31,6 +31,12 @@ def focus_columns(headers: list[str], focus: list[str] | str | None, strict: boo
     return found or list(range(len(headers)))
 
 
+def picker_order(headers: list[str], focus: list[str]) -> list[tuple[str, bool]]:
+    """(header, chosen) as a picker of columns lists them: the focused ones in their order, then the rest."""
+    first = [h for h in dict.fromkeys(focus) if h in headers]
+    return [(h, True) for h in first] + [(h, False) for h in headers if h not in first]
+
+
 def process(table: Table, rules: Rules | None = None, global_filter: str = "", highlight_on: bool = True, only_highlighted: bool = False) -> Table:
     """Global, table and column filters, then marks (_hl), then focus. Lazy; every predicate is total."""
     rules = rules or Rules()

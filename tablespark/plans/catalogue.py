@@ -15,6 +15,7 @@ from ..operators.edits import Overlay
 from ..operators.joins import View, join_stats, resolve, run_view
 from ..operators.query import Rules, page, process, rectangle, transpose, with_result_index
 from ..operators.table import Table
+from ..operators.workspace import Workspace
 from ..sinks.render import row_column, widths
 from ..sources.ingest import parse_quality, parse_texts
 from ..sources.sniff import sniff
@@ -358,6 +359,25 @@ def streamed(s: SparkSession, d: str) -> DataFrame:
 
 add("stream_rules", streamed, f"SELECT {cells('events', ['event_id', 'event_type', 'value'])} FROM events WHERE event_type IN ('error', 'purchase') AND value > 20")
 
+# A workspace's results: an edited and filtered table beside a view that takes the edit in.
+def workspace_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Workspace()
+    work.put_view(View("big", "orders", "customer", "o_custkey=c_custkey", "inner", "o_orderkey, right.c_name, o_totalprice as total"))
+    rules = {"customer": {"filter": "c_mktsegment=building", "focus": ["c_custkey", "c_name"]}, "JOIN:big": {"filter": "total>200000", "focus": ["o_orderkey", "c_name"]}}
+    work.set_ui(displayTables=["customer"], enabledViews=["big"], rules=rules, cellEdits={"customer": {"0:1": "Edited"}})
+    found = work.results([tab(spark, sf_dir, n) for n in ("orders", "customer")])
+    one, two = [t.df.select(F.lit(t.name).alias("name"), F.col("_result_index").alias("place"), F.col("c0").alias("key"), F.col("c1").alias("value")) for t in found]
+    return one.unionByName(two)
+
+
+add(
+    "workspace_results",
+    workspace_results,
+    f"""WITH c AS (SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey = (SELECT min(c_custkey) FROM customer) THEN 'Edited' ELSE c_name END AS c_name FROM customer)
+    SELECT 'customer' AS name, row_number() OVER (ORDER BY c_custkey) - 1 AS place, {text('c_custkey')} AS key, c_name AS value FROM c WHERE c_mktsegment = 'BUILDING'
+    UNION ALL SELECT 'JOIN:big', row_number() OVER (ORDER BY o_orderkey) - 1, {text('o_orderkey')}, c_name FROM orders JOIN c ON o_custkey = c_custkey WHERE o_totalprice > 200000""",
+)
+
 # The flagship: a view, a rule on its output, focus, first page.
 _FLAG = View("big", "orders", "customer", "o_custkey=c_custkey", "inner", "o_orderkey, right.c_name, o_totalprice as total, o_orderpriority")
 
