@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import column_filter, compile_rule
 from .table import Table
 
-PAGE = 100
+PAGE, LARGEST_PAGE = 100, 500
 
 
 @dataclass
@@ -77,8 +77,10 @@ def with_result_index(table: Table) -> Table:
 
 
 def transpose(table: Table, corner: str = "field") -> DataFrame:
-    """One row for each header, one column `Row i` for each row of a page. Meant for pages: the columns are its rows."""
-    rows = table.ordered().select(F.array(*table.cells).alias("d")).collect()
+    """One row for each header, one column `Row i` for each row of a page. For pages alone: the columns are its rows."""
+    rows = table.ordered().select(F.array(*table.cells).alias("d")).limit(LARGEST_PAGE + 1).collect()
+    if len(rows) > LARGEST_PAGE:
+        raise ValueError(f"at most {LARGEST_PAGE} rows can become columns: take a page")
     spark = table.df.sparkSession
     columns = [F.lit(h).alias("h") for h in table.headers]
     names = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), c) for i, c in enumerate(columns)]))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,6 +18,7 @@ from ..operators.workspace import Workspace
 from ..sinks.render import row_column, widths
 from ..sources.ingest import parse_quality, parse_texts
 from ..sources.sniff import sniff
+from ..sources.text import shared_folder
 from ..streaming.rules import filtered_stream, run_available, stream_table
 from .texts import FIELDS, LAYOUTS, SOURCE, all_formats, customers_as
 
@@ -351,7 +351,7 @@ add(
 
 # Streams.
 def streamed(s: SparkSession, d: str) -> DataFrame:
-    base = f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='stream')}/{uuid.uuid4().hex}"
+    base = f"{shared_folder(s)}/{uuid.uuid4().hex}"
     table = stream_table(s, d, "events.parquet", ["event_id"], "events")
     run_available(filtered_stream(table, Rules(filter="event_type=error|event_type=purchase value>20", focus=["event_id", "event_type", "value"])), f"{base}/out", f"{base}/state")
     return s.read.parquet(f"{base}/out").drop("_hl")

@@ -35,9 +35,17 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(normal_text(F.col("text")), "\n", -1)).alias("line", "text"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where all run on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no shared folder")
+    return named or tempfile.mkdtemp(prefix="shared")
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once, in the session's shared checkpoint folder; a temporary one only where none is named."""
+    """df computed once, in the session's checkpoint folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
