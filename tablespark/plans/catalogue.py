@@ -20,7 +20,7 @@ from ..sources.ingest import parse_quality, parse_texts
 from ..sources.sniff import sniff
 from ..sources.text import shared_folder
 from ..streaming.rules import filtered_stream, run_available, stream_table
-from .texts import FIELDS, LAYOUTS, SOURCE, all_formats, customers_as
+from .texts import FIELDS, LAYOUTS, SOURCE, all_formats, customers_as, shifted_customers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -349,6 +349,19 @@ add(
 )
 
 
+add(
+    "aligned_by_position",
+    lambda s, d: parse_texts(shifted_customers(s, d), "aligned-table")[0].where(~F.col("is_header")).select("title", *[F.col("cells")[i].alias(n) for i, n in enumerate(("id", "segment", "name"))]),
+    """SELECT 'Customers ' || CAST(c_custkey // 50 AS VARCHAR) AS title, CAST(c_custkey AS VARCHAR) AS id, c_name AS name,
+    CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 7 = 0 THEN c_mktsegment || ' and several other words' ELSE c_mktsegment END AS segment FROM customer""",
+)
+add(
+    "aligned_mismatches",
+    lambda s, d: parse_texts(shifted_customers(s, d), "aligned-table")[1].groupBy("doc_id", "code").agg(F.count("*").alias("n")),
+    "SELECT CAST(c_custkey // 50 AS VARCHAR) AS doc_id, 'ALIGNED_POSITION_MISMATCH' AS code, count(*) AS n FROM customer WHERE c_custkey % 7 = 0 AND c_custkey % 5 <> 0 GROUP BY 1",
+)
+
+
 # Streams.
 def streamed(s: SparkSession, d: str) -> DataFrame:
     base = f"{shared_folder(s)}/{uuid.uuid4().hex}"

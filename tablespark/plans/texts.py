@@ -72,3 +72,17 @@ def all_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id (format and nation's key) and text, of every format."""
     each = [customers_as(spark, sf_dir, f).select(F.concat(F.lit(f"{f}/"), F.col("doc_id").cast("string")).alias("doc_id"), "text") for f in LAYOUTS]
     return reduce(DataFrame.unionByName, each)
+
+
+def shifted_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text: fifty customers below a title and a header that starts elsewhere than the cells do.
+
+    Of every fifth customer the segment is missing; of every seventh other one it runs over its place.
+    """
+    key, long_ = F.col("c_custkey"), F.concat("c_mktsegment", F.lit(" and several other words  "))
+    segment = F.when(key % 5 == 0, F.repeat(F.lit(" "), 14)).when(key % 7 == 0, long_).otherwise(F.rpad("c_mktsegment", 14, " "))
+    line = F.concat(F.rpad(key.cast("string"), 10, " "), segment, "c_name")
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.floor(key / 50).alias("doc_id"), F.struct(key, line.alias("line")).alias("r"))
+    texts = rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]).alias("lines"))
+    top = F.array(F.concat(F.lit("Customers "), F.col("doc_id").cast("string")), F.lit(""), F.lit("ID          Segment       Name"))
+    return texts.select("doc_id", F.array_join(F.concat(top, "lines"), "\n").alias("text"))

@@ -53,6 +53,8 @@ def parse_texts(docs: DataFrame, fmt: str | None = None, header_mode: str = "aut
     numbered = numbered.withColumn("headed", F.coalesce(decided, F.lit(False)))
     uneven = numbered.where((F.size("cells") != F.col("width")) & (F.col("row") > 0))
     diagnostics = uneven.select(F.col("doc_id").cast("string").alias("doc_id"), "tab", "row", F.lit("ROW_WIDTH_MISMATCH").alias("code"), F.lit("warning").alias("severity"))
+    noted = numbered.where(F.col("note").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), "tab", "row", F.col("note").alias("code"), F.lit("warning").alias("severity"))
+    diagnostics = diagnostics.unionByName(noted)
     quoted = known.where(F.col("format").isin("csv", "semicolon-csv", "excel-paste") & unclosed_quote(F.col("text")))
     none = lambda df, code, level: df.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(None).cast("int").alias("tab"), F.lit(None).cast("int").alias("row"), F.lit(code).alias("code"), F.lit(level).alias("severity"))
     diagnostics = diagnostics.unionByName(none(quoted, "UNCLOSED_QUOTE", "warning")).unionByName(none(known.where(F.trim("text") == ""), "EMPTY_INPUT", "warning"))
@@ -111,7 +113,8 @@ def parse_quality(rows: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """doc_id and how well its text parsed, 0 to 1: less for uneven rows and open quotes; 0.2 without cells."""
     cells = rows.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.max(F.exists("cells", lambda c: c != "")).alias("any"))
     cost = F.when(F.col("code") == "UNCLOSED_QUOTE", 0.3).when(F.col("code") == "ROW_WIDTH_MISMATCH", 0.04).when(F.col("severity") == "error", 0.35).otherwise(0.0)
-    costs = diagnostics.groupBy("doc_id").agg(F.sum(cost).alias("cost"))
+    shifted = F.count(F.when(F.col("code") == "ALIGNED_POSITION_MISMATCH", 1))
+    costs = diagnostics.groupBy("doc_id").agg((F.sum(cost) + F.when(shifted > 0, F.least(F.lit(0.16), 0.08 + (shifted - 1) * 0.01)).otherwise(0.0)).alias("cost"))
     score = F.when(~F.col("any"), 0.2).otherwise(F.greatest(F.lit(0.15), F.lit(1.0) - F.coalesce("cost", F.lit(0.0))))
     return cells.join(costs, "doc_id", "left").select("doc_id", score.alias("quality"))
 

@@ -1,7 +1,8 @@
 """Parsers of messy text, over whole corpora of texts.
 
 Each takes (doc_id, text) and returns rows: doc_id, tab (table number from 0), title, row (ascending in the table),
-cells (array of text), forced (true or false where the format decides on the header, else null). Lines, sections and
+cells (array of text), forced (true or false where the format decides on the header, else null), note (a code, where
+a line did not fit). Lines, sections and
 states are windows over the lines of a text, ordered by line; cells come from expressions.
 """
 
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import WIDE, tags_stripped, trim_all
-from .text import lines_of, normal_text
+from .layout import NEAR, SHARE, cut_at, layouts, starts_of
+from .text import lines_of, normal_text, settled
 
 CELL, ROW, ESCAPED_PIPE, ESCAPED_SLASH = "\u0001", "\u0002", "\u0003", "\u0004"
 
@@ -29,8 +31,8 @@ def _before():
     return _by_line().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _out(df: DataFrame, tab: Column | None = None, title: Column | None = None, row: str = "line", forced: Column | None = None) -> DataFrame:
-    return df.select("doc_id", (F.lit(0) if tab is None else tab).cast("int").alias("tab"), (F.lit("") if title is None else title).alias("title"), F.col(row).cast("int").alias("row"), "cells", (F.lit(None) if forced is None else forced).cast("boolean").alias("forced"))
+def _out(df: DataFrame, tab: Column | None = None, title: Column | None = None, row: str = "line", forced: Column | None = None, note: Column | None = None) -> DataFrame:
+    return df.select("doc_id", (F.lit(0) if tab is None else tab).cast("int").alias("tab"), (F.lit("") if title is None else title).alias("title"), F.col(row).cast("int").alias("row"), "cells", (F.lit(None) if forced is None else forced).cast("boolean").alias("forced"), (F.lit(None) if note is None else note).cast("string").alias("note"))
 
 
 def delimited(sep: str) -> Callable[[DataFrame], DataFrame]:
@@ -248,12 +250,17 @@ def aligned_table(docs: DataFrame) -> DataFrame:
     first_use = Window.partitionBy("doc_id", "block").orderBy("tab")
     titles = titles.withColumn("use", F.row_number().over(first_use)).where("use = 1").select("doc_id", "tab", "named")
     part = Window.partitionBy("doc_id", "tab").orderBy("line")
-    body = body.withColumn("head", F.first("text").over(part)).join(titles, ["doc_id", "tab"], "left")
-    by_gap = F.split(trim_all(F.col("text")), r"\s{2,}")
-    by_place = _sliced("text", "head")
-    body = body.withColumn("gaps", by_gap).withColumn("places", by_place)
-    body = body.withColumn("cells", F.when((F.size("gaps") >= F.size("places")), F.col("gaps")).otherwise(F.col("places")))
-    return _out(body, F.col("tab"), F.coalesce(trim_all(F.col("named")), F.lit("")), "line", F.lit(None))
+    body = body.withColumn("is_head", F.row_number().over(part) == 1).withColumn("starts", starts_of("text"))
+    body = settled(body.select("doc_id", "tab", "line", "text", "is_head", "starts"))
+    found = layouts(body).where("coverage >= 1")
+    body = body.join(found, ["doc_id", "tab"]).join(titles, ["doc_id", "tab"], "left")
+    body = body.withColumn("gaps", F.split(trim_all(F.col("text")), r"\s{2,}")).withColumn("places", cut_at("text", "columns"))
+    # A value that runs over its place is kept whole by the gaps between cells.
+    over = ~F.col("is_head") & (F.size("gaps") >= F.size("columns")) & (F.col("gaps") != F.col("places"))
+    met = F.size(F.filter("columns", lambda c: F.exists("starts", lambda s: F.abs(s - c) <= NEAR))) / F.size("columns")
+    note = F.when(over & ((F.col("by") != "head") | (met >= SHARE)), "ALIGNED_POSITION_MISMATCH")
+    body = body.withColumn("cells", F.when(over, F.col("gaps")).otherwise(F.col("places")))
+    return _out(body, F.col("tab"), F.coalesce(trim_all(F.col("named")), F.lit("")), "line", F.lit(True), note)
 
 
 #: Every parser by its format id, in order of precedence.
