@@ -214,17 +214,38 @@ def _columns(ch: str) -> int:
     return 2 if re.match(WIDE, ch) else 1 - bool(re.match(r"[̀-ͯ​-‍]", ch))
 
 
-def cli_multi_block(docs: DataFrame) -> DataFrame:
-    """Sections: title, ==== rule, header, ---- rule, rows to the first blank line."""
+def _cli_lines(docs: DataFrame) -> DataFrame:
+    """Lines of sections, titles apart: tab, title, starts and ends (rules), ruled (below the second rule), over (below
+    the first blank line after it), and of the section has_rule, has_head, has_data."""
     lines = lines_of(docs).withColumn("starts", _only("=")).withColumn("ends", ~F.col("starts") & _only(r"\-"))
     lines = lines.withColumn("again", F.col("starts") & F.lag("starts", 1, False).over(_by_line())).where("not again")
     lines = lines.withColumn("tab", F.sum(F.col("starts").cast("int")).over(_before()) - 1)
     named = F.when(F.lead("starts", 1, False).over(_by_line()) & (trim_all(F.col("text")) != "") & ~F.col("ends"), F.regexp_replace(trim_all(F.col("text")), r"[:：]$", ""))
     lines = lines.withColumn("named", named).withColumn("title", F.last("named", ignorenulls=True).over(_before())).where("tab >= 0 and named is null")
     part = Window.partitionBy("doc_id", "tab").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = lines.withColumn("ruled", F.max(F.col("ends").cast("int")).over(part))
-    blank = (trim_all(F.col("text")) == "") & (F.col("ruled") == 1)
-    lines = lines.withColumn("over", F.max(blank.cast("int")).over(part)).where("over = 0 and not starts and not ends").where(trim_all(F.col("text")) != "")
+    lines = lines.withColumn("ruled", F.max(F.col("ends").cast("int")).over(part)).withColumn("blank", trim_all(F.col("text")) == "")
+    lines = lines.withColumn("over", F.max((F.col("blank") & (F.col("ruled") == 1)).cast("int")).over(part))
+    whole = Window.partitionBy("doc_id", "tab")
+    plain = ~F.col("blank") & ~F.col("starts") & ~F.col("ends")
+    return lines.withColumns({
+        "has_rule": F.max("ends").over(whole), "has_head": F.max(plain & (F.col("ruled") == 0)).over(whole), "has_data": F.max(plain & (F.col("ruled") == 1) & (F.col("over") == 0)).over(whole),
+    })
+
+
+def cli_problems(docs: DataFrame) -> DataFrame:
+    """doc_id, tab, code of sections that give no table, and of headers without a first name."""
+    lines = _cli_lines(docs)
+    code = F.when(~F.col("has_rule"), "MISSING_SEPARATOR").when(~F.col("has_head"), "MISSING_HEADER").when(~F.col("has_data"), "EMPTY_TABLE_BLOCK").when(F.col("head").startswith(" "), "MISSING_FIRST_HEADER")
+    head = F.min(F.when((F.col("ruled") == 0) & ~F.col("blank") & ~F.col("starts"), F.struct("line", "text")))
+    blocks = lines.groupBy("doc_id", "tab", "has_rule", "has_head", "has_data").agg(head["text"].alias("head"))
+    return blocks.select("doc_id", "tab", code.alias("code")).where("code is not null")
+
+
+def cli_multi_block(docs: DataFrame) -> DataFrame:
+    """Sections: title, ==== rule, header, ---- rule, rows to the first blank line. Sections without one of these give
+    nothing."""
+    lines = _cli_lines(docs).where("has_rule and has_head and has_data and over = 0 and not starts and not ends and not blank")
+    part = Window.partitionBy("doc_id", "tab").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     head = F.first(F.when(F.col("ruled") == 0, F.col("text")), ignorenulls=True).over(part)
     lines = lines.withColumn("head", head).where("head is not null")
     first_title = Window.partitionBy("doc_id", "title").orderBy("tab")

@@ -22,3 +22,11 @@ def test_one_text(spark):
     assert (blank.tables, blank.format, blank.diagnostics) == ([], "empty", [("EMPTY_INPUT", None, None)])
     assert import_text(spark, "a", fmt="nonsense").diagnostics == [("PARSE_ERROR", None, None)]
     assert import_text(spark, "x" * 14_000_000).format == "error"
+
+
+def test_broken_sections(spark):
+    rule, under = "=" * 12, "-" * 12
+    text = "\n".join(["One:", rule, "A    B", under, "1    2", "", "Two", rule, "no rule", "", "Three", rule, under, "1", "", "Four", rule, "A   B", under, "", "Five", rule, "     B", under, "x    y"])
+    got = import_text(spark, text, "cli-multi-block")
+    assert [t.name for t in got.tables] == ["One", "Five"] and got.tables[1].headers == ("Column1", "B")
+    assert [d[0] for d in got.diagnostics] == ["MISSING_SEPARATOR", "MISSING_HEADER", "EMPTY_TABLE_BLOCK", "MISSING_FIRST_HEADER"]
