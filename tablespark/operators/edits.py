@@ -7,12 +7,14 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from .query import with_result_index
+from .ordinals import keys_at
 from .table import Table
 
 HISTORY = 100
-#: Up to so many edits become expressions; more are joined.
+#: Up to so many edits of a numbered table become expressions; more are joined.
 INLINE = 200
+#: Up to so many edited rows are sent to every task; more are joined by a shuffle.
+SENT = 100_000
 
 
 class Overlay:
@@ -65,23 +67,31 @@ class Overlay:
         self.__init__()
 
     def apply(self, table: Table, row_number: str | None = None) -> Table:
-        """The corrected table. row_number names an order column that counts rows from 0; else rows are numbered.
+        """The corrected table. row_number names an order column that counts rows from 0; else the edited rows' order
+        columns are looked up, and the table itself is neither sorted nor numbered.
 
-        Edits outside the table are passed by. Few edits become expressions; many are joined by row.
+        The order columns must name rows uniquely; where they don't, every row that shares an edited row's place is
+        corrected. Edits outside the table are passed by. Few edits of a numbered table become expressions.
         """
         edits = {k: v for k, v in self.cells.get(table.name, {}).items() if 0 <= k[1] < len(table.headers)}
         if not edits or table.read_only:
             return table
-        numbered = table if row_number else with_result_index(table)
-        row = F.col(row_number or "_result_index")
-        df = numbered.df
-        if len(edits) <= INLINE:
+        df = table.df
+        if row_number and len(edits) <= INLINE:
+            row = F.col(row_number)
             for c in {c for _, c in edits}:
                 of = [(r, v) for (r, cc), v in edits.items() if cc == c]
                 df = df.withColumn(f"c{c}", reduce(lambda e, rv: F.when(row == rv[0], F.lit(rv[1])).otherwise(e), of, F.col(f"c{c}")))
-            return table.with_df(df.select(*table.order, *table.cells))
-        frame = df.sparkSession.createDataFrame([(r, c, v) for (r, c), v in edits.items()], "_row long, _column int, _value string")
-        wide = frame.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_column", "_value"))).alias("_edits"))
-        df = df.withColumn("_row", row).join(wide, "_row", "left")
-        cells = [F.coalesce(F.try_element_at("_edits", F.lit(i)), c).alias(f"c{i}") for i, c in enumerate(table.cells)]
-        return table.with_df(df.select(*table.order, *cells))
+            return table.with_df(df.select(*table.df.columns))
+        rows: dict[int, dict[int, str]] = {}
+        for (r, c), v in edits.items():
+            rows.setdefault(r, {})[c] = v
+        frame = df.sparkSession.createDataFrame(list(rows.items()), "_row long, _edits map<int, string>")
+        by = [row_number] if row_number else list(table.order)
+        found = frame.withColumnRenamed("_row", row_number) if row_number else keys_at(df, by, frame).drop("_row")
+        found = found.select(*[F.col(c).alias(f"_at_{c}") for c in by], "_edits")
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in by])
+        # The edits are held by the driver, as people make them; Spark broadcasts them while they are few.
+        df = df.join(F.broadcast(found) if len(rows) <= SENT else found, same, "left")
+        cells = {f"c{i}": F.coalesce(F.try_element_at("_edits", F.lit(i)), c) for i, c in enumerate(table.cells)}
+        return table.with_df(df.withColumns(cells).select(*table.df.columns))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import column_filter, compile_rule
+from .ordinals import numbered
 from .table import Table
 
 PAGE, LARGEST_PAGE = 100, 500
@@ -64,16 +65,8 @@ def page(table: Table, number: int = 1, size: int = PAGE) -> tuple[Table, dict]:
 
 
 def with_result_index(table: Table) -> Table:
-    """_result_index, from 0 in row order. Range partitions are numbered on their own and shifted by the sizes before."""
-    spark = table.df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df = table.df.repartitionByRange(parts, *table.order).sortWithinPartitions(*table.order)
-    df = df.select("*", F.spark_partition_id().alias("_part")).withColumn("_local", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = df.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = F.broadcast(sizes.select("_part", before.alias("_base")))  # one row for each partition
-    df = df.join(bases, "_part").withColumn("_result_index", F.col("_base") + F.col("_local")).drop("_part", "_local", "_base")
-    return table.with_df(df)
+    """_result_index, from 0 in row order. The rows are written once and numbered from there."""
+    return table.with_df(numbered(table.df, list(table.order), "_result_index"))
 
 
 def transpose(table: Table, corner: str = "field") -> DataFrame:

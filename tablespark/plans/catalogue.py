@@ -126,6 +126,16 @@ add(
     lambda s, d: with_result_index(process(tab(s, d, "orders"), Rules(filter="o_orderstatus=p"))).df.select(F.col("o0").alias("o_orderkey"), F.col("_result_index").alias("result_index")),
     "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS result_index FROM orders WHERE o_orderstatus = 'P'",
 )
+add(
+    "result_index_cells",
+    lambda s, d: with_result_index(process(tab(s, d, "orders"), Rules(filter="o_orderstatus!=f"))).public("_result_index"),
+    f"SELECT {cells('orders')}, row_number() OVER (ORDER BY o_orderkey) - 1 AS _result_index FROM orders WHERE lower(o_orderstatus) <> 'f'",
+)
+add(
+    "result_index_view",
+    lambda s, d: with_result_index(run_view(View("v", "customer", "orders", "c_custkey=o_custkey", "inner", "c_name, right.o_orderkey, right.o_totalprice as total"), {n: tab(s, d, n) for n in ("customer", "orders")}, {})).public("_result_index"),
+    f"SELECT c_name, {text('o_orderkey')} AS o_orderkey, {text('o_totalprice')} AS total, row_number() OVER (ORDER BY c_custkey, o_orderkey) - 1 AS _result_index FROM customer JOIN orders ON c_custkey = o_custkey",
+)
 add(
     "transpose_page",
     lambda s, d: transpose(page(tab(s, d, "part"), 1, 4)[0]),
@@ -200,6 +210,25 @@ add(
     SELECT {cells('orders')} FROM e WHERE lower(o_orderstatus) = 'x' OR contains(lower({row('orders')}), 'never') OR o_totalprice > 499000""",
 )
 
+def edited_everywhere(s: SparkSession, d: str) -> Table:
+    """Edits in the first, the middle and the last row, and in every 997th."""
+    over, orders = Overlay(), tab(s, d, "orders")
+    n = orders.df.count()
+    for r in {0, n // 2, n - 1, *range(5, n, 997)}:
+        over.edit(orders, r, 2, f"row {r}", old="")
+    over.edit(orders, n - 1, 5, "last", old="")
+    over.edit(orders, n, 5, "beyond", old="")
+    return over.apply(orders)
+
+
+add(
+    "cell_edits_everywhere",
+    lambda s, d: edited_everywhere(s, d).public(),
+    f"""WITH n AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS total FROM orders),
+    e AS (SELECT o_orderkey, o_custkey, CASE WHEN i IN (0, total // 2, total - 1) OR (i >= 5 AND (i - 5) % 997 = 0) THEN 'row ' || CAST(i AS VARCHAR) ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_orderdate, CASE WHEN i = total - 1 THEN 'last' ELSE o_orderpriority END AS o_orderpriority FROM n)
+    SELECT {cells('orders')} FROM e""",
+)
+
 # Profiles.
 _TYPE = r"CASE WHEN trim({0}) = '' THEN 'empty' WHEN regexp_matches(trim({0}), '^(true|false|yes|no|是|否)$', 'i') THEN 'boolean' WHEN regexp_matches(trim({0}), '^-?\d+(\.\d+)?(e[+-]?\d+)?$', 'i') THEN 'number' WHEN regexp_matches(trim({0}), '^\d{{4}}[-/]\d{{1,2}}[-/]\d{{1,2}}(\s+\d{{1,2}}:\d{{2}}(:\d{{2}})?)?$') THEN 'date' ELSE 'string' END"
 for _t in ("orders", "events"):
