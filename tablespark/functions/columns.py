@@ -123,13 +123,3 @@ def number_safe(c: Column) -> Column:
 def display_width(c: Column) -> Column:
     """Columns that a text takes on a terminal."""
     return F.length(c) + F.regexp_count(c, F.lit(WIDE)) - F.regexp_count(c, F.lit(ZERO_WIDTH))
-
-
-def tags_stripped(c: Column) -> Column:
-    """Text of markup: scripts and styles go, blocks and breaks become newlines, six entities are decoded."""
-    c = F.regexp_replace(c, r"(?is)<(script|style|template)\b.*?</\1\s*>|<!--.*?-->", "")
-    c = F.regexp_replace(c, r"(?i)<\s*(?:br|/p|/div|/li|/tr|/h[1-6]|/section|/article)\b[^>]*>", "\n")
-    c = F.regexp_replace(c, r"<[^>]*>", "")
-    for name, raw in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(raw))
-    return trim_all(F.regexp_replace(c, r"[ \t]*\n\s*", "\n"))

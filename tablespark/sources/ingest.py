@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import clean_cell
 from ..operators.profile import header_scores
 from ..operators.table import Table, unique_headers, unique_name
+from .data_block import data_block_problems
 from .parsers import PARSERS, cli_problems, unclosed_quote
 from .sniff import sniff
 from .text import LARGEST, settled
@@ -58,6 +59,9 @@ def parse_texts(docs: DataFrame, fmt: str | None = None, header_mode: str = "aut
     if "cli-multi-block" in names:
         broken = cli_problems(known.where(F.col("format") == "cli-multi-block"))
         diagnostics = diagnostics.unionByName(broken.select(F.col("doc_id").cast("string").alias("doc_id"), "tab", F.lit(None).cast("int").alias("row"), "code", F.lit("warning").alias("severity")))
+    if "data-block" in names:
+        broken = data_block_problems(known.where(F.col("format") == "data-block"))
+        diagnostics = diagnostics.unionByName(broken.withColumn("doc_id", F.col("doc_id").cast("string")))
     quoted = known.where(F.col("format").isin("csv", "semicolon-csv", "excel-paste") & unclosed_quote(F.col("text")))
     none = lambda df, code, level: df.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(None).cast("int").alias("tab"), F.lit(None).cast("int").alias("row"), F.lit(code).alias("code"), F.lit(level).alias("severity"))
     diagnostics = diagnostics.unionByName(none(quoted, "UNCLOSED_QUOTE", "warning")).unionByName(none(known.where(F.trim("text") == ""), "EMPTY_INPUT", "warning"))

@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import WIDE, tags_stripped, trim_all
+from ..functions.columns import WIDE, trim_all
+from ..functions.markup import html_texts
+from .data_block import data_block
 from .layout import NEAR, SHARE, cut_at, layouts, starts_of
 from .text import lines_of, normal_text, settled
 
@@ -86,37 +88,6 @@ def spaced(pattern: str) -> Callable[[DataFrame], DataFrame]:
     return parse
 
 
-def data_block(docs: DataFrame) -> DataFrame:
-    """data NAME [ {key: value, ...} ... ]: one table for each block, columns in the order keys are first met."""
-    quoted = r'"(?:\\.|[^"\\])*"'
-    block = rf"(?s)(?<![A-Za-z0-9_$])data\s+[A-Za-z0-9_][A-Za-z0-9_$]*\s*\[(?:{quoted}|[^\"\]])*+(?:\]|\z)"
-    record = rf"(?s)\{{(?:{quoted}|[^\"{{}}])*+"
-    pair = rf"(?s)([^\s:,{{}}\[\]\"]+|{quoted})\s*:\s*({quoted}|[^,{{}}\"]*)"
-    plain = lambda v: F.when(v.startswith('"'), _unescaped(F.regexp_replace(v, '^"|"$', ""))).otherwise(trim_all(v))
-    blocks = docs.select("doc_id", F.posexplode(F.regexp_extract_all(normal_text(F.col("text")), F.lit(block), F.lit(0))).alias("tab", "block"))
-    blocks = blocks.withColumn("title", F.regexp_extract("block", r"data\s+([A-Za-z0-9_][A-Za-z0-9_$]*)", 1))
-    body = F.regexp_replace("block", r"^data\s+[^\[]*\[", "")
-    records = blocks.select("doc_id", "tab", "title", F.posexplode(F.regexp_extract_all(body, F.lit(record), F.lit(0))).alias("row", "record"))
-    keys, values = (F.regexp_extract_all("record", F.lit(pair), F.lit(i)) for i in (1, 2))
-    pairs = records.select("doc_id", "tab", "title", "row", F.posexplode(F.arrays_zip(keys.alias("k"), values.alias("v"))).alias("at", "p"))
-    pairs = pairs.select("doc_id", "tab", "title", "row", "at", plain(F.col("p.k")).alias("key"), plain(F.col("p.v")).alias("value"))
-    last = pairs.groupBy("doc_id", "tab", "title", "row", "key").agg(F.max_by("value", "at").alias("value"))
-    of_row = last.groupBy("doc_id", "tab", "title", "row").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
-    order = pairs.groupBy("doc_id", "tab", "title", "key").agg(F.min(F.struct("row", "at")).alias("first"))
-    order = order.groupBy("doc_id", "tab", "title").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "key"))), lambda s: s["key"]).alias("keys"))
-    rows = of_row.join(order, ["doc_id", "tab", "title"])
-    rows = rows.select("doc_id", "tab", "title", (F.col("row") + 1).alias("row"), F.transform("keys", lambda k: F.coalesce(F.try_element_at("m", k), F.lit(""))).alias("cells"))
-    heads = order.select("doc_id", "tab", "title", F.lit(0).alias("row"), F.col("keys").alias("cells"))
-    return _out(heads.unionByName(rows), F.col("tab"), F.col("title"), "row", F.lit(True))
-
-
-def _unescaped(c: Column) -> Column:
-    c = F.replace(c, F.lit("\\\\"), F.lit(ESCAPED_SLASH))
-    for mark, raw in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ('\\"', '"')):
-        c = F.replace(c, F.lit(mark), F.lit(raw))
-    return F.replace(c, F.lit(ESCAPED_SLASH), F.lit("\\"))
-
-
 @F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def _spread(rows: pa.Array) -> pa.Array:
     """Cells (text, colspan, rowspan) put on their grid places: text goes down with rowspan, blanks follow colspan."""
@@ -151,10 +122,15 @@ def html_table(docs: DataFrame) -> DataFrame:
     tables = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(r"(?is)<table\b.*?(?:</table\s*>|\z)"), F.lit(0))).alias("tab", "html"))
     named = F.coalesce(F.nullif(F.regexp_extract("html", r"(?is)^<table\b[^>]*\bdata-name\s*=\s*[\"']([^\"']*)", 1), F.lit("")), F.nullif(F.regexp_extract("html", r"(?is)^<table\b[^>]*\bsummary\s*=\s*[\"']([^\"']*)", 1), F.lit("")))
     number = lambda c, name: F.coalesce(F.regexp_extract(c, rf"(?is)^<t[dh]\b[^>]*\b{name}\s*=\s*[\"']?(\d+)", 1).try_cast("int"), F.lit(1))
-    cell = lambda c: F.struct(tags_stripped(c).alias("text"), number(c, "colspan").alias("across"), number(c, "rowspan").alias("down"))
     rows = F.regexp_extract_all("html", F.lit(r"(?is)<tr\b.*?(?=<tr\b|</tr\s*>|\z)"), F.lit(0))
-    grid = F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b.*?(?=<t[dh]\b|</t[dh]\s*>|\z)"), F.lit(0)), cell))
-    tables = tables.select("doc_id", "tab", F.coalesce(named, F.concat(F.lit("HTML Table "), F.col("tab") + 1)).alias("title"), F.col("html").rlike(r"(?i)<th\b").alias("head"), _spread(grid).alias("rows"))
+    cells = F.transform(rows, lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b.*?(?=<t[dh]\b|</t[dh]\s*>|\z)"), F.lit(0)))
+    tables = tables.select("doc_id", "tab", F.coalesce(named, F.concat(F.lit("HTML Table "), F.col("tab") + 1)).alias("title"), F.col("html").rlike(r"(?i)<th\b").alias("head"), cells.alias("cells"))
+    # One list of all cells goes through Python; the rows are cut out of it again.
+    tables = tables.withColumn("texts", html_texts(F.flatten("cells"))).withColumn("sizes", F.transform("cells", F.size))
+    before = lambda i: F.aggregate(F.slice("sizes", 1, i), F.lit(0), lambda a, n: a + n)
+    cell = lambda c, text: F.struct(text.alias("text"), number(c, "colspan").alias("across"), number(c, "rowspan").alias("down"))
+    grid = F.transform("cells", lambda r, i: F.zip_with(r, F.slice("texts", before(i) + 1, F.size(r)), cell))
+    tables = tables.select("doc_id", "tab", "title", "head", _spread(grid).alias("rows"))
     rows = tables.select("doc_id", "tab", "title", "head", F.posexplode("rows").alias("row", "cells"))
     return _out(rows, F.col("tab"), F.col("title"), "row", F.when(F.col("head"), F.lit(True)))
 
