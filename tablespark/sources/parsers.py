@@ -37,18 +37,28 @@ def _out(df: DataFrame, tab: Column | None = None, title: Column | None = None,
     return df.select("doc_id", (F.lit(0) if tab is None else tab).cast("int").alias("tab"), (F.lit("") if title is None else title).alias("title"), F.col(row).cast("int").alias("row"), "cells", (F.lit(None) if forced is None else forced).cast("boolean").alias("forced"), (F.lit(None) if note is None else note).cast("string").alias("note"))
 
 
-def delimited(sep: str) -> Callable[[DataFrame], DataFrame]:
-    """Quotes may open anywhere in a cell; between quotes separators and newlines are text, a doubled quote is one.
+def _marked(text: Column, sep: str) -> Column:
+    """The text with marks in place of separators and newlines that stand outside quotes.
 
     Pieces between quotes alternate: outside, inside, outside; an empty outside piece between two inside ones is a
     doubled quote. So no state is carried along the text.
     """
+    parts = F.split(text, '"', -1)
+    outside = lambda p: F.replace(F.replace(p, F.lit("\n"), F.lit(ROW)), F.lit(sep), F.lit(CELL))
+    whole = F.transform(parts, lambda p, i: F.when(i % 2 == 1, p).when((p == "") & (i > 0) & (i < F.size(parts) - 1), F.lit('"')).otherwise(outside(p)))
+    return F.array_join(whole, "")
+
+
+def record_cells(text: Column, sep: str) -> Column:
+    """The cells of one record."""
+    return F.split(_marked(text, sep), CELL, -1)
+
+
+def delimited(sep: str) -> Callable[[DataFrame], DataFrame]:
+    """Quotes may open anywhere in a cell; between quotes separators and newlines are text, a doubled quote is one."""
 
     def parse(docs: DataFrame) -> DataFrame:
-        parts = F.split(normal_text(F.col("text")), '"', -1)
-        outside = lambda p: F.replace(F.replace(p, F.lit("\n"), F.lit(ROW)), F.lit(sep), F.lit(CELL))
-        whole = F.transform(parts, lambda p, i: F.when(i % 2 == 1, p).when((p == "") & (i > 0) & (i < F.size(parts) - 1), F.lit('"')).otherwise(outside(p)))
-        rows = docs.select("doc_id", F.posexplode(F.split(F.array_join(whole, ""), ROW, -1)).alias("line", "text"))
+        rows = docs.select("doc_id", F.posexplode(F.split(_marked(normal_text(F.col("text")), sep), ROW, -1)).alias("line", "text"))
         return _out(rows.select("doc_id", "line", F.split("text", CELL, -1).alias("cells")))
 
     return parse
