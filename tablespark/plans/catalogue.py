@@ -20,7 +20,7 @@ from ..sources.ingest import parse_quality, parse_texts
 from ..sources.sniff import sniff
 from ..sources.text import shared_folder
 from ..streaming.rules import filtered_stream, run_available, stream_table
-from . import hard_texts
+from . import hard_texts, read_back
 from .texts import FIELDS, LAYOUTS, SOURCE, all_formats, customers_as, shifted_customers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -324,7 +324,7 @@ add(
     lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", C.display_width(F.concat(F.col("c_mktsegment"), F.expr("repeat('表', int(c_custkey % 4))"))).alias("width")),
     "SELECT c_custkey, CAST(length(c_mktsegment) + 2 * (c_custkey % 4) AS INTEGER) AS width FROM customer",
 )
-for _n, (_query, _sql) in hard_texts.QUERIES.items():
+for _n, (_query, _sql) in (hard_texts.QUERIES | read_back.QUERIES).items():
     add(_n, _query, _sql)
 
 
