@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import column_filter, compile_rule
@@ -69,16 +69,51 @@ def with_result_index(table: Table) -> Table:
     return table.with_df(numbered(table.df, list(table.order), "_result_index"))
 
 
+def turned_cells(table: Table) -> DataFrame:
+    """Every cell of a table of any size: field (place of its column, from 0), header, row (from 0 in row order), value."""
+    rows = numbered(table.df.select(*table.order, F.array(*table.cells).alias("_cells")), list(table.order), "row")
+    header = F.get(F.array(*map(F.lit, table.headers)), F.col("field"))
+    return rows.select("row", F.posexplode("_cells").alias("field", "value")).select("field", header.alias("header"), "row", "value")
+
+
 def transpose(table: Table, corner: str = "field") -> DataFrame:
-    """One row for each header, one column `Row i` for each row of a page. For pages alone: the columns are its rows."""
-    rows = table.ordered().select(F.array(*table.cells).alias("d")).limit(LARGEST_PAGE + 1).collect()
-    if len(rows) > LARGEST_PAGE:
+    """One row for each header, one column `Row i` for each row of a page. For pages alone: the columns are its rows.
+
+    The page's cells are regrouped by their column; only the number of its rows comes to the driver.
+    """
+    page_rows = table.df.orderBy(*table.order).limit(LARGEST_PAGE + 1)  # so one window sees a page at most
+    n = page_rows.count()
+    if n > LARGEST_PAGE:
         raise ValueError(f"at most {LARGEST_PAGE} rows can become columns: take a page")
-    spark = table.df.sparkSession
-    columns = [F.lit(h).alias("h") for h in table.headers]
-    names = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), c) for i, c in enumerate(columns)]))
-    df = spark.range(1).select(names.alias("f")).select("f.i", F.col("f.h").alias(corner))
-    return df.select("i", corner, *[F.element_at(F.array(*map(F.lit, r["d"])), F.col("i") + 1).alias(f"Row {n + 1}") for n, r in enumerate(rows)]).orderBy("i").drop("i")
+    heads = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(h).alias("h")) for i, h in enumerate(table.headers)])
+    fields = table.df.sparkSession.range(1).select(F.inline(heads)).select("i", F.col("h").alias(corner))
+    if not n:
+        return fields.orderBy("i").drop("i")
+    rows = page_rows.select(F.row_number().over(Window.orderBy(*table.order)).alias("n"), F.array(*table.cells).alias("cells"))
+    rows = rows.select("n", F.posexplode("cells").alias("i", "value"))
+    turned = rows.groupBy("i").pivot("n", list(range(1, n + 1))).agg(F.first("value"))
+    turned = turned.select("i", *[F.col(str(k)).alias(f"Row {k}") for k in range(1, n + 1)])
+    return fields.join(turned, "i").orderBy("i").drop("i")
+
+
+def turn_back(turned: DataFrame, corner: str = "field", name: str = "turned") -> Table:
+    """A turned page or selection as a table again: its fields are the headers, each of its other columns is a record.
+
+    Only the names of the fields come to the driver.
+    """
+    records = [c for c in turned.columns if c != corner]
+    placed = turned.withColumn("_field", F.monotonically_increasing_id())
+    fields = sorted(placed.select("_field", corner).collect())  # one for each column of the table
+    values = placed.select("_field", F.posexplode(F.array(*[F.col(f"`{c}`") for c in records])).alias("o0", "value"))
+    cells = values.groupBy("o0").pivot("_field", [f["_field"] for f in fields]).agg(F.first("value"))
+    df = cells.select(F.col("o0").cast("long").alias("o0"), *[F.coalesce(F.col(str(f["_field"])), F.lit("")).alias(f"c{i}") for i, f in enumerate(fields)])
+    return Table(name, tuple(f[corner] for f in fields), df)
+
+
+def lua_selection(table: Table, rows: tuple[int, int], columns: tuple[int, int], turned: bool = False) -> Table:
+    """What is copied as Lua when rows and columns of a view are selected: in a turned view its rows are fields and its
+    columns are records, and each record stays one Lua table."""
+    return rectangle(table, columns, rows) if turned else rectangle(table, rows, columns)
 
 
 def rectangle(table: Table, rows: tuple[int, int], columns: tuple[int, int]) -> Table:

@@ -12,10 +12,11 @@ from ..functions import columns as C
 from ..operators import profile
 from ..operators.edits import Overlay
 from ..operators.joins import View, join_stats, resolve, run_view
-from ..operators.query import Rules, page, process, rectangle, transpose, with_result_index
+from ..operators.query import Rules, lua_selection, page, process, rectangle, transpose, turn_back, turned_cells, with_result_index
 from ..operators.table import Table
 from ..operators.workspace import Workspace
 from ..sinks.render import row_column, widths
+from ..sinks.xlsx import sheet_chunks
 from ..sources.ingest import parse_quality, parse_texts
 from ..sources.sniff import sniff
 from ..sources.text import shared_folder
@@ -144,6 +145,13 @@ add(
         f"SELECT '{c}' AS field, " + ", ".join(f"max(CASE WHEN n = {i} THEN {text(c)} END) AS \"Row {i}\"" for i in range(1, 5)) + " FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) AS n FROM part)" for c in COLUMNS["part"]
     ),
 )
+add("transpose_and_back", lambda s, d: turn_back(transpose(page(tab(s, d, "part"), 2, 300)[0])).public(), f"SELECT {cells('part')} FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 300 OFFSET 300)")
+add(
+    "turned_cells",
+    lambda s, d: turned_cells(tab(s, d, "orders")),
+    "WITH n AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS row FROM orders) " + " UNION ALL ".join(f"SELECT {i} AS field, '{c}' AS header, row, {text(c)} AS value FROM n" for i, c in enumerate(COLUMNS["orders"])),
+)
+add("lua_turned_selection", lambda s, d: lua_selection(tab(s, d, "orders"), (1, 3), (40, 90), turned=True).public(), f"SELECT {cells('orders', COLUMNS['orders'][1:4])} FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 51 OFFSET 40)")
 add("select_rectangle", lambda s, d: rectangle(tab(s, d, "orders"), (120, 20), (4, 1)).public(), f"SELECT {cells('orders', COLUMNS['orders'][1:5])} FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 101 OFFSET 20)")
 
 
@@ -319,6 +327,15 @@ add(
     lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", C.number_safe(F.expr(_LONG.replace("VARCHAR", "STRING"))).alias("safe"), C.number_safe(F.col("o_orderpriority")).alias("word")),
     f"SELECT o_orderkey, NOT regexp_matches({_LONG}, '^0\\d+') AND length(regexp_replace(replace({_LONG}, '.', ''), '^0+', '')) <= 15 AS safe, false AS word FROM orders",
 )
+_XML = " || ".join(
+    f"'<c t=\"n\"><v>' || {text(c)} || '</v></c>'" if c in ("o_orderkey", "o_custkey", "o_totalprice") else f"'<c t=\"inlineStr\"><is><t xml:space=\"preserve\">' || {text(c)} || '</t></is></c>'" for c in COLUMNS["orders"]
+)
+add(
+    "xlsx_sheet_chunks",
+    lambda s, d: sheet_chunks(tab(s, d, "orders")).select("sheet", "chunk", "n", "size"),
+    f"""WITH x AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, strlen('<row>' || {_XML} || '</row>') AS size FROM orders)
+    SELECT CAST(i // 41943 // 25 AS INTEGER) AS sheet, CAST(i // 41943 % 25 AS INTEGER) AS chunk, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM x GROUP BY 1, 2""",
+)
 add(
     "display_width",
     lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", C.display_width(F.concat(F.col("c_mktsegment"), F.expr("repeat('表', int(c_custkey % 4))"))).alias("width")),

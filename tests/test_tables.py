@@ -3,6 +3,7 @@
 import itertools
 import re
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pytest
@@ -12,10 +13,10 @@ from tablespark.functions import columns as C
 from tablespark.functions.rules import compile_rule, tokens_of
 from tablespark.operators.edits import Overlay
 from tablespark.operators.joins import View, auto_match, dependencies, join_stats, resolve, ring, run_view, view_problems
-from tablespark.operators.query import Rules, focus_columns, page, process, transpose
+from tablespark.operators.query import Rules, focus_columns, lua_selection, page, process, transpose, turn_back, turned_cells
 from tablespark.operators.table import Table, unique_headers, unique_name
 from tablespark.sinks.render import render
-from tablespark.sinks.xlsx import file_prefix, sheet_name, write_xlsx
+from tablespark.sinks.xlsx import crc_of_both, file_prefix, sheet_name, write_xlsx
 
 
 def table(spark, name, headers, rows):
@@ -176,6 +177,39 @@ def test_workbook(spark, tmp_path):
     assert cells == [("inlineStr", "n"), ("n", "123456789012345"), ("inlineStr", "1234567890123456"), ("inlineStr", "007"), ("n", "-0.5"), ("inlineStr", "<&>"), ("n", "12e3")]
 
 
+def test_workbook_of_many_chunks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tablespark.sinks.xlsx.CHUNK", 7)
+    monkeypatch.setattr("tablespark.sinks.xlsx.SHEET", 35)
+    rows = [(i, f"é<{i}>&") for i in range(100)]
+    t = table(spark, "big", ["n", "t"], rows).with_df(table(spark, "big", ["n", "t"], rows).df.repartition(5))
+    for path in (str(tmp_path / "w.xlsx"), f"file://{tmp_path}/v.xlsx"):
+        assert write_xlsx([t, t.with_df(t.df.where("false"), name="none")], path) == ["big", "big_2", "big_3", "none"]
+    assert (tmp_path / "w.xlsx").read_bytes()[:2] == b"PK" and not list(tmp_path.glob("*.part"))
+    for name in ("w.xlsx", "v.xlsx"):
+        with zipfile.ZipFile(tmp_path / name) as z:
+            assert z.testzip() is None and len(z.namelist()) == 8
+            found = [["".join(c.itertext()) for c in r] for k in (1, 2, 3) for r in list(ElementTree.fromstring(z.read(f"xl/worksheets/sheet{k}.xml"))[0])[1:]]
+            assert found == [[str(i), x] for i, x in rows] and len(ElementTree.fromstring(z.read("xl/worksheets/sheet4.xml"))[0]) == 1
+    with pytest.raises(Exception, match="gone"):
+        write_xlsx([t.with_df(t.df.withColumn("c0", F.raise_error(F.lit("gone")).cast("string")))], str(tmp_path / "x.xlsx"))
+    assert not (tmp_path / "x.xlsx").exists()
+
+
+def test_checksums_of_stretches():
+    a, b = b"first part" * 1000, bytes(range(256)) * 9000
+    assert crc_of_both(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b) and crc_of_both(5, 0, 0) == 5
+
+
+def test_turned_pages(logs):
+    turned = transpose(page(logs, 1, 50)[0])
+    assert turned.columns == ["field"] + [f"Row {i}" for i in range(1, 6)] and [r[0] for r in turned.collect()] == list(logs.headers)
+    back = turn_back(turned)
+    assert back.headers == logs.headers and rows_of(back) == rows_of(logs)
+    assert [tuple(r) for r in transpose(logs.with_df(logs.df.where("false"))).collect()] == [(h,) for h in logs.headers]
+    assert rows_of(lua_selection(logs, (0, 1), (1, 2), turned=True)) == [("info", "ready"), ("Error", "fan stopped É")] and lua_selection(logs, (0, 1), (1, 2)).headers == ("message", "Count")
+    assert {tuple(r) for r in turned_cells(logs).where("field = 2").collect()} == {(2, "Count", i, r[2]) for i, r in enumerate(rows_of(logs))}
+
+
 def test_cells(spark):
     values = ["", "是", "-1.5e3", "+1", "2024-1-2 3:04", "x", "No"]
     df = spark.createDataFrame([(v,) for v in values], "c string")
