@@ -21,6 +21,7 @@ from ..sources.ingest import parse_quality, parse_texts
 from ..sources.sniff import sniff
 from ..sources.text import shared_folder
 from ..streaming.rules import filtered_stream, run_available, stream_table
+from ..streaming.views import stream_view
 from . import hard_texts, read_back
 from .texts import FIELDS, LAYOUTS, SOURCE, all_formats, customers_as, shifted_customers
 
@@ -420,6 +421,25 @@ def streamed(s: SparkSession, d: str) -> DataFrame:
 
 add("stream_rules", streamed, f"SELECT {cells('events', ['event_id', 'event_type', 'value'])} FROM events WHERE event_type IN ('error', 'purchase') AND value > 20")
 
+
+
+def stream_joined(s: SparkSession, d: str) -> DataFrame:
+    """Events as a stream, named by a chain of views over customers and nations that stay."""
+    base = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    tables = {n: tab(s, d, n) for n in ("customer", "nation")} | {"events": stream_table(s, d, "events.parquet", ["event_id"], "events")}
+    views = {
+        "who": View("who", "events", "customer", "user_id=c_custkey", "inner", "event_id, event_type, right.c_name as name, right.c_nationkey"),
+        "where": View("where", "who", "nation", "c_nationkey=n_nationkey", "left", "event_id, event_type, name, right.n_name as nation"),
+    }
+    run_available(filtered_stream(stream_view("where", tables, views), Rules(filter="event_type!=error")), f"{base}/out", f"{base}/state")
+    return s.read.parquet(f"{base}/out").drop("_hl")
+
+
+add(
+    "stream_static_view", stream_joined,
+    f"SELECT {text('event_id')} AS event_id, event_type, c_name AS name, coalesce(n_name, '') AS nation FROM events JOIN customer ON user_id = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey WHERE lower(event_type) <> 'error'",
+)
+
 # A workspace's results: an edited and filtered table beside a view that takes the edit in.
 def workspace_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace()

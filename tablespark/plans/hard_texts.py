@@ -101,4 +101,38 @@ RECOVERED = """WITH c AS (SELECT *, c_custkey // 40 AS doc, row_number() OVER (P
       CASE WHEN c_custkey % 7 = 0 THEN CASE WHEN c_custkey % 5 = 0 THEN '|7' ELSE '|' END ELSE CASE WHEN c_custkey % 5 = 0 THEN '7|' ELSE '|' END || c_name || ' "}' || chr(10) END AS others FROM c WHERE doc % 5 <> 4
     UNION ALL SELECT CAST(count(*) AS INTEGER), 'never closed', '|' FROM c WHERE doc % 5 = 2 GROUP BY doc"""
 
-QUERIES = {"html_cell_text": (html_cell_text, READABLE), "html_spans": (html_spans, SPANS), "data_block_faults": (data_block_faults, FAULTS), "data_block_recovered": (data_block_recovered, RECOVERED)}
+def moved_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text: CLI sections whose second header stands one blank after the first, with every ninth row out of its
+    places and every tenth with a cell too many."""
+    key = F.col("c_custkey")
+    cells = [(key % 10).cast("string"), key.cast("string"), F.col("c_name"), F.col("c_mktsegment")]
+    placed = F.rtrim(F.concat(*[F.rpad(c, n, " ") for c, n in zip(cells, (2, 8, 22, 12))]))
+    free = F.concat_ws("  ", *cells)
+    line = F.when(key % 10 == 1, F.concat(free, F.lit("   extra"))).when(key % 9 == 0, free).otherwise(placed)
+    half = lambda n, top: F.concat(F.array(*map(F.lit, [f"Part {n}:", "=" * 40, "D Key     Customer Name         Segment", "-" * 40])), top, F.array(F.lit("")))
+    both = F.concat(half(1, F.slice("lines", 1, 20)), half(2, F.slice("lines", 21, 20)))
+    return _paged(spark, sf_dir, line).select("doc_id", F.array_join(F.concat(F.array(F.lit("report"), F.lit("")), both), "\n").alias("text"))
+
+
+def cli_moved_rows(s: SparkSession, d: str) -> DataFrame:
+    rows = parse_texts(moved_sections(s, d), "cli-multi-block")[0].where("not is_header")
+    return rows.select("title", *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(("digit", "id", "name", "segment", "more"))])
+
+
+MOVED = """SELECT 'Part ' || CAST(c_custkey % 40 // 20 + 1 AS VARCHAR) AS title, CAST(c_custkey % 10 AS VARCHAR) AS digit, CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_mktsegment AS segment,
+    CASE WHEN c_custkey % 10 = 1 THEN 'extra' ELSE '' END AS more FROM customer"""
+
+
+def cli_moved_codes(s: SparkSession, d: str) -> DataFrame:
+    return parse_texts(moved_sections(s, d), "cli-multi-block")[1].groupBy("doc_id", "tab", "code").agg(F.count("*").alias("n"))
+
+
+#: Rows with a cell too many widen their table, so that all its other rows are too short; a last text may end in its first section.
+MOVED_CODES = """WITH c AS (SELECT CAST(c_custkey // 40 AS VARCHAR) AS doc_id, CAST(c_custkey % 40 // 20 AS INTEGER) AS tab, c_custkey AS k FROM customer)
+    SELECT doc_id, tab, 'POSITION_MISMATCH' AS code, count(*) AS n FROM c WHERE k % 10 = 1 OR k % 9 = 0 GROUP BY 1, 2 UNION ALL SELECT doc_id, tab, 'ROW_WIDTH_MISMATCH', count(*) FROM c GROUP BY 1, 2
+    UNION ALL SELECT doc_id, 1, 'EMPTY_TABLE_BLOCK', 1 FROM c GROUP BY doc_id HAVING max(tab) = 0"""
+
+QUERIES = {
+    "cli_moved_rows": (cli_moved_rows, MOVED), "cli_moved_codes": (cli_moved_codes, MOVED_CODES),
+    "html_cell_text": (html_cell_text, READABLE), "html_spans": (html_spans, SPANS), "data_block_faults": (data_block_faults, FAULTS), "data_block_recovered": (data_block_recovered, RECOVERED),
+}

@@ -54,7 +54,7 @@ def parse_texts(docs: DataFrame, fmt: str | None = None, header_mode: str = "aut
     numbered = numbered.withColumn("headed", F.coalesce(decided, F.lit(False)))
     uneven = numbered.where((F.size("cells") != F.col("width")) & (F.col("row") > 0))
     diagnostics = uneven.select(F.col("doc_id").cast("string").alias("doc_id"), "tab", "row", F.lit("ROW_WIDTH_MISMATCH").alias("code"), F.lit("warning").alias("severity"))
-    noted = numbered.where(F.col("note").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), "tab", "row", F.col("note").alias("code"), F.lit("warning").alias("severity"))
+    noted = numbered.where(F.col("note").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), "tab", "row", F.explode(F.split("note", ",")).alias("code"), F.lit("warning").alias("severity"))
     diagnostics = diagnostics.unionByName(noted)
     if "cli-multi-block" in names:
         broken = cli_problems(known.where(F.col("format") == "cli-multi-block"))

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 # Least gap between cells, how far starts may lie apart, share of lines that must have a start.
 GAP, NEAR, SHARE = 2, 1, 0.6
 KEY = ["doc_id", "tab"]
+WORD = re.compile(r"\S+")
 
 
 def columns_of(ch: str) -> int:
@@ -30,8 +31,11 @@ def columns_of(ch: str) -> int:
 
 def _words(line: str) -> list[tuple[int, int, int]]:
     """(start, end, gap before) of each word, in columns."""
+    if line.isascii() and line.isprintable():  # every character takes one column
+        ends = [0, *(m.end() for m in WORD.finditer(line))]
+        return [(m.start(), m.end(), m.start() - end) for m, end in zip(WORD.finditer(line), ends)]
     out, at, done = [], 0, 0
-    for m in re.finditer(r"\S+", line):
+    for m in WORD.finditer(line):
         gap = sum(map(columns_of, line[done : m.start()]))
         start = at + gap
         at = start + sum(map(columns_of, m[0]))
@@ -46,11 +50,19 @@ def starts_of(lines: pa.Array) -> pa.Array:
     return pa.array([[s for i, (s, _, gap) in enumerate(_words(x)) if i == 0 or gap >= GAP] for x in lines.to_pylist()], pa.list_(pa.int32()))
 
 
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def word_starts(lines: pa.Array) -> pa.Array:
+    """Where the words of each line start."""
+    return pa.array([[s for s, _, _ in _words(x)] for x in lines.to_pylist()], pa.list_(pa.int32()))
+
+
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def cut_at(lines: pa.Array, starts: pa.Array) -> pa.Array:
     """The cells of each line between starts; what lies before the first start is left out."""
 
     def one(line: str, at: list[int]) -> list[str]:
+        if line.isascii() and line.isprintable():
+            return [line[a:b].strip() for a, b in zip(at, [*at[1:], len(line)])]
         cells, column, k = [""] * len(at), 0, -1
         for ch in line:
             wide = columns_of(ch)
@@ -73,6 +85,23 @@ def words_cut(lines: pa.Array, starts: pa.Array) -> pa.Array:
     return pa.array([sum(any(a < s < b for a, b, _ in _words(x)) for s in (at or [])[1:]) for x, at in zip(lines.to_pylist(), starts.to_pylist())], pa.int32())
 
 
+def shared_columns(lines: DataFrame) -> DataFrame:
+    """doc_id, tab and columns: the starts of a header's words that begin columns.
+
+    lines: doc_id, tab, is_head and words (starts of the line's words), near (starts after a gap). A word after a gap
+    begins one; another does if SHARE of the lines have a word that starts there. A header that begins further right
+    leaves a column without a name before it.
+    """
+    heads = lines.where("is_head").groupBy(*KEY).agg(F.first(F.struct("words", "near")).alias("head"))
+    body = lines.where("not is_head").join(heads, KEY)
+    inner = F.array_except(F.array_intersect("words", F.col("head.words")), F.col("head.near"))
+    seen = body.select(*KEY, F.explode(inner).alias("p")).groupBy(*KEY, "p").agg(F.count("*").alias("n"))
+    sizes = body.groupBy(*KEY).agg(F.count("*").alias("lines"))
+    held = seen.join(sizes, KEY).where(F.col("n") >= F.greatest(F.lit(1), F.ceil(F.col("lines") * SHARE))).groupBy(*KEY).agg(F.collect_list("p").alias("more"))
+    every = heads.join(held, KEY, "left").withColumn("columns", F.array_sort(F.concat("head.near", F.coalesce("more", F.array().cast("array<int>")))))
+    return every.select(*KEY, F.when(F.get("columns", F.lit(0)) > 0, F.concat(F.array(F.lit(0)), "columns")).otherwise(F.col("columns")).alias("columns"))
+
+
 def layouts(lines: DataFrame) -> DataFrame:
     """doc_id, tab, columns (starts), by (header or data), score, coverage, support: one row for each table of lines.
 

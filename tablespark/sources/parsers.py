@@ -1,14 +1,13 @@
 """Parsers of messy text, over whole corpora of texts.
 
 Each takes (doc_id, text) and returns rows: doc_id, tab (table number from 0), title, row (ascending in the table),
-cells (array of text), forced (true or false where the format decides on the header, else null), note (a code, where
-a line did not fit). Lines, sections and
+cells (array of text), forced (true or false where the format decides on the header, else null), note (codes between
+commas, where a line did not fit). Lines, sections and
 states are windows over the lines of a text, ordered by line; cells come from expressions.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -16,10 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import WIDE, trim_all
+from ..functions.columns import trim_all
 from ..functions.markup import html_texts
 from .data_block import data_block
-from .layout import NEAR, SHARE, cut_at, layouts, starts_of
+from .layout import NEAR, SHARE, cut_at, layouts, shared_columns, starts_of, word_starts
 from .text import lines_of, normal_text, settled
 
 CELL, ROW, ESCAPED_PIPE, ESCAPED_SLASH = "\u0001", "\u0002", "\u0003", "\u0004"
@@ -174,32 +173,6 @@ def _only(marker: str) -> Column:
     return dense.rlike(rf"^[{marker}|+]+$") & (marks >= 10) & (marks >= F.length(dense) * 0.6)
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def _sliced(texts: pa.Array, heads: pa.Array) -> pa.Array:
-    """Cells of a line under the columns that start in its header line, by display columns."""
-    return pa.array([_under(t, h) for t, h in zip(texts.to_pylist(), heads.to_pylist())], pa.list_(pa.string()))
-
-
-def _under(text: str, head: str) -> list[str]:
-    starts, gap, at = [0] if head[:1] == " " else [], 2, 0
-    for ch in head:
-        if ch != " " and gap >= 2:
-            starts.append(at)
-        gap = gap + 1 if ch == " " else 0
-        at += _columns(ch)
-    cells, at, k = [""] * max(1, len(starts)), 0, 0
-    for ch in text:
-        while k + 1 < len(starts) and at >= starts[k + 1]:
-            k += 1
-        cells[k] += ch
-        at += _columns(ch)
-    return [c.strip() for c in cells]
-
-
-def _columns(ch: str) -> int:
-    return 2 if re.match(WIDE, ch) else 1 - bool(re.match(r"[̀-ͯ​-‍]", ch))
-
-
 def _cli_lines(docs: DataFrame) -> DataFrame:
     """Lines of sections, titles apart: tab, title, starts and ends (rules), ruled (below the second rule), over (below
     the first blank line after it), and of the section has_rule, has_head, has_data."""
@@ -229,15 +202,24 @@ def cli_problems(docs: DataFrame) -> DataFrame:
 
 def cli_multi_block(docs: DataFrame) -> DataFrame:
     """Sections: title, ==== rule, header, ---- rule, rows to the first blank line. Sections without one of these give
-    nothing."""
+    nothing.
+
+    Columns start where the header's words do, if a gap stands before them or most rows have a word there. A row whose
+    gaps give at least as many cells, and other ones than its places, keeps the cells between its gaps.
+    """
     lines = _cli_lines(docs).where("has_rule and has_head and has_data and over = 0 and not starts and not ends and not blank")
-    part = Window.partitionBy("doc_id", "tab").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    head = F.first(F.when(F.col("ruled") == 0, F.col("text")), ignorenulls=True).over(part)
-    lines = lines.withColumn("head", head).where("head is not null")
+    part = Window.partitionBy("doc_id", "tab").orderBy("line")
+    lines = lines.withColumn("is_head", F.row_number().over(part) == 1).withColumn("heads", F.max((F.col("ruled") == 0).cast("int")).over(Window.partitionBy("doc_id", "tab"))).where("heads = 1")
     first_title = Window.partitionBy("doc_id", "title").orderBy("tab")
     lines = lines.withColumn("nth", F.dense_rank().over(first_title))
     title = F.when(F.col("nth") > 1, F.concat(F.coalesce("title", F.lit("Block")), F.lit(" ("), F.col("nth").cast("string"), F.lit(")"))).otherwise(F.coalesce("title", F.lit("Block")))
-    return _out(lines.withColumn("cells", _sliced("text", "head")), F.col("tab"), title, "line", F.lit(True))
+    lines = settled(lines.select("doc_id", "tab", title.alias("title"), "line", "text", "is_head", word_starts("text").alias("words"), starts_of("text").alias("near")))
+    lines = lines.join(shared_columns(lines), ["doc_id", "tab"]).withColumn("placed", cut_at("text", "columns")).withColumn("gaps", F.split(trim_all(F.col("text")), r"\s{2,}"))
+    many, few = F.size("gaps") >= F.size("columns"), F.size("gaps") < F.size("columns")
+    moved = ~F.col("is_head") & many & (F.col("gaps") != F.col("placed"))
+    odd = ~F.col("is_head") & ((F.size("gaps") > F.size("columns")) | (few & ~F.forall("columns", lambda c: F.array_contains("words", c))))
+    notes = F.concat_ws(",", F.when(moved, "POSITION_MISMATCH"), F.when(odd, "ROW_WIDTH_MISMATCH"))
+    return _out(lines.withColumn("cells", F.when(moved, F.col("gaps")).otherwise(F.col("placed"))), F.col("tab"), F.col("title"), "line", F.lit(True), F.nullif(notes, F.lit("")))
 
 
 def aligned_table(docs: DataFrame) -> DataFrame:

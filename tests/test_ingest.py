@@ -30,3 +30,11 @@ def test_broken_sections(spark):
     got = import_text(spark, text, "cli-multi-block")
     assert [t.name for t in got.tables] == ["One", "Five"] and got.tables[1].headers == ("Column1", "B")
     assert [d[0] for d in got.diagnostics] == ["MISSING_SEPARATOR", "MISSING_HEADER", "EMPTY_TABLE_BLOCK", "MISSING_FIRST_HEADER"]
+
+
+def test_sections_by_places_and_gaps(spark):
+    text = "\n".join(["Wide", "=" * 20, "A     B     C", "-" * 20, "1     wide value     2     overflow", "", "Short", "=" * 20, "Id Key  Name", "-" * 20, "1  ab   x", "2  cd   y z", "   9", "表 ef   w"])
+    got = import_text(spark, text, "cli-multi-block")
+    rows = [[tuple(r) for r in t.ordered().select(*t.cells).collect()] for t in got.tables]
+    assert rows == [[("1", "wide value", "2", "overflow")], [("1", "ab", "x"), ("2", "cd", "y z"), ("", "9", ""), ("表", "ef", "w")]]
+    assert sorted(d[0] for d in got.diagnostics) == ["POSITION_MISMATCH", "ROW_WIDTH_MISMATCH", "ROW_WIDTH_MISMATCH"]
