@@ -87,20 +87,23 @@ def _spherical_kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarr
     return c
 
 
-def fit_language_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, total: int = 80_000, centroids: int = 4, rounds: int = 10, seed: int = 7) -> LanguageModel:
+def fit_language_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, total: int = 20_000, centroids: int = 4, rounds: int = 10, seed: int = 7) -> LanguageModel:
     """Learns from a bounded sample: about per_lang different texts, chosen by hash, of each language.
 
-    With so many languages that this would pass `total` texts, each gives fewer; none is left out. Rows without
-    text, letters or language are left out. If nothing is left, the model knows no language.
+    Copies of a text count once, however many there are. With so many languages that this would pass `total` texts, each
+    gives fewer; none is left out. The driver holds the sample's trigram counts sparsely and one language's at a time in
+    full. Rows without text, letters or language are left out. If nothing is left, the model knows no language.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     bounded_batches(rows.sparkSession)
-    sizes = rows.groupBy("lang").count().collect()
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    sizes = rows.select("lang", "h").distinct().groupBy("lang").count().collect()
+    none = LanguageModel([], np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(32, np.float32))
     if not sizes:
-        return LanguageModel([], np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(32, np.float32))
+        return none
     grain, wanted = 1 << 20, min(per_lang, max(1, total // len(sizes)))
     rate = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(math.ceil(grain * min(1.0, wanted / r["count"]))))])
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(grain)) < F.coalesce(rate[F.col("lang")], F.lit(0))).dropDuplicates(["lang", "text"])
+    sample = rows.where(F.pmod("h", F.lit(grain)) < F.coalesce(rate[F.col("lang")], F.lit(0))).dropDuplicates(["lang", "text"])
 
     def sparse(batches):
         for batch in batches:
@@ -109,24 +112,33 @@ def fit_language_model(labelled: DataFrame, text_col: str = "text", lang_col: st
                 counts = trigram_counts(texts[at : at + ROWS])
                 nz = [np.flatnonzero(r) for r in counts]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("lang").slice(at, len(nz)), pa.array([i.astype(np.int32) for i in nz], pa.list_(pa.int32())), pa.array([counts[j][i] for j, i in enumerate(nz)], pa.list_(pa.float32()))],
-                    names=["lang", "ids", "counts"],
+                    [batch.column("lang").slice(at, len(nz)), batch.column("h").slice(at, len(nz)), pa.array([i.astype(np.int32) for i in nz], pa.list_(pa.int32())), pa.array([counts[j][i] for j, i in enumerate(nz)], pa.list_(pa.float32()))],
+                    names=["lang", "h", "ids", "counts"],
                 )
 
-    got = [r for r in sample.mapInArrow(sparse, "lang string, ids array<int>, counts array<float>").collect() if r["ids"]]
-    if not got:
-        return LanguageModel([], np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(32, np.float32))
-    got.sort(key=lambda r: (r["lang"], len(r["ids"]), r["ids"], r["counts"]))
-    counts = np.zeros((len(got), DIMS), dtype=np.float32)
-    for i, r in enumerate(got):
-        counts[i, r["ids"]] = r["counts"]
-    idf = (np.log((1 + len(got)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    model = LanguageModel([], np.zeros((0, DIMS), np.float32), idf, np.zeros(32, np.float32))
-    x, y = model.vectors(counts), np.array([r["lang"] for r in got])
-    parts = [(lang, _spherical_kmeans(x[y == lang], centroids, rounds, seed)) for lang in sorted(set(y))]
+    got = sample.mapInArrow(sparse, "lang string, h bigint, ids array<int>, counts array<float>").where(F.size("ids") > 0).toArrow().combine_chunks()
+    if not got.num_rows:
+        return none
+    got = got.sort_by([("lang", "ascending"), ("h", "ascending")]).combine_chunks()
+    lists = got.column("ids").combine_chunks()
+    ends, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
+    values = got.column("counts").combine_chunks().values.to_numpy()
+    row = np.repeat(np.arange(got.num_rows), np.diff(ends))
+
+    def dense(first: int, last: int) -> np.ndarray:
+        out, of = np.zeros((last - first, DIMS), np.float32), slice(ends[first], ends[last])
+        out[row[of] - first, ids[of]] = values[of]
+        return out
+
+    idf = (np.log((1 + got.num_rows) / (1 + np.bincount(ids, minlength=DIMS))) + 1).astype(np.float32)
+    model = LanguageModel([], none.centroids, idf, none.floors)
+    y = np.array(got.column("lang").to_pylist(), dtype=object)
+    edges = [0, *(np.flatnonzero(y[1:] != y[:-1]) + 1).tolist(), len(y)]
+    parts = [(y[i], _spherical_kmeans(model.vectors(dense(i, j)), centroids, rounds, seed)) for i, j in zip(edges, edges[1:])]
     model.langs = [lang for lang, c in parts for _ in c]
     model.centroids = np.concatenate([c for _, c in parts]).astype(np.float32)
-    best, size = (x @ model.centroids.T).max(axis=1), _size_class(counts)
+    found = [(model.vectors(d) @ model.centroids.T, _size_class(d)) for d in (dense(i, min(i + 512, len(y))) for i in range(0, len(y), 512))]
+    best, size = np.concatenate([c.max(axis=1) for c, _ in found]), np.concatenate([n for _, n in found])
     # A fifth of what nearly all labelled texts of this length or a longer one reach.
     low, floor = np.ones(32, np.float32), 1.0
     for s in range(31, -1, -1):

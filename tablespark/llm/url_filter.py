@@ -38,6 +38,26 @@ def normal_form(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host_of(url), path, F.lit("?"), F.regexp_replace(query, r"^&", "")))
 
 
+#: Character references with names that links hold.
+NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0"}
+
+
+def decoded(link: Column) -> Column:
+    """The link as its markup means it: named and numeric character references resolved, once; unknown ones stay."""
+
+    def piece(x: Column, i: Column) -> Column:
+        digits, hexed = F.regexp_extract(x, r"^#0*([0-9]{1,5});", 1), F.regexp_extract(x, r"(?i)^#x0*([0-9a-f]{1,4});", 1)
+        code = F.when(digits != "", digits.cast("int")).when(hexed != "", F.conv(hexed, 16, 10).cast("int"))
+        fits = (code > 0) & (code < 65536) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 4, "0")), "UTF-16BE")
+        out = F.when(F.coalesce(fits, F.lit(False)), F.concat(char, F.regexp_replace(x, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&"), x))
+        for name, raw in NAMED.items():
+            out = F.when(x.startswith(f"{name};"), F.concat(F.lit(raw), F.substr(x, F.lit(len(name) + 2)))).otherwise(out)
+        return F.when(i == 0, x).otherwise(out)
+
+    return F.when(link.contains("&"), F.array_join(F.transform(F.split(link, "&", -1), piece), "")).otherwise(link)
+
+
 def _without_dots(path: Column) -> Column:
     """A path that begins with /, its . and .. segments worked off."""
     parts = F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/")))
@@ -79,7 +99,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
 
     rules: (allow or block, host, path prefix), a short list held by the driver. A page without a fitting rule
     is allowed if its class holds an explicit allow, else blocked if its class holds a block, else allowed.
-    Links count relative to the page's url. Null urls and urls without :// have no class and are allowed; null html has no links; repeated rows are judged alike; empty
+    Links count relative to the page's url, with their character references resolved. Null urls and urls without :// have no class and are allowed; null html has no links; repeated rows are judged alike; empty
     tables give no rows; further columns, whatever their names, are left out.
     """
     url, html = F.col("url"), F.coalesce(F.col("html"), F.lit(""))
@@ -89,7 +109,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
         F.transform(F.regexp_extract_all(html, F.lit(REFRESH), 0), lambda t: F.regexp_extract(t, REFRESH_URL, 1)),
     )
     links = F.when(F.lower(html).contains("canonical") | F.lower(html).contains("refresh"), links).otherwise(F.array().cast("array<string>"))
-    absolute = F.filter(F.transform(links, lambda t: resolved(url, t)), lambda t: t.isNotNull())
+    absolute = F.filter(F.transform(links, lambda t: resolved(url, decoded(t))), lambda t: t.isNotNull())
     p = p.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), absolute.alias("links"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     p = p.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("own"), F.md5(normal_form(url).cast("binary")).alias("node"), "links")

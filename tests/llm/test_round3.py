@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from conftest import SF
-from tablespark.llm import best_fit, queries, resampling, whitening
+from tablespark.llm import best_fit, language_id, queries, resampling, url_filter, whitening
 
 AWKWARD = [
     (1, ""), (2, None), (3, "   \n\n  "), (4, "Ünïcödé ﬁ ½ — “quotes” 表格 🙂🙂 don't we'll I'M"), (5, "a" * 5000), (6, "word " * 9000), (7, "tab\t\tnew\r\nline  two   three\n\n\n"),
@@ -232,3 +232,25 @@ def test_resampling_of_little(spark, awkward):
     assert resampling.resample(awkward.where("false"), none).collect() == []
     twice = spark.createDataFrame([(1, "a b c " * 8)] * 40, "doc_id long, text string")
     assert sorted(r["rank"] for r in resampling.resample(twice, none).collect() if r["rank"]) == [1, 2, 3, 4]
+
+
+# Earlier operators, mended.
+def test_copies_leave_languages_their_centroids(spark):
+    words = {"de": "der die und nicht schön über Haus Straße mit auf", "en": "the and with house street over not nice upon from"}
+    rows = [(f"{w} {i} " + " ".join(x.split()[i % 7 :]), lang) for lang, x in words.items() for i, w in enumerate(x.split() * 30)]
+    copies = spark.range(100_000).select(F.lit("immer der gleiche Text und nichts sonst").alias("text"), F.lit("de").alias("lang"))
+    model = language_id.fit_language_model(spark.createDataFrame(rows, "text string, lang string").unionByName(copies))
+    assert model.langs == ["de"] * 4 + ["en"] * 4
+    many = spark.createDataFrame([(f"{'abcdefghij'[i % 10] * 3} {t} {i}", f"l{i:03}") for i in range(50) for t in ("ab", "cd", "ef", None)], "text string, lang string")
+    few = language_id.fit_language_model(many, total=60)
+    assert 30 <= len(set(few.langs)) <= 50 and len(few.langs) <= 150
+
+
+def test_character_references_in_links(spark):
+    cases = {"?a=1&amp;b=2": "?a=1&b=2", "&#x61;&#98;&#0038;": "ab&", "&amp;lt;": "&lt;", "a&b&bogus;&": "a&b&bogus;&", "&#xD800;&#99999;&#x1F600;": "&#xD800;&#99999;&#x1F600;", "": "", "&quot;&apos;&#233;": "\"'é"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r["t"]: r["d"] for r in df.select("t", url_filter.decoded(F.col("t")).alias("d")).collect()} == cases
+    link = '<link rel="canonical" href="{}">'
+    rows = [(1, "http://x.test/q", link.format("http://mid.test/z?a=1&amp;b=2")), (2, "http://mid.test/z?a=1&b=2", link.format("http://bad.test/")), (3, "http://x.test/r", link.format("http://mid.test/z?a=1&b=3"))]
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id int, url string, html string"), [("block", "bad.test", "/")]).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == {1: "block", 2: "block", 3: "allow"}
