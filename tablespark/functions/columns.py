@@ -123,3 +123,14 @@ def number_safe(c: Column) -> Column:
 def display_width(c: Column) -> Column:
     """Columns that a text takes on a terminal."""
     return F.length(c) + F.regexp_count(c, F.lit(WIDE)) - F.regexp_count(c, F.lit(ZERO_WIDTH))
+
+
+def utf16_length(c: Column) -> Column:
+    """Length in UTF-16 units, as browsers count."""
+    return (F.length(F.encode(c, "UTF-16BE")) / 2).cast("long")
+
+
+def bytes_label(n: Column) -> Column:
+    """Bytes as people read them: B, KB or MB, the latter with one decimal."""
+    tenths = lambda unit: F.format_string("%.1f", F.floor(n / float(unit) * 10 + 0.5) / 10)
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(tenths(1 << 10), F.lit(" KB"))).otherwise(F.concat(tenths(1 << 20), F.lit(" MB")))

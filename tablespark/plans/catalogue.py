@@ -23,7 +23,7 @@ from ..sources.text import shared_folder
 from ..streaming.rules import filtered_stream, run_available, stream_table
 from ..streaming.views import stream_view
 from . import hard_texts, read_back
-from .texts import FIELDS, LAYOUTS, SOURCE, all_formats, customers_as, shifted_customers
+from .texts import BLOCK, FIELDS, LAYOUTS, SOURCE, all_formats, customers_as, shifted_customers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -357,7 +357,8 @@ def round_trip(fmt: str, detect: bool) -> Query:
     return query
 
 
-_PARSED = "SELECT c_nationkey AS doc, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INTEGER) AS row, " + ", ".join(f"{text(c)} AS {f}" for c, f in zip(SOURCE, FIELDS)) + " FROM customer"
+_DOC = f"CAST(c_custkey // {BLOCK} AS INTEGER)"
+_PARSED = f"SELECT {_DOC} AS doc, CAST(row_number() OVER (PARTITION BY {_DOC} ORDER BY c_custkey) - 1 AS INTEGER) AS row, " + ", ".join(f"{text(c)} AS {f}" for c, f in zip(SOURCE, FIELDS)) + " FROM customer"
 for _fmt in LAYOUTS:
     add(f"{_fmt.replace('-', '_')}_roundtrip", round_trip(_fmt, False), _PARSED)
 for _fmt in ("csv", "pipe-table", "data-block", "html-table", "cli-multi-block"):
@@ -366,17 +367,17 @@ _FORMATS = " UNION ALL ".join(f"SELECT '{f}' AS format" for f in LAYOUTS)
 add(
     "sniff_format",
     lambda s, d: sniff(all_formats(s, d)).select("doc_id", "format"),
-    f"SELECT DISTINCT format || '/' || CAST(c_nationkey AS VARCHAR) AS doc_id, format FROM customer, ({_FORMATS})",
+    f"SELECT DISTINCT format || '/' || CAST({_DOC} AS VARCHAR) AS doc_id, format FROM customer, ({_FORMATS})",
 )
 add(
     "header_inference",
     lambda s, d: parse_texts(customers_as(s, d, "csv"), "csv")[0].where("is_header").select(F.col("doc_id").alias("doc"), F.array_join("cells", ",").alias("header")),
-    f"SELECT DISTINCT c_nationkey AS doc, '{','.join(FIELDS)}' AS header FROM customer",
+    f"SELECT DISTINCT {_DOC} AS doc, '{','.join(FIELDS)}' AS header FROM customer",
 )
 add(
     "header_mode_none",
     lambda s, d: parse_texts(customers_as(s, d, "csv"), "csv", "none")[0].groupBy("is_header").agg(F.count("*").alias("n")),
-    "SELECT false AS is_header, count(*) + count(DISTINCT c_nationkey) AS n FROM customer",
+    f"SELECT false AS is_header, count(*) + count(DISTINCT {_DOC}) AS n FROM customer",
 )
 
 
@@ -388,13 +389,13 @@ def ragged(s: SparkSession, d: str) -> DataFrame:
 add(
     "parse_diagnostics",
     lambda s, d: parse_texts(ragged(s, d), "csv")[1].groupBy("code").agg(F.count("*").alias("n")),
-    """WITH n AS (SELECT count(DISTINCT c_nationkey) AS t, count(*) AS r FROM customer)
+    f"""WITH n AS (SELECT count(DISTINCT {_DOC}) AS t, count(*) AS r FROM customer)
     SELECT 'ROW_WIDTH_MISMATCH' AS code, r + t AS n FROM n UNION ALL SELECT 'UNCLOSED_QUOTE', t FROM n""",
 )
 add(
     "parse_quality",
     lambda s, d: (lambda p: parse_quality(*p).select(F.col("doc_id").cast("int").alias("doc"), F.round("quality", 4).alias("quality")))(parse_texts(customers_as(s, d, "csv").withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit('\n6,"7,8,9'))).otherwise(F.col("text"))), "csv")),
-    "SELECT DISTINCT c_nationkey AS doc, CAST(CASE WHEN c_nationkey % 2 = 0 THEN 0.66 ELSE 1 END AS DOUBLE) AS quality FROM customer",
+    f"SELECT DISTINCT {_DOC} AS doc, CAST(CASE WHEN {_DOC} % 2 = 0 THEN 0.66 ELSE 1 END AS DOUBLE) AS quality FROM customer",
 )
 
 

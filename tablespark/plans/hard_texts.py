@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.markup import BLOCKS, SKIPPED, html_text
+from ..sources.clipboard import parse_pasted
 from ..sources.ingest import parse_texts
+from ..sources.text import text_stats
 
 
 def _paged(spark: SparkSession, sf_dir: str, line: Column, size: int = 40) -> DataFrame:
@@ -132,7 +134,39 @@ MOVED_CODES = """WITH c AS (SELECT CAST(c_custkey // 40 AS VARCHAR) AS doc_id, C
     SELECT doc_id, tab, 'POSITION_MISMATCH' AS code, count(*) AS n FROM c WHERE k % 10 = 1 OR k % 9 = 0 GROUP BY 1, 2 UNION ALL SELECT doc_id, tab, 'ROW_WIDTH_MISMATCH', count(*) FROM c GROUP BY 1, 2
     UNION ALL SELECT doc_id, 1, 'EMPTY_TABLE_BLOCK', 1 FROM c GROUP BY doc_id HAVING max(tab) = 0"""
 
+def clipboard_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Texts that were pasted twice. Of every third the last paste's markup still holds; of the next the text was edited
+    since; the markup of the third is no table."""
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(","), F.col("c_name"))
+    row = F.concat(F.lit("<tr>"), cell(F.col("c_custkey").cast("string")), cell(F.concat(F.lit("<b>"), "c_name", F.lit("</b> html"))), F.lit("</tr>"))
+    text = _paged(s, d, line).select("doc_id", F.concat(F.lit("id,name\n"), F.array_join("lines", "\n")).alias("text"))
+    html = _paged(s, d, row).select("doc_id", F.array_join("lines", "").alias("rows"))
+    both = text.join(html, "doc_id")
+    table = F.concat(F.lit("<table><tr><th>id</th><th>name</th></tr>"), "rows", F.lit("</table>"))
+    kind = F.col("doc_id") % 3
+    now = F.when(kind == 1, F.concat("text", F.lit("\n-1,edited"))).otherwise(F.concat("text", F.lit(" \n")))
+    pastes = both.select("doc_id", F.lit(1).alias("at"), F.lit("older").alias("plain"), F.lit("<table><tr><td>older").alias("html"))
+    pastes = pastes.unionByName(both.select("doc_id", F.lit(2).alias("at"), F.col("text").alias("plain"), F.when(kind == 2, F.lit("<p>no table</p>")).otherwise(table).alias("html")))
+    rows = parse_pasted(both.select("doc_id", now.alias("text")), pastes)[0].where("not is_header")
+    return rows.select("format", F.get("cells", F.lit(0)).alias("id"), F.get("cells", F.lit(1)).alias("name"))
+
+
+PAIRS = """WITH c AS (SELECT *, c_custkey // 40 % 3 AS kind FROM customer)
+    SELECT CASE WHEN kind = 0 THEN 'html-table' ELSE 'csv' END AS format, CAST(c_custkey AS VARCHAR) AS id, CASE WHEN kind = 0 THEN c_name || ' html' ELSE c_name END AS name FROM c
+    UNION ALL SELECT 'csv', '-1', 'edited' FROM (SELECT DISTINCT c_custkey // 40 FROM c WHERE kind = 1)"""
+
+
+def source_stats(s: SparkSession, d: str) -> DataFrame:
+    return text_stats(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
+
+
+STATS = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), c AS (SELECT *, CAST(length(text) + len(regexp_extract_all(text, '[\x{10000}-\x{10FFFF}]')) AS BIGINT) AS chars FROM t)
+    SELECT doc_id, chars, CAST(CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) END AS INTEGER) AS lines,
+    CASE WHEN chars * 2 < 1024 THEN CAST(chars * 2 AS VARCHAR) || ' B' WHEN chars * 2 < 1048576 THEN printf('%.1f KB', floor(chars * 2 / 1024 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(chars * 2 / 1048576 * 10 + 0.5) / 10) END AS label FROM c"""
+
 QUERIES = {
+    "clipboard_pairs": (clipboard_pairs, PAIRS), "source_stats": (source_stats, STATS),
     "cli_moved_rows": (cli_moved_rows, MOVED), "cli_moved_codes": (cli_moved_codes, MOVED_CODES),
     "html_cell_text": (html_cell_text, READABLE), "html_spans": (html_spans, SPANS), "data_block_faults": (data_block_faults, FAULTS), "data_block_recovered": (data_block_recovered, RECOVERED),
 }

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import bytes_label, utf16_length
+
 LARGEST = 25 << 20
 
 
@@ -35,6 +37,13 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(normal_text(F.col("text")), "\n", -1)).alias("line", "text"))
 
 
+def text_stats(docs: DataFrame) -> DataFrame:
+    """doc_id, chars (UTF-16 units), lines (0 of an empty text) and label (the size in memory, as people read it)."""
+    text = F.coalesce("text", F.lit(""))
+    lines = F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, "\n", -1)))
+    return docs.select("doc_id", utf16_length(text).alias("chars"), lines.alias("lines"), bytes_label(utf16_length(text) * 2).alias("label"))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the one that the session names, else one in the warehouse."""
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"

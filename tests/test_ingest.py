@@ -1,7 +1,9 @@
 """Detection by trying, and single texts taken in."""
 
+from tablespark.sources.clipboard import parse_pasted, with_markup
 from tablespark.sources.ingest import import_text, probed
 from tablespark.sources.sniff import sniff
+from tablespark.sources.text import text_stats
 
 
 def test_the_better_parse_wins(spark):
@@ -38,3 +40,18 @@ def test_sections_by_places_and_gaps(spark):
     rows = [[tuple(r) for r in t.ordered().select(*t.cells).collect()] for t in got.tables]
     assert rows == [[("1", "wide value", "2", "overflow")], [("1", "ab", "x"), ("2", "cd", "y z"), ("", "9", ""), ("表", "ef", "w")]]
     assert sorted(d[0] for d in got.diagnostics) == ["POSITION_MISMATCH", "ROW_WIDTH_MISMATCH", "ROW_WIDTH_MISMATCH"]
+
+
+def test_pasted_markup(spark):
+    table = "<table><tr><td>1</td></tr></table>"
+    docs = spark.createDataFrame([(1, "a \n"), (2, "b"), (3, None), (4, "d"), (5, "e")], "doc_id int, text string")
+    pastes = spark.createDataFrame([(1, 1, "old", table), (1, 2, "a", table), (2, 1, "b", table), (2, 2, "c", table), (3, 1, None, table), (4, 1, "d", "<p>x"), (9, 1, "a", table), (5, 1, "e", None)], "doc_id int, at int, plain string, html string")
+    got = {r["doc_id"]: (r["text"], r["markup"]) for r in with_markup(docs, pastes).collect()}
+    assert got == {1: (table, True), 2: ("b", False), 3: (table, True), 4: ("d", False), 5: ("e", False)}
+    rows = [(r["doc_id"], r["format"], r["cells"]) for r in parse_pasted(docs, pastes)[0].orderBy("doc_id").collect()]
+    assert rows[0] == (1, "html-table", ["1"]) and [r[0] for r in rows] == [1, 2, 3, 4, 5] and parse_pasted(docs.limit(0), pastes)[0].count() == 0
+
+
+def test_sizes(spark):
+    docs = spark.createDataFrame([(1, None), (2, "a\nb"), (3, "🙂" * 128), (4, "x" * 3_000_000), (5, "x" * 563)], "doc_id int, text string")
+    assert [tuple(r)[1:] for r in text_stats(docs).orderBy("doc_id").collect()] == [(0, 0, "0 B"), (3, 2, "6 B"), (256, 1, "512 B"), (3_000_000, 1, "5.7 MB"), (563, 1, "1.1 KB")]
