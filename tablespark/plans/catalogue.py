@@ -15,7 +15,7 @@ from ..operators.joins import View, join_stats, resolve, run_view
 from ..operators.query import Rules, lua_selection, page, process, rectangle, transpose, turn_back, turned_cells, with_result_index
 from ..operators.table import Table
 from ..operators.workspace import Workspace
-from ..sinks.render import row_column, widths
+from ..sinks.render import row_column, widths, write_rendering
 from ..sinks.xlsx import sheet_chunks
 from ..sources.ingest import parse_quality, parse_texts
 from ..sources.sniff import sniff
@@ -322,6 +322,24 @@ add(
     lambda s, d: (lambda t: t.df.select(row_column(t, "lua", t.cells).alias("line")))(tab(s, d, "events")),
     "SELECT " + " || ', ' || ".join(f"'[\"{c}\"] = ' || {_LUA.format(text(c))}" for c in COLUMNS["events"]) + " AS line FROM events",
 )
+
+
+def lua_files(s: SparkSession, d: str) -> DataFrame:
+    """Customers written as a Lua table by the executors, read back line by line."""
+    path = f"{shared_folder(s)}/lua-{uuid.uuid4().hex}"
+    write_rendering(tab(s, d, "customer"), "lua", path)
+    return s.read.text(path).select(F.col("value").alias("line"))
+
+
+_FIELDS = ", ".join(f"'[\"{c}\"] = ' || {_LUA.format(text(c))} AS f{i}" for i, c in enumerate(COLUMNS["customer"]))
+_LAST = len(COLUMNS["customer"]) - 1
+add(
+    "lua_files",
+    lua_files,
+    f"""WITH f AS (SELECT row_number() OVER (ORDER BY c_custkey) AS n, {_FIELDS} FROM customer),
+    w AS (SELECT {", ".join(f"CAST(max(length(f{i})) + 2 AS INTEGER) AS w{i}" for i in range(_LAST))} FROM f)
+    SELECT '    [' || CAST(n AS VARCHAR) || '] = {{ ' || {" || ".join(f"rpad(f{i} || ',', w{i}, ' ')" for i in range(_LAST))} || f{_LAST} || ' }},' AS line FROM f, w UNION ALL SELECT '{{' UNION ALL SELECT '}}'""",
+)
 _LONG = "CASE WHEN o_orderkey % 3 = 0 THEN '0' || CAST(o_orderkey AS VARCHAR) WHEN o_orderkey % 3 = 1 THEN CAST(o_orderkey AS VARCHAR) || '12345678901234' ELSE CAST(o_totalprice AS VARCHAR) END"
 add(
     "xlsx_number_safe",

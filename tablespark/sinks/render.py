@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators.ordinals import numbered
 from ..operators.table import Table
 
 SEPARATORS = {"tsv": "\t", "csv": ","}
@@ -42,54 +43,87 @@ def rendered_rows(table: Table, kind: str, protect: bool = True, header: bool =
     return table.df.select(*table.order, row_column(table, kind, table.cells, protect, width).alias("line"))
 
 
+def _around(table: Table, kind: str, protect: bool, header: bool, width: list[int] | None) -> tuple[list[str], list[str]]:
+    """The lines above and below the rows."""
+    heads = table.df.sparkSession.range(1).select(row_column(table, kind, [F.lit(h) for h in table.headers], protect, width).alias("line")).first()["line"]
+    rule = "" if width is None else "+" + "+".join("-" * (w + 2) for w in width) + "+"
+    if kind == "html":
+        top = ["<thead>" + heads.replace("<td>", "<th>").replace("</td>", "</th>") + "</thead>"] if header else []
+        return ["<table>", *top, "<tbody>"], ["</tbody>", "</table>"]
+    if kind == "ascii":
+        return ([rule, heads, rule] if header else [rule]), [rule]
+    if kind == "markdown":
+        return ([heads, "| " + " | ".join("-" * w for w in width) + " |"] if header else []), []
+    return ([heads] if header else []), []
+
+
+def _lua_fields(table: Table) -> list[Column]:
+    return [F.concat(F.lit("["), C.lua_string(F.lit(h)), F.lit("] = "), C.lua_literal(c)) for h, c in zip(table.headers, table.cells)]
+
+
+def _lua_record(fields: list[Column], number: Column, layout: str, wide: list[int]) -> Column:
+    """The lines of one record. In the inline layout fields stand below one another, so they are padded."""
+    begin = F.concat(F.lit("    ["), number.cast("string"), F.lit("] = {"))
+    if layout == "expanded":
+        return F.concat_ws("\n", begin, *[F.concat(F.lit("        "), f, F.lit(",")) for f in fields], F.lit("    },"))
+    padded = [F.rpad(F.concat(f, F.lit(",")), w + 2, " ") for f, w in zip(fields[:-1], wide)]
+    return F.concat(begin, F.lit(" "), *padded, fields[-1], F.lit(" },"))
+
+
+def _lua_widths(table: Table) -> list[int] | None:
+    """The longest field of each column; None without rows or columns."""
+    fields = _lua_fields(table)
+    wide = table.df.agg(*[F.max(F.length(f)) for f in fields]).first() if fields else [None]
+    return None if wide[0] is None else list(wide)
+
+
 def lines(table: Table, kind: str, protect: bool = True, header: bool = True, layout: str = "inline") -> Iterator[str]:
-    """All lines of the rendering, fetched partition by partition, so the driver never holds the table."""
-    spark = table.df.sparkSession
-    width = [int(w) for w in widths(table, kind, protect, header).first()] if kind in ("markdown", "ascii") else None
-    heads = spark.range(1).select(row_column(table, kind, [F.lit(h) for h in table.headers], protect and kind != "lua", width).alias("line")).first()["line"] if kind != "lua" else ""
-    rows = table.df.select(*table.order, row_column(table, kind, table.cells, protect, width).alias("line")).orderBy(*table.order).select("line")
+    """All lines of the rendering, fetched partition by partition, for results that one reader takes in; tables of any size
+    are written by `write_rendering`."""
     if kind == "lua":
-        yield from _lua_lines(table, layout)
+        wide = _lua_widths(table)
+        if wide is None:
+            yield "{}"
+            return
+        yield "{"
+        fields = table.df.select(*table.order, F.array(*_lua_fields(table)).alias("f")).orderBy(*table.order).select("f")
+        for n, r in enumerate(fields.toLocalIterator(), 1):
+            if layout == "expanded":
+                yield f"    [{n}] = {{"
+                yield from (f"        {f}," for f in r["f"])
+                yield "    },"
+            else:
+                padded = [f"{f},".ljust(w + 2) for f, w in zip(r["f"][:-1], wide)]
+                yield f"    [{n}] = {{ {''.join([*padded, r['f'][-1]])} }},"
+        yield "}"
         return
-    rule = "" if width is None else "+" + "+".join("-" * (w + 2) for w in width) + "+"
-    if kind == "html":
-        yield "<table>"
-        if header:
-            yield "<thead>" + heads.replace("<td>", "<th>").replace("</td>", "</th>") + "</thead>"
-        yield "<tbody>"
-    elif kind == "ascii":
-        yield rule
-    if header and kind != "html":
-        yield heads
-        if kind == "markdown":
-            yield "| " + " | ".join("-" * w for w in width) + " |"
-        elif kind == "ascii":
-            yield rule
-    for r in rows.toLocalIterator():
+    width = [int(w) for w in widths(table, kind, protect, header).first()] if kind in ("markdown", "ascii") else None
+    above, below = _around(table, kind, protect, header, width)
+    yield from above
+    for r in table.df.select(*table.order, row_column(table, kind, table.cells, protect, width).alias("line")).orderBy(*table.order).select("line").toLocalIterator():
         yield r["line"]
-    if kind == "html":
-        yield from ("</tbody>", "</table>")
-    elif kind == "ascii":
-        yield rule
+    yield from below
 
 
-def _lua_lines(table: Table, layout: str) -> Iterator[str]:
-    fields = [F.concat(F.lit("["), C.lua_string(F.lit(h)), F.lit("] = "), C.lua_literal(c)).alias(f"f{i}") for i, (h, c) in enumerate(zip(table.headers, table.cells))]
-    df = table.df.select(*table.order, *fields)
-    wide = df.agg(*[F.max(F.length(f"f{i}")).alias(f"f{i}") for i in range(len(fields))]).first()
-    if wide[0] is None:
-        yield "{}"
-        return
-    yield "{"
-    for n, r in enumerate(df.orderBy(*table.order).select(*[f"f{i}" for i in range(len(fields))]).toLocalIterator(), 1):
-        if layout == "expanded":
-            yield f"    [{n}] = {{"
-            yield from (f"        {f}," for f in r)
-            yield "    },"
-        else:
-            padded = [f"{f},".ljust(w + 2) for f, w in zip(r[:-1], wide)]
-            yield f"    [{n}] = {{ {''.join([*padded, r[-1]])} }},"
-    yield "}"
+def write_rendering(table: Table, kind: str, path: str, protect: bool = True, header: bool = True, layout: str = "inline") -> None:
+    """Writes the rendering as text files whose names, in order, give its lines. Spark's commit makes them appear together.
+
+    Rows are numbered, rendered and written by the executors; the driver makes the few lines around them.
+    """
+    spark, parts = table.df.sparkSession, int(table.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = numbered(table.df, list(table.order), "_n", parts)
+    if kind == "lua":
+        wide = _lua_widths(table)
+        above, below = (["{}"], []) if wide is None else (["{"], ["}"])
+        line = _lua_record(_lua_fields(table), F.col("_n") + 1, layout, wide) if wide else F.lit("")
+        rows = rows if wide else rows.where(F.lit(False))
+    else:
+        width = [int(w) for w in widths(table, kind, protect, header).first()] if kind in ("markdown", "ascii") else None
+        above, below = _around(table, kind, protect, header, width)
+        line = row_column(table, kind, table.cells, protect, width)
+    ends = [(i - len(above), t) for i, t in enumerate(above)] + [((1 << 62) + i, t) for i, t in enumerate(below)]
+    every = rows.select("_n", line.alias("line")).unionByName(spark.createDataFrame(ends, "_n long, line string"))
+    every.repartitionByRange(parts, "_n").sortWithinPartitions("_n").select("line").write.text(path)
 
 
 def render(table: Table, kind: str = "tsv", **options) -> str:

@@ -15,7 +15,7 @@ from tablespark.operators.edits import Overlay
 from tablespark.operators.joins import View, auto_match, dependencies, join_stats, resolve, ring, run_view, view_problems
 from tablespark.operators.query import Rules, focus_columns, lua_selection, page, process, transpose, turn_back, turned_cells
 from tablespark.operators.table import Table, unique_headers, unique_name
-from tablespark.sinks.render import render
+from tablespark.sinks.render import render, write_rendering
 from tablespark.sinks.xlsx import crc_of_both, file_prefix, sheet_name, write_xlsx
 
 
@@ -169,6 +169,14 @@ def test_renderings(spark):
     assert render(t.with_df(t.df.where("false")), "lua") == "{}"
 
 
+@pytest.mark.parametrize(("kind", "options"), [("csv", {}), ("markdown", {}), ("ascii", {"header": False}), ("html", {}), ("lua", {}), ("lua", {"layout": "expanded"})])
+def test_written_renderings(spark, tmp_path, kind, options):
+    t = table(spark, "t", ["id", "note"], [(i, "x" * (i % 7) + '"' * (i % 3)) for i in range(40)])
+    for name, part in (("rows", t.with_df(t.df.repartition(5))), ("none", t.with_df(t.df.where("false")))):
+        write_rendering(part, kind, str(tmp_path / name), **options)
+        assert "".join(f.read_text() for f in sorted((tmp_path / name).glob("part-*"))) == render(part, kind, **options) + "\n"
+
+
 def test_workbook(spark, tmp_path):
     t = table(spark, "a/b", ["n"], [("123456789012345",), ("1234567890123456",), ("007",), ("-0.5",), ("<&>",), ("12e3",)])
     assert write_xlsx([t, t], str(tmp_path / "w.xlsx")) == ["ab", "ab_2"]
