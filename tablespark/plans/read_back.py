@@ -12,7 +12,7 @@ from ..sources.tabular import register
 from ..sources.text import shared_folder, stored
 
 #: Bytes of a split in `delimited_splits`: small, so that texts of the test tables reach over many of them.
-SPLIT = 32 << 10
+SPLIT = 256 << 10
 
 
 def _written(lines: DataFrame, name: str) -> str:
