@@ -1,12 +1,15 @@
 """Language, BPE, packing, media, PII, toxicity: against the libraries, round trips, brute force, held-out labels."""
 
 import hashlib
+import re
 import zlib
 from collections import defaultdict
+from ipaddress import ip_address
 
 import numpy as np
 import pytest
 from public_tokenizers import path as tokenizer_file
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from conftest import SF
@@ -219,6 +222,47 @@ def test_pii_name_surrogates_never_run_out(spark, monkeypatch):
     assert len({g[1] for g in got}) == len({g[2] for g in got}) == len(names) and not {g[1] for g in got} & set(names)
 
 
+def test_pii_keeps_people_and_formats(spark):
+    texts = [
+        "Mr Kim Lee met Mrs Kim Lee; Dr Kim Lee left.", "Mr Jo Tan and Prof Jo Tan.", "Mr Kim Anders Lee-Berg came.", "call 030 1234567, +49 30 1234567 or +49 (0)30 1234567",
+        "from DE89 3704 0044 0532 0130 00 and DE89370400440532013000", "host 2001:db8::1, 2001:0DB8:0:0:0:0:0:1 and fe80::1ff:fe23:4567:890a; at 12:30:45 std::vector 00:1a:2b:3c:4d:5e",
+        "marks \ufdd0 Mr Jo Tan \ufdd1 stay", "also +1 (212) 555-0187 and (212) 555-0187",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = {r["doc_id"]: r["text"] for r in pii.replace_entities(df, "k").collect()}
+    people = re.findall(r"(?:Mr|Mrs|Dr|Prof) ([^;.]*?)(?= met|;| left| and|\.| came)", by[0])
+    assert len(set(people)) == 3, by[0]  # the corpus has a man and a woman of that name
+    man, prof = re.findall(r"(?:Mr|Prof) (\w+ \w+)", by[1])
+    assert man == prof != "Jo Tan" and man.split()[0] in pii.FIRST_NAMES["m", "latin"]
+    assert re.fullmatch(r"Mr [A-Z][a-z]+ [A-Z][a-z]+ [A-Z][a-z]+-[A-Z][a-z]+ came\.", by[2]) and not re.search("Kim|Anders|Lee|Berg", by[2])
+    phones = re.fullmatch(r"call 0(\d\d) (\d{7}), \+49 (\d\d) (\d{7}) or \+49 \(0\)(\d\d) (\d{7})", by[3]).groups()
+    assert phones[:2] == phones[2:4] == phones[4:] != ("30", "1234567")
+    spaced, plain = re.fullmatch(r"from (DE\d\d(?: \d{4}){4} \d\d) and (DE\d{20})", by[4]).groups()
+    assert spaced.replace(" ", "") == plain != "DE89370400440532013000"
+    hosts = re.fullmatch(r"host ([^,]+), (\S+) and (\S+); at 12:30:45 std::vector 00:1a:2b:3c:4d:5e", by[5]).groups()
+    assert ip_address(hosts[0]) == ip_address(hosts[1]) != ip_address("2001:db8::1") and hosts[1].isupper() and hosts[2].count(":") == 5
+    assert by[6] == f"marks \ufdd0 Mr {man} \ufdd1 stay"
+    abroad, home = re.fullmatch(r"also \+1 (\(\d{3}\) \d{3}-\d{4}) and (.*)", by[7]).groups()
+    assert abroad == home
+
+
+def test_pii_surrogates_have_one_canonical_form(spark):
+    """All spellings of an entity get surrogates of one canonical form at every attempt, so one spelling may stand for all."""
+    same = [
+        ("phone", "030 1234567", "+49 30 1234567"), ("ipv6", "2001:db8::1", "2001:0DB8:0:0:0:0:0:1"), ("ipv6", "1::2", "0001:0::0:2"), ("iban", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"),
+        ("name", "Mr Kim Lee", "Herr. Kim Lee"), ("email", "A.b@c.org", "a.B@C.org"), ("card", "4111 1111 1111 1111", "4111-1111-1111-1111"), ("key", "AB" * 16, "ab" * 16),
+    ]
+    rows = [(n, kind, v, a) for n, (kind, *vs) in enumerate(same) for v in vs for a in (0, 1, 3, 7)]
+    df = spark.createDataFrame(rows, "n int, kind string, value string, attempt int")
+    df = df.withColumn("canon", pii.canonical(F.col("kind"), F.col("value")))
+    df = df.withColumn("new", pii.surrogates(F.array(F.struct("value", "kind", "canon", "attempt")), "k")[0]).withColumn("sur", pii.canonical(F.col("kind"), F.col("new")))
+    got = df.withColumn("found", pii.kind_of(F.col("new"))).collect()
+    assert all(r["found"] == r["kind"] and r["new"] != r["value"] for r in got), got
+    for n, _ in enumerate(same):
+        mine = [r for r in got if r["n"] == n]
+        assert len({r["canon"] for r in mine}) == 1 and all(len({r["sur"] for r in mine if r["attempt"] == a}) == 1 for a in (0, 1, 3, 7)), mine
+
+
 def test_query_digests(spark):
     text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in queries.op5_media(spark, SF).collect():
