@@ -1,14 +1,16 @@
 """Neighbours, repeated passages, near copies, url classes and the pipeline, against brute force."""
 
+import unicodedata
 from collections import Counter, defaultdict
 from urllib.parse import urlsplit
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from conftest import SF
-from tablespark.llm import ann, near_dups, queries, suffix_dedup, url_filter
+from tablespark.llm import ann, near_dups, queries, suffix_dedup, url_filter, word_hash
 from tablespark.llm.components import connected_components
 
 
@@ -115,6 +117,48 @@ def test_banded_distance():
         assert near_dups.banded_distance(a, b, band) == min(distance(a, b), band + 1)
 
 
+WORD_TEXTS = ["", "plain Words 12", "“quoted”—dash…end don’t", "表格 数据abc中文", "กขค ไทย", "हिन्दी शब्द", "naïve café Ünï x²", "🙂🙂 a🙂b", "ひらカナ、漢字。", "Привет, мир!", "e\u0301cole", "a" * 300, "𠀀𠀁 x"]
+
+
+@pytest.mark.parametrize("cut", [1 << 19, 4])
+def test_words_of_all_scripts(monkeypatch, cut):
+    monkeypatch.setattr(word_hash, "SLICE", cut)
+
+    def words(text):
+        out, run = [], ""
+        for c in text + " ":
+            part, alone = unicodedata.category(c)[0] in "LNM", any(a <= ord(c) <= b for a, b in word_hash.UNSPACED)
+            if run and (alone or not part):
+                out, run = [*out, run], ""
+            if part and alone:
+                out.append(c)
+            elif part:
+                run += c
+        return out
+
+    hashes, ends = word_hash.word_hashes(*word_hash.column_bytes(pa.array(WORD_TEXTS)))
+    want = [words(t) for t in WORD_TEXTS]
+    assert np.diff(ends).tolist() == [len(w) for w in want]
+    of = {}
+    assert all(of.setdefault(w, h) == h for w, h in zip([w for ws in want for w in ws], hashes.tolist())) and len(set(of.values())) == len(of)
+
+
+def test_words_of_broken_bytes():
+    data = pa.array([b"ab\xffcd", b"\xe8\xa1", b"\xa8 x", b"\xc3"], pa.binary())
+    assert np.diff(word_hash.word_hashes(*word_hash.column_bytes(data))[1]).tolist() == [2, 0, 1, 0]
+
+
+def test_near_copies_without_spaces(spark):
+    rng = np.random.default_rng(3)
+    one = "".join(map(chr, rng.integers(0x4E00, 0x9F00, 138)))
+    two = one[:40] + "文" + one[41:90] + "字" + one[91:]
+    quoted = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa"], 60)) for _ in range(2)]
+    texts = [one, two, "".join(map(chr, rng.integers(0x4E00, 0x9F00, 138))), quoted[0], f"“{quoted[0]}”".replace(" alpha ", "—alpha—"), quoted[1]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cls = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(df).collect()}
+    assert cls[0] == cls[1] and cls[3] == cls[4] and len(set(cls.values())) == 4
+
+
 def test_near_copies(spark):
     rng = np.random.default_rng(7)
     word = lambda: "".join(rng.choice(list("abcdefgh"), size=6))
