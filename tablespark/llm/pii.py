@@ -64,6 +64,8 @@ SIGN = rf"[0-9@]|(?i:token|secret|passw|api[_\-]?key)|(?:{'|'.join(MALE + FEMALE
 _SECRET_HEAD = r"^(.*?[=:]\s{0,3}[\"']?)(.*)$"
 _TITLE = rf"^((?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? )(.*)$"
 _NATIONAL = r"^0*(\d{4,})$"
+#: Attempts after which a format counts as nearly used up by the corpus itself.
+WIDER = 16
 #: Noncharacters that stand around the entities of a text while it is cut up.
 OPEN, CLOSE = "\ufdd0", "\ufdd1"
 
@@ -177,9 +179,11 @@ def _regrouped(value: Column, compact: Column) -> Column:
 def _address(e: Column) -> Column:
     """Another IPv6 address, written like value: groups of zeros stay, others keep their number of digits.
 
-    Addresses are unique local ones at the first attempt; from the fourth on, all groups but zeros have four digits.
+    Addresses are unique local ones at the first attempt; from the fourth on, all groups but zeros have four digits;
+    from attempt WIDER on, all groups have.
     """
     value, s = e["value"], e["s"]
+    full = F.array_join(F.transform(F.split(e["canon"], ":"), lambda g, i: s.substr(i * 4 + 1, F.lit(4))), ":")
 
     def group(g: Column, i: Column) -> Column:
         n = F.length(F.regexp_replace(g, "^0+", ""))
@@ -195,7 +199,7 @@ def _address(e: Column) -> Column:
 
     before = F.array_join(F.transform(left, written_as), ":")
     behind = F.array_join(F.transform(right, lambda g, j: written_as(g, F.lit(8) - F.size(right) + j)), ":")
-    other = F.when(F.contains(value, F.lit("::")), F.concat(before, F.lit("::"), behind)).otherwise(before)
+    other = F.when(e["attempt"] >= WIDER, full).when(F.contains(value, F.lit("::")), F.concat(before, F.lit("::"), behind)).otherwise(before)
     return F.when(value.rlike("[A-F]"), F.upper(other)).otherwise(other)
 
 
@@ -252,7 +256,8 @@ def surrogates(found: Column, key: str) -> Column:
     """The replacements of an array<struct<value, kind, canon, attempt>>.
 
     Names grow by a syllable with every attempt, emails are longer from the third further one on; addresses leave
-    10/8 for 240/4, then for all of IPv4.
+    10/8 for 240/4, then for all of IPv4. From attempt WIDER on, when a format is nearly used up, it is left: numbers
+    and secrets grow by a character with every WIDER attempts, addresses become IPv6 ones with all groups in use.
     """
     bound = F.transform(found, lambda e: F.struct(
         *[e[c].alias(c) for c in ("value", "kind", "canon", "attempt")], _stream(key, e["kind"], e["canon"], e["attempt"], e["value"]).alias("s"),
@@ -269,12 +274,15 @@ def surrogates(found: Column, key: str) -> Column:
 def _replacement(e: Column) -> Column:
     kind, value, s, digits, old, attempt = (e[c] for c in ("kind", "value", "s", "digits", "old", "attempt"))
     more = F.when(attempt >= 3, e["latin"].substr(200, 8)).otherwise("")
+    wider = F.floor(attempt / WIDER).cast("int")
+    grown = lambda number: F.concat(number, digits.substr(F.lit(129), wider))
     domain = F.concat(F.translate(e["domain"], HEX, LETTERS["latin"]), F.lit(".example."), F.substring_index(value, ".", -1))
     email = F.concat(_shaped(F.substring_index(value, "@", 1), e), more, F.lit("@"), domain)
-    secret = F.concat(F.regexp_extract(value, _SECRET_HEAD, 1), _hidden(F.regexp_extract(value, _SECRET_HEAD, 2), e))
+    secret = F.concat(F.regexp_extract(value, _SECRET_HEAD, 1), _hidden(F.regexp_extract(value, _SECRET_HEAD, 2), e), e["latin"].substr(F.lit(129), wider))
     octet = lambda i: (F.conv(s.substr(i, 2), 16, 10).cast("int") % 254 + 1).cast("string")
     net = F.when(attempt == 0, F.lit("10")).when(attempt < 3, (F.lit(240) + octet(7).cast("int") % 15).cast("string")).otherwise(octet(7))
     ip = F.concat_ws(".", net, octet(1), octet(3), octet(5))
+    ip = F.when(attempt < WIDER, ip).otherwise(F.concat(F.lit("fd"), s.substr(129, 2), F.lit(":"), s.substr(131, 4), F.lit("::"), ip))
     body = F.concat(old.substr(1, 1), digits.substr(F.lit(2), F.length(old) - 2))
     valid = _check_digit(old.substr(F.lit(1), F.length(old) - 1)) == F.right(old, F.lit(1))
     card = _refilled(value, F.concat(body, F.when(valid, _check_digit(body)).otherwise(digits.substr(60, 1))))
@@ -283,28 +291,21 @@ def _replacement(e: Column) -> Column:
     iban = _regrouped(value, F.concat(e["canon"].substr(1, 2), _shaped(F.substr(e["canon"], F.lit(3)), e)))
     return (
         F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "iban", iban).when(kind == "ipv6", _address(e))
-        .when(kind == "ip", ip).when(kind == "ssn", _refilled(value, digits.substr(1, 9))).when(kind == "phone", phone).when(kind == "card", card).when(kind == "key", _hidden(value, e)).otherwise(_person(e))
+        .when(kind == "ip", ip).when(kind == "ssn", grown(_refilled(value, digits.substr(1, 9)))).when(kind == "phone", grown(phone)).when(kind == "card", card).when(kind == "key", _hidden(value, e)).otherwise(_person(e))
     )
 
 
-#: Further attempts before a kind's space counts as used up.
-ATTEMPTS = 64
-
-
 def further_attempts(found: DataFrame, key: str) -> DataFrame:
     """(kind, canon, attempt) of the entities whose first surrogates are taken.
 
     found holds kind, canon and one value of each distinct entity; names are compared without their titles' gender.
-    A surrogate is taken if it is another entity, or if an entity settled before, or a smaller one of the same attempt, has it. Names, emails and
-    secrets have room without end or nearly so; ssn, ip and phone numbers have as much as their digits allow, and a
-    corpus that holds most of them ends here with a RuntimeError that names the kind.
+    A surrogate is taken if it is another entity, or if an entity settled before, or a smaller one of the same attempt, has it. Every kind's
+    room grows with the attempts, so some attempt settles the last one.
     """
     real = found.select("kind", _ungendered(F.col("kind"), F.col("canon")).alias("sur")).distinct()
     open_, settled, attempt = found.withColumn("attempt", F.lit(0)), None, 0
     fixes = []
     while True:
-        if attempt > ATTEMPTS:
-            raise RuntimeError(f"no free surrogates are left for {sorted(r['kind'] for r in open_.select('kind').distinct().collect())}")
         new = surrogates(F.array(F.struct("value", "kind", "canon", "attempt")), key)
         tried = open_.withColumn("sur", F.transform(new, lambda v: _ungendered(F.col("kind"), canonical(F.col("kind"), v)))[0])
         least = tried.groupBy("kind", "sur").agg(F.min("canon").alias("least"))

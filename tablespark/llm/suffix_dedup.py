@@ -29,8 +29,8 @@ SLICE = 1 << 19
 TOGETHER = 300
 #: Bytes sorted together.
 ARRAY = 200_000
-#: Stretches of one seed for each part of it in a join, and the most parts.
-PART, PARTS = 1000, 64
+#: Stretches of one seed for each part of it in a join.
+PART = 1000
 _PLACE = np.uint64((1 << 22) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE = np.random.default_rng(4).integers(1, 1 << 63, size=256, dtype=np.uint64)
@@ -271,12 +271,16 @@ def repeat_spans(keyed: DataFrame, length: int = LENGTH, seed: int | None = None
     many = written(cut.join(seeds.select("seed", "n", (F.col("lo") == F.col("hi")).alias("same")), "seed"), "shared-seeds")
     spans = [many.where("same").select("kh", "kg", "first", "windows")]
     mixed_ = many.where("not same")
-    kinds = mixed_.groupBy(*_SAME).agg(F.count("*").alias("copies"), F.max("n").alias("n"), F.min(F.struct("kh", "kg", "first")).alias("rep"))
-    kinds = written(kinds, "stretch-kinds")
-    # A stretch that very many share would meet its kind in one task: seeds of many stretches are dealt out in parts.
-    parts = F.least(F.ceil(F.col("n") / PART), F.lit(PARTS)).cast("int")
-    shared = kinds.where("copies > 1").select(*_SAME, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    dealt = mixed_.withColumn("part", F.pmod(F.xxhash64("kh", "first"), parts).cast("int"))
+    # A stretch that very many share would meet its kind in one task: seeds of many stretches are dealt out in parts,
+    # and a kind goes to the parts that hold it, however many there are.
+    dealt = mixed_.withColumn("part", F.pmod(F.xxhash64("kh", "first"), F.ceil(F.col("n") / PART)))
+    in_parts = dealt.groupBy(*_SAME, "part").agg(F.count("*").alias("copies"), F.max("n").alias("n"), F.min(F.struct("kh", "kg", "first")).alias("rep"))
+    in_parts = written(in_parts, "stretch-parts")
+    whole, hot = in_parts.where(f"n <= {PART}"), in_parts.where(f"n > {PART}")
+    hot_kinds = written(hot.groupBy(*_SAME).agg(F.sum("copies").alias("copies"), F.min("rep").alias("rep")), "stretch-kinds")
+    kinds = whole.select(*_SAME, "copies", "rep").unionByName(hot_kinds)
+    shared = whole.where("copies > 1").select(*_SAME, "part")
+    shared = shared.unionByName(hot.join(hot_kinds.where("copies > 1"), _SAME, "left_semi").select(*_SAME, "part"))
     spans.append(dealt.join(shared, [*_SAME, "part"]).select("kh", "kg", "first", "windows"))
     wanted = kinds.select("rep.*", *_SAME, (F.col("copies") == 1).alias("alone"))
     held = written(_cut_out(keyed, wanted, length), "stretch-texts")

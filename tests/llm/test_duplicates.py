@@ -69,8 +69,9 @@ def test_repeats_agree_with_brute_force_on_the_table(spark):
         assert bytes(r["kept"]) == np.frombuffer(t, np.uint8)[~gone].tobytes() and r["n_removed"] == gone.sum()
 
 
-@pytest.mark.parametrize("together", [300, 2])
-def test_repeats_of_random_texts(spark, together):
+@pytest.mark.parametrize("together, part", [(300, 1000), (2, 1000), (300, 2)])
+def test_repeats_of_random_texts(spark, monkeypatch, together, part):
+    monkeypatch.setattr(suffix_dedup, "PART", part)
     rng = np.random.default_rng(together)
     phrases = ["".join(rng.choice(list("abc "), size=int(rng.integers(20, 90)))) for _ in range(8)]
     texts = ["".join(phrases[i] if rng.random() < 0.8 else "".join(rng.choice(list("abcdé "), size=30)) for i in rng.integers(0, 8, size=int(rng.integers(1, 12)))) for _ in range(60)]
