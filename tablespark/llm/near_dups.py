@@ -22,7 +22,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, slices, written
@@ -36,8 +36,10 @@ SIMILARITY = 0.8
 SKETCHES = 72
 #: Buckets of at most so many texts are paired off.
 SMALL = 12
-#: Large buckets are cut by length, then into blocks of about so many texts.
-BLOCK = 512
+#: Large buckets are cut by length, then into parts of about so many texts and words. Up to so many texts of a class of
+#: lengths and the next are sent to two blocks each at most, however many of them are minor.
+BLOCK = 2048
+WORDS = 512 << 10
 #: 64-bit words of a signature: one bit for each class of words that a text holds.
 SIGNATURE = 16
 _SEEDS = np.random.default_rng(99).integers(1, 1 << 63, size=256, dtype=np.uint64)
@@ -315,30 +317,40 @@ def _split_buckets(large: DataFrame, pieces: DataFrame) -> DataFrame:
 
 
 def _blocks(split: DataFrame, words: DataFrame) -> DataFrame:
-    """(members): a cut of one bucket (first) with a cut of its minor members (not first), to be compared.
+    """(members): a part of one window's texts (left) with a part of its minor ones (right), to be compared.
 
-    Members of the largest piece need no comparison with one another. Texts of a needed similarity are in the
-    same class of lengths or in adjoining ones. A cut has about BLOCK texts at most, and BLOCK * 1024 words.
+    Members of the largest piece need no comparison with one another. A window of a bucket holds a class of lengths (low)
+    and the next: texts of a needed similarity are in the same class or in adjoining ones. A text goes to its own window
+    and to that of the class below, if there is something to compare it with; parts have about BLOCK texts and WORDS
+    words at most, so only windows beyond that size send a text to several blocks of one window.
     """
     rows = split.join(words.select("node", "words", F.size("words").alias("n")), "node")
     rows = rows.withColumn("c", F.floor(F.log(F.col("n")) / F.log(F.lit(1.26))).cast("int"))
-    parts = lambda which: F.ceil(F.greatest(F.count_if(which) / BLOCK, F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)) / (BLOCK * 1024))).cast("int")
-    cuts = rows.groupBy("main", "c").agg(parts(F.lit(True)).alias("all"), parts(F.col("minor")).alias("few"))
-    cuts = cuts.groupBy("main").agg(F.map_from_entries(F.collect_list(F.struct("c", F.struct("all", "few")))).alias("cuts"))
-    rows = rows.join(cuts, "main")
-    of = lambda c, kind: F.coalesce(F.try_element_at("cuts", c)[kind], F.lit(0))
-    dealt = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
-    c = F.col("c")
-    among = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    block = lambda first, k, i, l, j: F.struct(F.lit(first).alias("first"), k.alias("k"), i.alias("i"), l.alias("l"), j.alias("j"))
-    own = [F.transform(among(of(c + d, "few")), lambda j: block(True, c, dealt(of(c, "all")), c + d, j)) for d in (-1, 0, 1)]  # noqa: B023
-    others = [F.transform(among(of(c + d, "all")), lambda i: block(False, c + d, i, c, dealt(of(c, "few")))) for d in (-1, 0, 1)]  # noqa: B023
-    found = F.when(F.col("minor"), F.concat(*own, *others)).otherwise(F.concat(*own))
-    rows = rows.select("main", "node", "words", "piece", F.explode(found).alias("block")).select("main", "node", "words", "piece", "block.*")
-    members = F.struct("node", "words", "piece", "first")
+    some = lambda x: F.coalesce(F.sum(F.when(F.col("minor"), x)), F.lit(0))
+    sizes = rows.groupBy("main", "c").agg(F.count("*").alias("all"), F.sum("n").alias("all_n"), some(F.lit(1)).alias("few"), some(F.col("n")).alias("few_n"))
+    near = lambda x, first, last: F.coalesce(F.sum(x).over(Window.partitionBy("main").orderBy("c").rangeBetween(first, last)), F.lit(0))
+    parts = lambda x, first: F.ceil(F.greatest(near(x, first, first + 1) / BLOCK, near(f"{x}_n", first, first + 1) / WORDS)).cast("int")
+    window = lambda first: F.struct(parts("all", first).alias("all"), parts("few", first).alias("few"))
+    sizes = sizes.select("main", "c", window(0).alias("own"), window(-1).alias("below"), near("all", -1, -1).alias("all_below"), near("few", -1, -1).alias("few_below"))
+    rows = rows.join(sizes, ["main", "c"])
+    block = lambda w, i, j, left, right: F.struct(w.alias("w"), i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+
+    def dealt(w, size):
+        i, j = F.pmod(F.xxhash64("node"), size["all"]).cast("int"), F.pmod(F.xxhash64("node"), size["few"]).cast("int")
+        left = F.transform(upto(size["few"]), lambda x: block(w, i, x, F.lit(True), F.col("minor") & (x == j)))
+        right = F.transform(F.filter(upto(size["all"]), lambda x: F.col("minor") & (x != i)), lambda x: block(w, x, j, F.lit(False), F.lit(True)))
+        return F.concat(left, right)
+
+    none = F.slice(dealt(F.col("c"), F.col("own")), 1, 0)
+    own = F.when(F.col("own.few") > 0, dealt(F.col("c"), F.col("own"))).otherwise(none)
+    met = F.when(F.col("minor"), F.col("all_below")).otherwise(F.col("few_below")) > 0
+    below = F.when(met, dealt(F.col("c") - 1, F.col("below"))).otherwise(none)
+    rows = rows.select("main", "node", "words", "piece", "minor", "c", F.explode(F.concat(own, below)).alias("block")).select("main", "node", "words", "piece", "minor", (F.col("c") == F.col("block.w")).alias("low"), "block.*")
+    members = F.struct("node", "words", "piece", "minor", "low", "left", "right")
     # Dealt out anew, else all blocks of a bucket would stay in the task of its key.
-    block = ["main", "k", "i", "l", "j"]
-    return rows.repartition(*block).groupBy(*block).agg(F.collect_list(members).alias("members")).select("members")
+    key = ["main", "w", "i", "j"]
+    return rows.repartition(*key).groupBy(*key).agg(F.collect_list(members).alias("members")).select("members")
 
 
 #: Classes of words that are counted to bound the edit distance of two texts of a block.
@@ -348,7 +360,9 @@ COUNTED = 2048
 def _links_in(members: pa.StructArray, least: float) -> list[tuple[int, int]]:
     """Pairs of members of different pieces that are similar; no more once two pieces are linked."""
     words, piece = members.field("words"), np.unique(np.array(members.field("piece").to_pylist(), dtype=object), return_inverse=True)[1]
-    first = members.field("first").to_numpy(zero_copy_only=False).astype(bool)
+    minor, low, is_left, is_right = (members.field(k).to_numpy(zero_copy_only=False).astype(bool) for k in ("minor", "low", "left", "right"))
+    # Two minor texts meet as (u, v) and as (v, u), if need be in two blocks: the order of their digests takes one.
+    place = np.unique(np.array(members.field("node").to_pylist(), dtype=object), return_inverse=True)[1]
     n = words.value_lengths().to_numpy().astype(np.int64)
     flat, ends = words.flatten().to_numpy().view(np.uint32), np.concatenate([[0], np.cumsum(n)])
     text = [flat[x:y] for x, y in zip(ends[:-1], ends[1:])]
@@ -362,10 +376,11 @@ def _links_in(members: pa.StructArray, least: float) -> list[tuple[int, int]]:
             parent[i] = i = parent[parent[i]]
         return i
 
-    left, right, out = np.flatnonzero(first), np.flatnonzero(~first), []
+    left, right, out = np.flatnonzero(is_left), np.flatnonzero(is_right), []
     for at in range(0, len(left), 128):
         some = left[at : at + 128]
-        fits = (piece[some][:, None] != piece[right]) & (np.abs(n[some][:, None] - n[right]) <= _band(n[some][:, None], n[right], least))
+        fits = (piece[some][:, None] != piece[right]) & (low[some][:, None] | low[right]) & (~minor[some][:, None] | (place[some][:, None] < place[right]))
+        fits &= (np.abs(n[some][:, None] - n[right]) <= _band(n[some][:, None], n[right], least))
         i, j = np.nonzero(fits)
         i, j = some[i], right[j]
         edits = np.concatenate([np.empty(0, np.int64), *[least_edits(n[i[k : k + 16384]], signature[i[k : k + 16384]], n[j[k : k + 16384]], signature[j[k : k + 16384]]) for k in range(0, len(i), 16384)]])

@@ -237,6 +237,27 @@ def test_large_buckets_keep_stars_and_chains(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("block", [2048, 7])
+def test_blocks_hold_each_needed_pair_once(spark, monkeypatch, block):
+    """Pairs of a bucket with a minor text, in the same class of lengths or in adjoining ones; two rows for each text if parts are large enough."""
+    monkeypatch.setattr(near_dups, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    texts = [(f"b{i % 2}".encode(), f"{i:04d}".encode(), (f"{i:04d}" if i % 3 else "main").encode(), bool(i % 3), [int(w) for w in rng.integers(0, 1 << 31, size=rng.integers(10, 60))]) for i in range(400)]
+    split = spark.createDataFrame([t[:4] for t in texts], "main binary, node binary, piece binary, minor boolean")
+    words = spark.createDataFrame([(t[1], t[4]) for t in texts], "node binary, words array<int>")
+    size = {t[1]: int(np.floor(np.log(len(t[4])) / np.log(1.26))) for t in texts}
+    needed = {(x[1], y[1]) for x in texts for y in texts if x[1] < y[1] and x[0] == y[0] and (x[3] or y[3]) and abs(size[x[1]] - size[y[1]]) <= 1}
+    found, sent = Counter(), 0
+    for (members,) in near_dups._blocks(split, words).collect():
+        sent += len(members)
+        for u in (m for m in members if m["left"]):
+            for v in (m for m in members if m["right"]):
+                if u["node"] != v["node"] and (u["low"] or v["low"]) and (not u["minor"] or u["node"] < v["node"]):
+                    found[tuple(sorted((bytes(u["node"]), bytes(v["node"]))))] += 1
+    assert set(found) == needed and set(found.values()) == {1}
+    assert block < 2048 or sent <= 2 * len(texts)
+
+
 @pytest.mark.parametrize("length", [5, 9, 10, 12, 20, 40, 45, 50, 60, 200, 600])
 def test_sketches_find_pairs_at_the_similarity(length):
     """Scattered edits up to 0.8: at least 0.98 of the pairs agree in a sketch value."""
