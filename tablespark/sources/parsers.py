@@ -123,24 +123,31 @@ def _spread(rows: pa.Array) -> pa.Array:
             out.append(line)
         return out
 
-    return pa.array([one(r) for r in rows.to_pylist()], pa.list_(pa.list_(pa.string())))
+    # One table at a time as Python's lists, which take ten times the room.
+    return pa.array((one(r.as_py()) for r in rows), pa.list_(pa.list_(pa.string())))
 
 
 def html_table(docs: DataFrame) -> DataFrame:
-    """Every <table>: rows of cells, spans spread out; a table with any <th> begins with its header."""
+    """Every <table>: rows of cells, spans spread out; a table with any <th> begins with its header.
+
+    Tables are taken apart into rows before their cells are read, so that work and memory follow the row, whatever the
+    size of a table. Only tables with cells that reach down are put together again.
+    """
     tables = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(r"(?is)<table\b.*?(?:</table\s*>|\z)"), F.lit(0))).alias("tab", "html"))
     named = F.coalesce(F.nullif(F.regexp_extract("html", r"(?is)^<table\b[^>]*\bdata-name\s*=\s*[\"']([^\"']*)", 1), F.lit("")), F.nullif(F.regexp_extract("html", r"(?is)^<table\b[^>]*\bsummary\s*=\s*[\"']([^\"']*)", 1), F.lit("")))
     number = lambda c, name: F.coalesce(F.regexp_extract(c, rf"(?is)^<t[dh]\b[^>]*\b{name}\s*=\s*[\"']?(\d+)", 1).try_cast("int"), F.lit(1))
-    rows = F.regexp_extract_all("html", F.lit(r"(?is)<tr\b.*?(?=<tr\b|</tr\s*>|\z)"), F.lit(0))
-    cells = F.transform(rows, lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b.*?(?=<t[dh]\b|</t[dh]\s*>|\z)"), F.lit(0)))
-    tables = tables.select("doc_id", "tab", F.coalesce(named, F.concat(F.lit("HTML Table "), F.col("tab") + 1)).alias("title"), F.col("html").rlike(r"(?i)<th\b").alias("head"), cells.alias("cells"))
-    # One list of all cells goes through Python; the rows are cut out of it again.
-    tables = tables.withColumn("texts", html_texts(F.flatten("cells"))).withColumn("sizes", F.transform("cells", F.size))
-    before = lambda i: F.aggregate(F.slice("sizes", 1, i), F.lit(0), lambda a, n: a + n)
+    title = F.coalesce(named, F.concat(F.lit("HTML Table "), F.col("tab") + 1)).alias("title")
+    split = F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<tr\b.*?(?=<tr\b|</tr\s*>|\z)"), F.lit(0))).alias("row", "html")
+    rows = tables.select("doc_id", "tab", title, F.col("html").rlike(r"(?i)<th\b").alias("head"), F.col("html").rlike(r"(?i)rowspan").alias("deep"), split)
+    rows = rows.withColumn("cells", F.regexp_extract_all("html", F.lit(r"(?is)<t[dh]\b.*?(?=<t[dh]\b|</t[dh]\s*>|\z)"), F.lit(0)))
+    rows = rows.select("doc_id", "tab", "title", "head", "deep", "row", "cells", html_texts(F.col("cells")).alias("texts"))
+    across = lambda c, text: F.concat(F.array(text), F.array_repeat(F.lit(""), F.greatest(number(c, "colspan"), F.lit(1)) - 1))
+    flat = rows.where("not deep").select("doc_id", "tab", "title", "head", "row", F.flatten(F.zip_with("cells", "texts", across)).alias("cells"))
     cell = lambda c, text: F.struct(text.alias("text"), number(c, "colspan").alias("across"), number(c, "rowspan").alias("down"))
-    grid = F.transform("cells", lambda r, i: F.zip_with(r, F.slice("texts", before(i) + 1, F.size(r)), cell))
-    tables = tables.select("doc_id", "tab", "title", "head", _spread(grid).alias("rows"))
-    rows = tables.select("doc_id", "tab", "title", "head", F.posexplode("rows").alias("row", "cells"))
+    deep = rows.where("deep").select("doc_id", "tab", "title", "head", "row", F.zip_with("cells", "texts", cell).alias("cells"))
+    deep = deep.groupBy("doc_id", "tab", "title", "head").agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("rows"))
+    deep = deep.select("doc_id", "tab", "title", "head", F.posexplode(_spread(F.col("rows.cells"))).alias("row", "cells"))
+    rows = flat.unionByName(deep)
     return _out(rows, F.col("tab"), F.col("title"), "row", F.when(F.col("head"), F.lit(True)))
 
 

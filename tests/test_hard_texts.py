@@ -2,13 +2,16 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from tablespark.functions.markup import html_text
+from tablespark.functions.columns import trim_all
+from tablespark.functions.markup import html_text, html_texts, readable
 from tablespark.sources.data_block import data_block, data_block_problems
 from tablespark.sources.ingest import parse_text
+from tablespark.sources.parsers import html_table
 
 CELLS = [
     ("first<br>second<BR/>third<br />fourth&lt;br&gt;fifth", "first\nsecond\nthird\nfourth\nfifth"),
@@ -61,6 +64,29 @@ def find(t, i, marks):
     return i
 
 
+def test_cells_in_and_outside_python(spark):
+    """Bare cells are read by expressions, others by `readable`: both give the same."""
+    cells = ["<td>a", "<TH class=x > a\t b\r\n c \n\n", "<td>\u00a0 1 > 2 \" ' ", "<td/>x", "<td-x>y", "<td>", "<td", "<td title='>'>q", "<td>&amp;", "<td><b>z</b>", "<td>a\r", "<td x\n>two\n"]
+    rows = [(i, [c]) for i, c in enumerate(cells)] + [(99, cells), (98, []), (97, None)]
+    got = dict(spark.createDataFrame(rows, "i int, c array<string>").select("i", html_texts(F.col("c"))).collect())
+    want = spark.createDataFrame([(i, readable(c)) for i, c in enumerate(cells)], "i int, t string").select(trim_all(F.col("t")), "i").collect()
+    assert [got[i] for _, i in want] == [[t] for t, _ in want] and got[99] == [t for t, _ in sorted(want, key=lambda w: w[1])] and got[98] == got[97] == []
+
+
+@pytest.mark.parametrize("span", ["", ' rowspan="1"'])
+def test_large_tables_cost_as_much_as_many_small_ones(spark, span):
+    row = lambda i: f"<tr><td{span}>{i}</td><td><b>x</b></td></tr>"
+    one = [(0, "<table>" + "".join(map(row, range(4000))) + "</table>")]
+    many = [(k, "<table>" + "".join(map(row, range(40 * k, 40 * k + 40))) + "</table>") for k in range(100)]
+    times = []
+    for texts in (many, many, one):
+        start = time.monotonic()
+        got = html_table(spark.createDataFrame(texts, "doc_id int, text string")).select("row", "cells").collect()
+        times.append(time.monotonic() - start)
+        assert sorted(int(r["cells"][0]) for r in got) == list(range(4000)) and {r["cells"][1] for r in got} == {"x"}
+    assert [int(r["cells"][0]) for r in sorted(got)] == list(range(4000)) and times[2] < 8 * times[1] + 4
+
+
 def plain_blocks(t):
     i, blocks = 0, []
     while i < len(t):
