@@ -8,6 +8,7 @@ together, across splits too.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +19,12 @@ from pyspark.sql import types as T
 
 from ..operators.table import Table, unique_headers
 from .parsers import record_cells
-from .text import LARGEST
+from .text import LARGEST, stored
 
 #: Up to so many splits are sent to every task; more are joined by a shuffle.
 SENT = 200_000
+#: Bytes of the small splits that share a task.
+TASK = 32 << 20
 
 
 @F.arrow_udf(T.StructType([T.StructField("line", T.LongType()), T.StructField("odd", T.BooleanType()), T.StructField("begun", T.LongType())]))
@@ -46,9 +49,17 @@ def _running(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]
         yield pa.StructArray.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.int64())], ["line", "odd", "begun"])
 
 
+def _tasks(spark: SparkSession, splits: int) -> int:
+    """Tasks for so many splits: small splits share one, of TASK bytes at most, as long as every core has two tasks."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)i?b?", spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower()).groups()
+    size = int(number) << 10 * " kmgtp".index(unit or " ")
+    return max(1, -(-splits // max(1, TASK // size)), min(splits, 2 * spark.sparkContext.defaultParallelism))
+
+
 def file_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, block (where the split starts), text, quotes and at (line, odd, begun) of every line."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("text"))
+    lines = lines.coalesce(_tasks(spark, lines.rdd.getNumPartitions()))
     # Not deterministic, so that no condition on lines moves below what needs to see all of them.
     running = _running.asNondeterministic()
     lines = lines.withColumn("quotes", F.length("text") - F.length(F.replace("text", F.lit('"'), F.lit(""))))
@@ -76,7 +87,8 @@ def read_records(spark: SparkSession, path: str | list[str], largest: int = LARG
     names file and record, so no task ever holds more. Empty files give no rows.
     """
     lines = file_lines(spark, path)
-    starts = split_starts(lines)
+    # Stored, or the count and the join would each read all lines for them.
+    starts = stored(split_starts(lines), "splits")
     few = starts.count() <= SENT
     lines = lines.join(F.broadcast(starts) if few else starts, ["file", "block"])
     begins = F.col("at.odd") == F.col("inside")

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tablespark.sources.large import delimited_table, read_delimited
+from tablespark.sources.large import delimited_table, file_lines, read_delimited
 
 SPLIT = "spark.sql.files.maxPartitionBytes"
 
@@ -59,3 +59,16 @@ def test_many_splits_are_joined_by_a_shuffle(spark, splits, tmp_path, monkeypatc
     table = delimited_table(spark, str(tmp_path), "t", "\t")
     assert table.headers == ("k", "v") and [tuple(r) for r in table.ordered().select(*table.cells).collect()] == [(str(i), f"v\n{i}") for i in range(50)]
     assert delimited_table(spark, str(tmp_path / "t.tsv"), "t", "\t").df.where(F.col("c0") == "7").count() == 1
+
+
+@pytest.mark.parametrize("size", ["1k", "2048b"])
+def test_small_splits_share_tasks(spark, tmp_path, splits, size):
+    """Hundreds of splits that cut through quotes, read by two tasks for each core."""
+    lines = [f'{i},"a{i}\n""b""\n{"x" * (i % 50)}",c' for i in range(6000)]
+    (tmp_path / "t.csv").write_text("\n".join(lines))
+    splits(size)
+    cut = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+    tasks = file_lines(spark, str(tmp_path)).rdd.getNumPartitions()
+    assert cut > 100 and tasks <= 2 * spark.sparkContext.defaultParallelism
+    got = [r["cells"] for r in read_delimited(spark, str(tmp_path)).orderBy("record").collect()]
+    assert got == [[str(i), f'a{i}\n"b"\n{"x" * (i % 50)}', "c"] for i in range(6000)]
