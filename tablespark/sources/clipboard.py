@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import trim_all
 from .ingest import parse_texts
+from .text import stored
 
 
 def holds_table(html: Column) -> Column:
@@ -29,7 +30,8 @@ def with_markup(docs: DataFrame, pastes: DataFrame) -> DataFrame:
 
 def parse_pasted(docs: DataFrame, pastes: DataFrame, header_mode: str = "auto") -> tuple[DataFrame, DataFrame]:
     """(rows, diagnostics) as of `parse_texts`: tables of markup where it holds, else what is detected in the text."""
-    found = with_markup(docs, pastes)
+    # Stored, or each step of the detection and each parser would put texts and pastes together again.
+    found = stored(with_markup(docs, pastes), "pasted")
     marked = parse_texts(found.where("markup").select("doc_id", "text"), "html-table", header_mode)
     plain = parse_texts(found.where("not markup").select("doc_id", "text"), None, header_mode)
     return marked[0].unionByName(plain[0]), marked[1].unionByName(plain[1])

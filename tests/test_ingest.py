@@ -55,3 +55,17 @@ def test_pasted_markup(spark):
 def test_sizes(spark):
     docs = spark.createDataFrame([(1, None), (2, "a\nb"), (3, "🙂" * 128), (4, "x" * 3_000_000), (5, "x" * 563)], "doc_id int, text string")
     assert [tuple(r)[1:] for r in text_stats(docs).orderBy("doc_id").collect()] == [(0, 0, "0 B"), (3, 2, "6 B"), (256, 1, "512 B"), (3_000_000, 1, "5.7 MB"), (563, 1, "1.1 KB")]
+
+
+def test_texts_and_pastes_are_put_together_once(spark):
+    """What is drawn for a text is drawn once, whatever the number of steps that detection and parsers take."""
+    drawn = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            drawn.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame([(i, f"id,name\n{i},x\n{i + 1},y") for i in range(8)], "doc_id int, text string").mapInArrow(counted, "doc_id int, text string")
+    pastes = spark.createDataFrame([(0, 1, "old", "<table><tr><td>1")], "doc_id int, at int, plain string, html string")
+    assert parse_pasted(docs, pastes)[0].where("not is_header").count() == 16 and drawn.value == 8
