@@ -87,37 +87,49 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed:
     return row[first], first - offsets[row[first]], count, place[first] - first, hashes[place[first]].view(np.int64), digests.view(np.int64)
 
 
-def suffix_order(text: bytes, depth: int) -> np.ndarray:
-    """All suffixes of text by their first `depth` bytes at least: two-stage sorting."""
+def suffix_order(text: bytes, depth: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """The suffixes of text that begin where `starts` is true (all without it) by their first `depth` bytes at least.
+
+    Two-stage sorting. A suffix is placed by way of its successor, so each run of starts goes on to the next suffix
+    that is smaller than its successor; those in between are sorted with the others and left out of the result.
+    """
     t = np.frombuffer(text, dtype=np.uint8)
     n = len(t)
     edges = np.append(np.flatnonzero(t[1:] != t[:-1]), n - 1)  # last place of each run of one byte
     rises = np.append(t[np.minimum(edges[:-1] + 1, n - 1)] > t[edges[:-1]], False)
     smaller = np.repeat(rises, np.diff(np.concatenate([[-1], edges])))  # than its successor
-    direct = sorted(np.flatnonzero(smaller).tolist(), key=lambda i: text[i : i + depth])
+    taking = np.ones(n, dtype=bool)
+    if starts is not None:
+        last = np.maximum.accumulate(np.where(starts, np.arange(n), -1))
+        stop = np.concatenate([[-1], np.maximum.accumulate(np.where(smaller, np.arange(n), -1))[:-1]])
+        taking = starts | (last >= 0) & (stop < last)
+    direct = sorted(np.flatnonzero(smaller & taking).tolist(), key=lambda i: text[i : i + depth])
     direct = np.array(direct, dtype=np.int64)
     ends = np.searchsorted(t[direct], np.arange(257)) if len(direct) else np.zeros(257, np.int64)
     placed: list[list[np.ndarray]] = [[] for _ in range(256)]
-    placed[t[n - 1]].append(np.array([n - 1]))
+    if taking[n - 1]:
+        placed[t[n - 1]].append(np.array([n - 1]))
+    induced = taking & ~smaller
     out = []
     for c in range(256):
         done, new = [], np.concatenate(placed[c]) if placed[c] else np.empty(0, np.int64)
         while len(new):
             done.append(new)
             new = new[new > 0] - 1
-            new = new[~smaller[new] & (t[new] == c)]
+            new = new[induced[new] & (t[new] == c)]
         whole = np.concatenate([*done, direct[ends[c] : ends[c + 1]]])
         if len(whole):
             out.append(whole)
             left = whole[whole > 0] - 1
-            left = left[~smaller[left] & (t[left] > c)]
+            left = left[induced[left] & (t[left] > c)]
             if len(left):
                 order = np.argsort(t[left], kind="stable")
                 left = left[order]
                 cuts = np.flatnonzero(np.diff(t[left])) + 1
                 for part in np.split(left, cuts):
                     placed[t[part[0]]].append(part)
-    return np.concatenate(out)
+    order = np.concatenate(out) if out else np.empty(0, np.int64)
+    return order if starts is None else order[starts[order]]
 
 
 def repeated_windows(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -129,8 +141,7 @@ def repeated_windows(texts: list[bytes], length: int = LENGTH) -> list[np.ndarra
         is_window = np.zeros(len(joined), dtype=bool)
         for s, t in zip(starts, texts):
             is_window[s : s + max(0, len(t) - length + 1)] = True
-        order = suffix_order(joined, length)
-        order = order[is_window[order]]
+        order = suffix_order(joined, length, is_window)
         t = np.frombuffer(joined, dtype=np.uint8)
         a, b = order[:-1], order[1:]
         for at in (0, length - 1, length // 2, length // 4, 3 * length // 4):
@@ -265,10 +276,11 @@ def repeat_spans(keyed: DataFrame, length: int = LENGTH, seed: int | None = None
     """(kh, kg, first, windows): runs of windows that also start elsewhere, for texts (kh, kg, content)."""
     seed = seed or seed_bytes(length)
     cut = written(_scan(keyed.select("kh", "kg", "content"), length, seed), "stretches")
-    shape = F.struct("digest", "place", "windows")
+    # Least and greatest numbers, not structs, which Spark would sort all stretches for.
+    same = [F.min(c) == F.max(c) for c in ("digest", "place", "windows")]
     # Written, so that the join with it can split a seed that very many texts share.
-    seeds = written(cut.groupBy("seed").agg(F.count("*").alias("n"), F.min(shape).alias("lo"), F.max(shape).alias("hi")).where("n > 1"), "seeds")
-    many = written(cut.join(seeds.select("seed", "n", (F.col("lo") == F.col("hi")).alias("same")), "seed"), "shared-seeds")
+    seeds = written(cut.groupBy("seed").agg(F.count("*").alias("n"), (same[0] & same[1] & same[2]).alias("same")).where("n > 1"), "seeds")
+    many = written(cut.join(seeds, "seed"), "shared-seeds")
     spans = [many.where("same").select("kh", "kg", "first", "windows")]
     mixed_ = many.where("not same")
     # A stretch that very many share would meet its kind in one task: seeds of many stretches are dealt out in parts,

@@ -98,6 +98,27 @@ def test_two_stage_order():
         assert suffix_dedup.suffix_order(t, len(t)).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
 
 
+def test_order_of_some_suffixes_sorts_no_others():
+    """Wanted suffixes alone, and one more for each run of them at most, are sorted by their bytes."""
+
+    class Counted(bytes):
+        read = 0
+
+        def __getitem__(self, at):
+            if isinstance(at, slice):
+                Counted.read += 1
+            return super().__getitem__(at)
+
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        t = bytes(rng.integers(97, 97 + int(rng.integers(1, 5)), size=int(rng.integers(1, 90))).astype(np.uint8))
+        starts = np.repeat(rng.random(30) < 0.3, 3)[: len(t)]
+        Counted.read = 0
+        order = suffix_dedup.suffix_order(Counted(t), len(t), starts).tolist()
+        assert order == sorted(np.flatnonzero(starts).tolist(), key=lambda i: t[i:])
+        assert Counted.read <= starts.sum() + (np.diff(starts.astype(int), prepend=0) == 1).sum()
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
