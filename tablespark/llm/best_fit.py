@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, slices, written
-from .packing import tokenizer
+from .packing import TEXTS, tokenizer
 
 WINDOW = 4096
 #: Up to so many (partition, length) starts are sent to every task; more are joined by a shuffle.
@@ -109,9 +109,9 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW
     def cut(batches):
         tok, part, met = tokenizer(path), TaskContext.get().partitionId(), [0] * (window + 1)
         for whole in batches:
-            for batch in slices(whole, "text", 64):
+            for batch in slices(whole, "text", *TEXTS):
                 pick, pieces, ids, lengths, local = [], [], [], [], []
-                for i, found in enumerate(map(tok.encode, batch.column("text").to_pylist())):
+                for i, found in enumerate(tok.encode_column(batch.column("text"))):
                     found += end
                     for k, b in enumerate(range(0, len(found), 4 * window)):
                         piece = found[b : b + 4 * window]

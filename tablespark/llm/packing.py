@@ -17,6 +17,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ from .common import bounded_batches, slices
 WINDOW = 4096
 GROUP = 1500
 CACHE = 500_000
+#: Texts, and their bytes, whose words are looked up together.
+TEXTS = 512, 4 << 20
 
 
 #: Fixed value: the word pattern of the word-level vocabulary.
@@ -113,6 +116,20 @@ class WordTokenizer:
             self.words.age()
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """Ids of all texts (no nulls): each different word of them is made a Python string and looked up once."""
+        if len(self.words) > CACHE // 2:
+            self.words.age()
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        kinds = words.flatten().dictionary_encode()
+        held = list(map(self.words.__getitem__, kinds.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        at, ends = kinds.indices.to_numpy().tolist(), words.offsets.to_pylist()
+        out = [b"".join(map(held.__getitem__, at[a:b])) for a, b in zip(ends, ends[1:])]
+        for s in self.special:
+            for i in np.flatnonzero(pc.match_substring(texts, s).to_numpy(zero_copy_only=False)).tolist():
+                out[i] = self.encode(texts[i].as_py())
+        return out
+
 
 _loaded: dict[str, WordTokenizer] = {}
 
@@ -205,9 +222,9 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, window: int = WI
     def cut(batches):
         tok = tokenizer(path)
         for whole in batches:
-            for batch in slices(whole, "text", 64):
+            for batch in slices(whole, "text", *TEXTS):
                 pick, starts, ids, sizes = [], [], [], []
-                for i, found in enumerate(map(tok.encode, batch.column("text").to_pylist())):
+                for i, found in enumerate(tok.encode_column(batch.column("text"))):
                     found += end
                     for b in range(0, len(found), 4 * window):
                         pick.append(i)

@@ -309,6 +309,26 @@ def test_word_ids_of_every_code_point():
             assert np.frombuffer(tok.encode(text), "<u4").tolist() == want.ids, ascii(text)
 
 
+def test_words_of_a_batch_are_looked_up_once():
+    import pyarrow as pa
+
+    met: dict[str, int] = {}
+
+    class Counted(packing.WordIds):
+        def __getitem__(self, word):
+            met[word] = met.get(word, 0) + 1
+            return super().__getitem__(word)
+
+    file = tokenizer_file("word_bpe_49k.json")
+    tok, plain = packing.WordTokenizer(file), Tokenizer.from_file(file)
+    tok.words = Counted(tok.tokenizer)
+    texts = ["", " ", "the cat, The cat", "a <|endoftext|> the\ncat", "the\ncat\r\n  sat", "caf\u00e9 cafe\u0301 \u03a3\u039f\u03a3 the\tcat", "<|startoftext|>"] * 60
+    want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert tok.encode_column(pa.array(["x", *texts])[1:]) == want
+    assert max(met.values()) <= 3  # beside itself, for a word with a comma and one with a capital
+    assert tok.encode_column(pa.array(texts, pa.large_string())) == want and tok.encode_column(pa.array([], pa.string())) == []
+
+
 def test_wave_without_samples_has_an_empty_payload(spark):
     row = spark.createDataFrame([(1, "audio/wav", bytearray(media.wave_bytes(b"")))], "doc_id long, declared string, media binary")
     assert bytes(media.describe_media(row).first()["payload"]) == b""
