@@ -293,13 +293,15 @@ def repeat_spans(keyed: DataFrame, length: int = LENGTH, seed: int | None = None
     kinds = whole.select(*_SAME, "copies", "rep").unionByName(hot_kinds)
     shared = whole.where("copies > 1").select(*_SAME, "part")
     shared = shared.unionByName(hot.join(hot_kinds.where("copies > 1"), _SAME, "left_semi").select(*_SAME, "part"))
-    spans.append(dealt.join(shared, [*_SAME, "part"]).select("kh", "kg", "first", "windows"))
+    # Spans are written as they are found: all rounds in one query would plan and run some dozens of joins at once,
+    # more than the driver's memory holds.
+    spans.append(written(dealt.join(shared, [*_SAME, "part"]).select("kh", "kg", "first", "windows"), "spans"))
     wanted = kinds.select("rep.*", *_SAME, (F.col("copies") == 1).alias("alone"))
     held = written(_cut_out(keyed, wanted, length), "stretch-texts")
     size = 1 << (length - seed).bit_length()
     while True:
         crowds = written(held.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > together).select("seed"), "crowded-seeds")
-        spans.append(_sorted_out(held.join(crowds, "seed", "left_anti").select(*_NAMES), length))
+        spans.append(written(_sorted_out(held.join(crowds, "seed", "left_anti").select(*_NAMES), length), "spans"))
         if size == 1 or crowds.isEmpty():
             break
         size //= 2
@@ -307,7 +309,7 @@ def repeat_spans(keyed: DataFrame, length: int = LENGTH, seed: int | None = None
         kinds = parts.groupBy(*_SAME).agg(F.count("*").alias("copies"), F.min(F.struct("kh", "kg", "first", "content", "alone")).alias("rep"))
         kinds = written(kinds, "split-kinds")
         shared = kinds.where("copies > 1").select(*_SAME)
-        spans.append(parts.where("alone").join(shared, _SAME).select("kh", "kg", "first", "windows"))
+        spans.append(written(parts.where("alone").join(shared, _SAME).select("kh", "kg", "first", "windows"), "spans"))
         company = kinds.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
         lone = (F.col("copies") == 1) & F.col("rep.alone")
         held = kinds.join(company, "seed").select("rep.kh", "rep.kg", "rep.first", "windows", "place", "seed", "digest", lone.alias("alone"), "rep.content")

@@ -91,6 +91,25 @@ def test_repeats_of_random_texts(spark, monkeypatch, together, part):
         assert bytes(b for b, g in zip(data, gone) if not g) == want[i], i
 
 
+def test_rounds_of_crowded_seeds_are_not_left_to_one_query(spark):
+    rng = np.random.default_rng(7)
+    core = "".join(rng.choice(list("abcdefgh"), size=40))
+    texts = ["".join(rng.choice(list("ijklmnop"), size=30)) + core + "".join(rng.choice(list("qrstuvwx"), size=30)) for _ in range(40)]
+    texts += [texts[0], texts[1][5:]]
+    keyed = spark.createDataFrame([(i, 0, bytearray(t.encode())) for i, t in enumerate(texts)], "kh long, kg int, content binary")
+    spans = suffix_dedup.repeat_spans(keyed, 40, 16, 2)
+    plan = spans._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") >= 8  # several rounds
+    assert "MapInArrow" not in plan and plan.count("Join") == 0, plan
+    found = defaultdict(list)
+    for r in spans.collect():
+        found[r["kh"]].append((r["first"], r["windows"]))
+    want = removed_by_brute_force([t.encode() for t in texts], 40)
+    for i, t in enumerate(texts):
+        gone = {b for first, windows in found[i] for b in range(first, first + windows - 1 + 40)}
+        assert "".join(c for b, c in enumerate(t) if b not in gone).encode() == want[i], i
+
+
 def test_two_stage_order():
     rng = np.random.default_rng(1)
     for _ in range(50):
